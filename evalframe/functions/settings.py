@@ -15,25 +15,13 @@ GENERATIVE_TYPES = ["generate_until", "generate"]
 
 def parse_args(text: Column) -> Column:
     """`k=v,k2=v2` as MAP<STRING, STRING>; a part without `=` belongs to the value before it, the last key wins."""
-    parts = F.split(text, ",")
-    entry = "struct<key:string,value:string>"
-    start = F.expr(f"cast(array() as array<{entry}>)")
-
-    def step(done: Column, part: Column) -> Column:
-        pair = F.struct(
-            F.trim(F.split_part(part, F.lit("="), F.lit(1))).alias("key"),
-            F.trim(F.regexp_replace(part, "^[^=]*=", "")).alias("value"),
-        )
-        last = F.element_at(done, -1)
-        glued = F.struct(last["key"].alias("key"), F.concat(last["value"], F.lit(","), part).alias("value"))
-        same_key = F.filter(done, lambda e: e["key"] != pair["key"])
-        return (
-            F.when(F.contains(part, F.lit("=")), F.array_append(same_key, pair))
-            .when(F.size(done) > 0, F.array_append(F.slice(done, 1, F.size(done) - 1), glued))
-            .otherwise(done)
-        )
-
-    return F.map_from_entries(F.aggregate(parts, start, step))
+    entries = F.filter(F.split(text, ",(?=[^,=]*=)"), lambda e: F.contains(e, F.lit("=")))
+    value = lambda e: F.regexp_replace(F.regexp_replace(e, "(?s)^[^=]*=", ""), r"(?s)^\s*([^,]*?)\s*(,.*)?$", "$1$2")
+    pairs = F.transform(entries, lambda e: F.struct(
+        F.trim(F.substring_index(e, "=", 1)).alias("key"), value(e).alias("value")))
+    last = lambda rows: F.filter(rows, lambda r, i: ~F.exists(
+        F.slice(rows, i + 2, F.size(rows)), lambda later: later["key"] == r["key"]))
+    return F.map_from_entries(let(pairs, last))
 
 
 def literal_type(text: Column) -> Column:

@@ -288,10 +288,10 @@ CATEGORY_VIEW = f"""v_categories AS (
     FROM lineitem GROUP BY ALL)
   WHERE NOT (model_no % 3 = 0 AND category = 'simple_java') AND NOT (model_no % 5 = 0 AND category LIKE 'web_search%')),
 v_official AS (
-  SELECT model, model_no, CASE WHEN category LIKE 'live%' THEN 'live' WHEN category LIKE 'multi_turn%' THEN 'multi_turn'
-    WHEN category LIKE 'memory%' OR category LIKE 'web%' THEN 'agentic' ELSE 'non_live' END AS grp,
-    CASE WHEN model_no % 7 = 0 THEN NULL ELSE sum(correct) / sum(total)::DOUBLE END AS score
-  FROM v_categories GROUP BY ALL)"""
+  SELECT model, model_no, grp, CASE WHEN model_no % 7 <> 0 THEN sum(correct) / sum(total)::DOUBLE END AS score FROM (
+    SELECT *, CASE WHEN category LIKE 'live%' THEN 'live' WHEN category LIKE 'multi_turn%' THEN 'multi_turn'
+      WHEN category LIKE 'memory%' OR category LIKE 'web%' THEN 'agentic' ELSE 'non_live' END AS grp FROM v_categories)
+  GROUP BY model, model_no, grp)"""
 
 
 def categories(spark: SparkSession, sf: str) -> DataFrame:
