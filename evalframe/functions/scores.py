@@ -149,15 +149,20 @@ def parse_run_name(
 
 
 def delta_cell(delta: Column) -> Column:
-    return F.format_string("%+.4f", delta)
+    return F.format_string("%+.4f", F.bround(delta, 4))
 
 
 def plain_cell(score: Column) -> Column:
-    return F.format_string("%.4f", score)
+    return F.format_string("%.4f", F.bround(score, 4))
+
+
+def percent(score: Column) -> Column:
+    """Percent with one decimal, halves to even."""
+    return F.bround(score * 100, 1)
 
 
 def percent_cell(score: Column) -> Column:
-    return F.format_string("%.1f", score * 100)
+    return F.format_string("%.1f", percent(score))
 
 
 def count_cell(score: Column) -> Column:

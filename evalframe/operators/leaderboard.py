@@ -54,7 +54,7 @@ def baseline_delta(cells: DataFrame, baseline: str) -> DataFrame:
 
 def average_improvement(deltas: DataFrame, absolute: bool = False) -> DataFrame:
     """Mean of the deltas (or of the scores), rounded to four digits; NULL without any."""
-    return deltas.groupBy("model").agg(F.round(F.avg("score" if absolute else "delta"), 4).alias("average"))
+    return deltas.groupBy("model").agg(F.bround(F.avg("score" if absolute else "delta"), 4).alias("average"))
 
 
 def group_averages(cells: DataFrame, requests: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def complete_only(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def best_badge(cells: DataFrame) -> DataFrame:
     """Adds `percent` (one decimal) and `best`: within the badge distance of the row's best, if it has several cells."""
-    shown = cells.withColumn("percent", F.round(F.col("score") * 100, 1))
+    shown = cells.withColumn("percent", scores.percent(F.col("score")))
     top = shown.groupBy("request").agg(F.max("percent").alias("_max"), F.count("percent").alias("_n"))
     close = F.abs(F.col("percent") - F.col("_max")) < BADGE_DISTANCE
     return spread_join(shown, top, ["request"]).withColumn("best", (F.col("_n") > 1) & close).drop("_max", "_n")

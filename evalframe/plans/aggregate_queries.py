@@ -180,9 +180,8 @@ def overall_avg(spark, sf):
     return leaderboard.overall_average(sample_cells(spark, sf)).withColumn("overall", F.round("overall", 6))
 
 
-# sums of rounded deltas decide the last digit, so the SQL rounds its average the same way: four digits
 @query("a10_avg_improvement", """
-SELECT c.model, round(avg(c.score - b.score), 4) AS average FROM v_cells c LEFT JOIN (SELECT request, score FROM v_cells WHERE model = 'src6') b
+SELECT c.model, round_even(avg(c.score - b.score), 4) AS average FROM v_cells c LEFT JOIN (SELECT request, score FROM v_cells WHERE model = 'src6') b
   USING (request) WHERE c.metric = 'acc' GROUP BY ALL""", _GROUPED)
 def avg_improvement(spark, sf):
     cells = sample_cells(spark, sf).where(F.endswith("request", F.lit("/acc")))
