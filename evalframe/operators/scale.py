@@ -17,21 +17,25 @@ MAX_LITERAL_ROWS = 10_000
 # Up to this many rows per group Spark's own per-partition pre-limit of row_number() <= k is enough.
 SINGLE_STAGE_K = 100
 
-# Buckets of the histogram that finds the cut-off of a large per-group selection.
-RANK_BUCKETS = 4096
+# Leading hex digits of a hash that name the histogram bucket when a large per-group selection is cut off.
+RANK_DIGITS = 4
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS,
+    spread: Sequence[str] | None = None,
+) -> DataFrame:
     """Join `big` with a side that has one row (or few) per key, splitting every key of `big` over `salts` pieces.
 
     `small` is repeated once per salt, so it should be an aggregate or a dimension. AQE turns the join into a
-    broadcast on its own when the measured size of `small` allows it.
+    broadcast on its own when the measured size of `small` allows it. `spread` names the columns of `big` whose hash
+    picks the piece; by default all of them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(big)]), F.lit(salts)).cast("int")
+    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread or _hashable(big)]), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", piece).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -58,31 +62,36 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def lowest_share(df: DataFrame, keys: Sequence[str], priority: str, tie: Sequence[str], size: Column) -> DataFrame:
     """Per group the `size` rows with the lowest hex-string `priority`, where `size` may depend on the group count `n`.
 
-    The priorities are uniform hashes: a histogram over their first three hex digits gives the bucket in which the
-    cut falls. Rows of lower buckets are kept as they are, only that one bucket per group is ranked.
+    The priorities are uniform hashes: a histogram over their first hex digits gives the bucket in which the cut falls,
+    and only the rows of that one bucket are ranked to find the last row that is kept. The rows themselves are then
+    filtered against one threshold per group, without being sorted or shuffled.
     """
-    bucketed = df.withColumn("_bucket", F.conv(F.substring(priority, 1, 3), 16, 10).cast("int"))
-    histogram = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
-    totals = histogram.groupBy(*keys).agg(F.sum("_rows").alias("n")).select(*keys, size.cast("long").alias("_size"))
+    keys, tie = list(keys), list(tie)
+    bucket = F.conv(F.substring(priority, 1, RANK_DIGITS), 16, 10).cast("int")
+    # keys and hashes only: a small part of the rows, and whatever computed them runs once for all steps below
+    narrow = cut_lineage(df.select(*keys, priority, *tie).withColumn("_bucket", bucket), "priorities")
+    histogram = narrow.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
+    totals = histogram.groupBy(*keys).agg(F.sum("_rows").alias("n")).select(
+        *keys, "n", size.cast("long").alias("_size")).where("_size > 0")
     running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         histogram.withColumn("_below", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
-        .join(totals, list(keys))
+        .join(totals.where("n > _size"), keys)
         .where((F.col("_below") < F.col("_size")) & (F.col("_below") + F.col("_rows") >= F.col("_size")))
         .select(*keys, F.col("_bucket").alias("_cut"), (F.col("_size") - F.col("_below")).alias("_need"))
     )
-    small_groups = totals.join(cut, list(keys), "left_anti").where(F.col("_size") > 0).select(
-        *keys, F.lit(RANK_BUCKETS).alias("_cut"), F.lit(0).cast("long").alias("_need")
-    )
-    marked = spread_join(bucketed, cut.unionByName(small_groups), keys).where(F.col("_bucket") <= F.col("_cut"))
-    edge = marked.where(F.col("_bucket") == F.col("_cut")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(priority, *tie))
-    )
-    columns = df.columns
-    return (
-        marked.where(F.col("_bucket") < F.col("_cut")).select(*columns)
-        .unionByName(edge.where(F.col("_rank") <= F.col("_need")).select(*columns))
+    edge = spread_join(narrow, cut, keys, spread=tie).where(F.col("_bucket") == F.col("_cut"))
+    last = (
+        edge.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(priority, *tie)))
+        .where(F.col("_rank") == F.col("_need"))
+        .select(*keys, F.struct(priority, *tie).alias("_last"))
     )
+    whole = totals.where("n <= _size").select(*keys)
+    thresholds = cut_lineage(last.unionByName(whole, allowMissingColumns=True), "thresholds")
+    row = F.struct(priority, *tie)
+    return spread_join(df, thresholds, keys, spread=tie).where(
+        F.col("_last").isNull() | (row <= F.col("_last"))
+    ).select(*df.columns)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "position") -> DataFrame:
