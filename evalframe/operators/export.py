@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions import ids, samples as sample_fields, scores
+from evalframe.operators.scale import spread_join
 
 # Fixed values of the export format.
 SCHEMA_VERSION = "0.2.2"
@@ -185,21 +186,37 @@ def evaluation_results(rows: DataFrame) -> DataFrame:
     ))
 
 
+def record_ids(results: DataFrame) -> DataFrame:
+    """(model_id, collection, developer, model, uuid) of every record."""
+    model = F.col("model_id")
+    return results.groupBy("model_id", "collection").agg(F.min("source_sha").alias("_sha")).select(
+        "model_id", "collection", F.substring_index(model, "/", 1).alias("developer"),
+        F.substring_index(model, "/", -1).alias("model"),
+        ids.stable_uuid(F.col("_sha"), F.col("collection"), model).alias("uuid"),
+    )
+
+
+def keyed_lines(instances: DataFrame, records: DataFrame) -> DataFrame:
+    """Instances of (model_id, collection) as JSON lines under their record's ids."""
+    lines = instance_lines(instances.select("model_id", "collection", "instance"))
+    return spread_join(lines, records, ["model_id", "collection"], spread=["value"])
+
+
 def export_records(results: DataFrame, totals: DataFrame, source_name: str, retrieved: str) -> DataFrame:
     """One record per (model_id, collection): (collection, developer, model, uuid, record).
 
     `results` has model_id, collection, task, key, result, source_sha and evaluation_timestamp; a record collects the
-    handful of scores of its tasks. `totals` counts the instances per (model_id, collection).
+    handful of scores of its tasks. `totals` has the number and digest of the instances per uuid.
     """
     order = F.struct("task", "key", "result")
+    model = F.col("model_id")
     grouped = results.groupBy("model_id", "collection").agg(
         F.transform(F.array_sort(F.collect_list(order)), lambda r: r["result"]).alias("evaluation_results"),
         F.min("source_sha").alias("source_sha"), F.max("evaluation_timestamp").alias("evaluation_timestamp"),
-    )
-    model = F.col("model_id")
-    uuid = ids.stable_uuid(F.col("source_sha"), F.col("collection"), model)
-    joined = grouped.join(totals, ["model_id", "collection"], "left").withColumns({
-        "uuid": uuid, "developer": F.substring_index(model, "/", 1), "model": F.substring_index(model, "/", -1)})
+    ).withColumns({
+        "developer": F.substring_index(model, "/", 1), "model": F.substring_index(model, "/", -1),
+        "uuid": ids.stable_uuid(F.col("source_sha"), F.col("collection"), model),
+    })
     record = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.concat_ws("/", "collection", "model_id", F.lit(retrieved)).alias("evaluation_id"),
@@ -212,7 +229,8 @@ def export_records(results: DataFrame, totals: DataFrame, source_name: str, retr
             F.lit("jsonl").alias("format"), F.lit("sum-sha256-60").alias("hash_algorithm"), F.col("checksum"),
             F.col("total_rows"))).alias("detailed_evaluation_results"),
     )
-    return joined.select("collection", "developer", "model", "uuid", record.alias("record"))
+    return grouped.join(totals.select("uuid", "total_rows", "checksum"), "uuid", "left").select(
+        "collection", "developer", "model", "uuid", record.alias("record"))
 
 
 def manifest(records: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -93,9 +93,9 @@ def latest_sample_file(spark, sf):
 
 
 @query("s4_discover_runs", """
-SELECT 'm' || o_custkey AS model, 'eval_' || year(o_orderdate) || '_' || (o_orderkey % 5) AS run,
-  (dense_rank() OVER (PARTITION BY o_custkey ORDER BY 'eval_' || year(o_orderdate) || '_' || (o_orderkey % 5)) - 1)::INT AS run_ord FROM (
-  SELECT DISTINCT o_custkey, o_orderdate, o_orderkey % 5 AS o_orderkey FROM orders WHERE o_orderkey % 7 > 0) GROUP BY ALL""")
+SELECT DISTINCT 'm' || o_custkey AS model, 'eval_' || year(o_orderdate) || '_' || (o_orderkey % 5) AS run,
+  (dense_rank() OVER (PARTITION BY o_custkey ORDER BY 'eval_' || year(o_orderdate) || '_' || (o_orderkey % 5)) - 1)::INT AS run_ord
+FROM orders WHERE o_orderkey % 7 > 0""")
 def discover_runs(spark, sf):
     path = F.concat(
         F.lit("/logs/m"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 7 > 0, "/harness/eval_").otherwise("/other/eval_"),
@@ -274,21 +274,16 @@ def _export(spark, sf):
         F.lit(10).cast("long").alias("num_samples"), F.lit("acme/data").alias("dataset_id"), F.lit("acme/data").alias("dataset_name"),
         F.lit("hf_dataset").alias("source_type"))
     results = export.evaluation_results(rows)
-    number = F.col("instance.sample_id").cast("long") % 10
-    lines = converted(spark, sf).withColumn("n", number).withColumn("_i", F.col("instance")).select(
-        F.concat(F.lit("acme/model-"), F.col("n").cast("string")).alias("model_id"), collection(F.col("n") % 3).alias("collection"), "instance")
+    number = F.col("ord") % 10
+    lines = converted(spark, sf).select(
+        F.concat(F.lit("acme/model-"), number.cast("string")).alias("model_id"), collection(number % 3).alias("collection"), "instance")
     return results, lines
 
 
-def _export_records(spark, sf):
-    results, instances = _export(spark, sf)
-    lines = export.instance_lines(instances)
-    totals = export.instance_totals(lines, ["model_id", "collection"])
-    recs = export.export_records(results, totals, "harness run", "1700000001.0")
-    keyed = lines.join(
-        recs.select("collection", F.concat_ws("/", "developer", "model").alias("model_id"), "developer", "model", "uuid"),
-        ["model_id", "collection"])
-    return recs, keyed
+def _written_export(spark, sf):
+    path = shared_dir(spark, "export")
+    sinks.write_export(*_export(spark, sf), path, "harness run", "1700000001.0")
+    return sinks.read_export_lines(spark, f"{path}/records"), sinks.read_export_lines(spark, f"{path}/instances")
 
 
 _RECORDS = views.SUMMARY + f""", v_records AS (
@@ -303,13 +298,11 @@ SELECT collection, 'acme' AS developer, split_part(r.model, '/', 2) AS model, uu
 FROM v_records r LEFT JOIN v_instances i ON i.model = r.model""", _RECORDS)
 def write_export_records(spark, sf):
     """Writes records and instances below collection/developer/model/uuid and counts what can be read back."""
-    path = shared_dir(spark, "export")
-    recs, lines = _export_records(spark, sf)
-    sinks.write_export_records(recs, lines, path)
+    recs, lines = _written_export(spark, sf)
     keys = list(sinks.EXPORT_KEYS)
-    read = sinks.read_export_lines(spark, f"{path}/records").select(
-        *keys, F.from_json("value", validate.RECORD)["evaluation_results"].alias("e")).select(*keys, F.size("e").cast("long").alias("n_results"))
-    counts = sinks.read_export_lines(spark, f"{path}/instances").groupBy(*keys).agg(F.count("*").alias("n_instances"))
+    read = recs.select(*keys, F.from_json("value", validate.RECORD)["evaluation_results"].alias("e")).select(
+        *keys, F.size("e").cast("long").alias("n_results"))
+    counts = lines.groupBy(*keys).agg(F.count("*").alias("n_instances"))
     return read.join(counts, keys, "left").withColumn("n_instances", F.coalesce("n_instances", F.lit(0)))
 
 
@@ -318,7 +311,7 @@ SELECT split_part(r.model, '/', 2) AS model, count(*)::BIGINT AS n_records, min(
 FROM v_records r JOIN (SELECT DISTINCT model, model_no FROM v_summary) n USING (model) GROUP BY ALL""", _RECORDS)
 def write_manifest(spark, sf):
     results, _ = _export(spark, sf)
-    none = results.select("model_id", "collection").distinct().select("*", F.lit(0).alias("total_rows"), F.lit("").alias("checksum"))
+    none = export.record_ids(results).select("uuid", F.lit(0).alias("total_rows"), F.lit("").alias("checksum"))
     recs = export.export_records(results, none, "harness run", "1700000001.0")
     warnings = views.summary(spark, sf).where("model_no % 2 = 0").select(
         F.substring_index("model", "/", -1).alias("model"), F.lit("temperature is not logged").alias("warning"))
@@ -408,16 +401,12 @@ SELECT 'bench' || (m % 3) AS collection, 'model-' || m AS model, message FROM (S
   {'m': 3, 'message': 'checksum mismatch'}]) AS u), LATERAL (SELECT u.m AS m, u.message AS message)
 WHERE EXISTS (SELECT 1 FROM orders) AND EXISTS (SELECT 1 FROM v_records r WHERE r.model = 'acme/model-' || m)""", _RECORDS)
 def validate_export(spark, sf):
-    """An export with a record's instances removed, one line lost and one line changed."""
-    path = shared_dir(spark, "export")
-    recs, lines = _export_records(spark, sf)
+    """A written export checked against its lines with a record's instances removed, one line lost and one changed."""
+    recs, lines = _written_export(spark, sf)
     number = F.get_json_object("value", "$.sample_id")
     damaged = lines.where((F.col("model") != "model-1") & ~((F.col("model") == "model-2") & (number == "12"))).withColumn(
         "value", F.when((F.col("model") == "model-3") & (number == "3"), F.replace(F.col("value"), F.lit('"acme/m"'), F.lit('"acme/x"'))).otherwise(F.col("value")))
-    sinks.write_export_records(recs, damaged, path)
-    keys = list(sinks.EXPORT_KEYS)
-    found = validate.validate_export(
-        sinks.read_export_lines(spark, f"{path}/records"), sinks.read_export_lines(spark, f"{path}/instances"), keys)
+    found = validate.validate_export(recs, damaged, list(sinks.EXPORT_KEYS))
     return found.where(~F.startswith("message", F.lit("evaluation_results["))).select("collection", "model", "message")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from evalframe.operators import export
+
 EXPORT_KEYS = ("collection", "developer", "model", "uuid")
 
 
@@ -44,10 +46,16 @@ def write_lines(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     rows.select(*by, "value").write.mode("overwrite").partitionBy(*by).text(path)
 
 
-def write_export_records(records: DataFrame, instances: DataFrame, path: str) -> None:
-    """Records and their instance lines below collection/developer/model/uuid."""
+def write_export(results: DataFrame, instances: DataFrame, path: str, source_name: str, retrieved: str) -> None:
+    """Instances and records below collection/developer/model/uuid.
+
+    The instances are written first; the row counts and digests in the records are those of the written lines, so the
+    samples are converted only once.
+    """
+    write_lines(export.keyed_lines(instances, export.record_ids(results)), f"{path}/instances", EXPORT_KEYS)
+    totals = export.instance_totals(read_export_lines(results.sparkSession, f"{path}/instances"), ["uuid"])
+    records = export.export_records(results, totals, source_name, retrieved)
     write_lines(records.select(*EXPORT_KEYS, F.to_json("record").alias("value")), f"{path}/records", EXPORT_KEYS)
-    write_lines(instances, f"{path}/instances", EXPORT_KEYS)
 
 
 def read_export_lines(spark: SparkSession, path: str, keys: Sequence[str] = EXPORT_KEYS) -> DataFrame:
