@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -40,7 +41,17 @@ def official_answer(answer: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def similarity(names: pd.Series, files: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(names, files)], dtype="float64")
+    """The similarity ratio of each pair, or 0 where too few character pairs are shared for it to reach the floor."""
+    grams = {text: Counter(zip(text, text[1:])) for text in {*names, *files}}
+
+    def ratio(a: str, b: str) -> float:
+        unmatched = int((1 - SIMILARITY_FLOOR) * (len(a) + len(b)) + 1e-9)
+        # an unmatched letter destroys at most two character pairs
+        if (grams[a] & grams[b]).total() < max(len(a), len(b)) - 1 - 2 * unmatched:
+            return 0.0
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    return pd.Series([ratio(a, b) for a, b in zip(names, files)], dtype="float64")
 
 
 def pair_names(names: DataFrame, files: DataFrame) -> DataFrame:
@@ -52,9 +63,10 @@ def pair_names(names: DataFrame, files: DataFrame) -> DataFrame:
     exact = names.join(files, ["directory", "name"]).select("directory", "name", F.col("name").alias("file"))
     left = names.join(files, ["directory", "name"], "left_anti")
     spare = files.join(names, ["directory", "name"], "left_anti").withColumnRenamed("name", "file")
-    pairs = candidate_pairs(left, spare).withColumn("ratio", similarity("name", "file")).where(
-        F.col("ratio") >= SIMILARITY_FLOOR
-    )
+    # small rows but costly ones: an explicit number of partitions keeps them from being merged into a few tasks
+    partitions = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidate_pairs(left, spare).repartition(partitions, "directory", "name", "file")
+    pairs = pairs.withColumn("ratio", similarity("name", "file")).where(F.col("ratio") >= SIMILARITY_FLOOR)
     return exact.unionByName(greedy_pairs(pairs))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions import ids, samples as sample_fields, scores
+from evalframe.functions.let import keep
 from evalframe.operators.scale import spread_join
 
 # Fixed values of the export format.
@@ -100,11 +101,12 @@ def convert_samples(samples: DataFrame) -> DataFrame:
     text = lambda name: F.coalesce(optional(name).cast("string"), F.lit(""))
     filter_name = F.coalesce("filter", F.lit("none"))
     prepared = samples.select(
+        "*", keep(sample_fields.sample_score(F.col("scores"), F.col("filter"), F.col("result_keys"))).alias("_score")
+    ).select(
         "*",
-        sample_fields.sample_score(F.col("scores"), F.col("filter"), F.col("result_keys")).alias("_score"),
         sample_fields.extract_prompt(F.col("arguments"), optional("doc"), optional("input")).alias("_prompt"),
         sample_fields.extract_choices(F.col("arguments")).alias("_choices"),
-    ).where("_score IS NOT NULL")
+    )
     prepared = prepared.withColumn("_output", sample_fields.extract_output(
         F.col("filtered_resps"), F.col("resps"), F.col("_choices")))
     carried = [c for c in samples.columns if c in ("model", "task", "ord", "collection", "developer", "uuid")]

@@ -33,8 +33,8 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread or _hashable(big)]), F.lit(salts)).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    piece = _piece(spread or _hashable(big), salts)
     return big.withColumn("_salt", piece).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -46,7 +46,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """
     name = rank or "_rank"
     if k > SINGLE_STAGE_K:
-        piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)]), F.lit(SALTS))
+        piece = _piece(_hashable(df), SALTS)
         within = Window.partitionBy(*keys, "_piece").orderBy(*order)
         df = (
             df.withColumn("_piece", piece)
@@ -125,6 +125,13 @@ def literal_rows(rows: Sequence[tuple], schema: Sequence[tuple[str, str]]) -> Co
     ])
 
 
+def _piece(columns: Sequence[str], pieces: int) -> Column:
+    """The piece of a row by the hash of `columns`; never NULL, so that no filter has to compute it a second time."""
+    if pieces & (pieces - 1):
+        raise ValueError("the number of pieces has to be a power of two")
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns]).bitwiseAND(F.lit(pieces - 1).cast("long"))
+
+
 def _hashable(df: DataFrame) -> list[str]:
     """Columns that xxhash64 accepts (maps and variants are not hashable)."""
     return [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]

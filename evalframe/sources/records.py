@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from evalframe import schemas
 from evalframe.functions import samples as sample_fields
-from evalframe.functions.let import let
+from evalframe.functions.let import keep, let
 from evalframe.sources.files import directory, file_name, text_files, wrong_result_counts
 
 
@@ -38,9 +38,9 @@ def read_harness_results(spark: SparkSession, root: str) -> DataFrame:
 
 def sample_lines(lines: DataFrame) -> DataFrame:
     """Typed harness samples. `values` holds each listed metric as one number per attempt; blank lines are skipped."""
-    rows = lines.where(F.trim("value") != "").withColumn("s", F.from_json("value", schemas.SAMPLE))
-    good = rows.withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull())
-    return good.select("path", "s.*", "v").withColumn("scores", _metric_fields(F.col("metrics"), F.col("v"))).drop("v")
+    parsed = lines.select("path", "value", keep(F.try_parse_json("value")).alias("v"))  # blank lines are no JSON either
+    typed = parsed.select("path", F.from_json("value", schemas.SAMPLE).alias("s"), "v")
+    return typed.select("path", "s.*", _metric_fields(F.col("s.metrics"), F.col("v")).alias("scores"))
 
 
 def bad_sample_lines(lines: DataFrame) -> DataFrame:
@@ -73,7 +73,8 @@ def trials(files: DataFrame) -> DataFrame:
 
 def reviews(lines: DataFrame) -> DataFrame:
     """Review records of `reviews/<model>/<dataset>_<subset>.jsonl`, with both readings of the scoring report."""
-    rows = lines.select("path", F.from_json("value", schemas.REVIEW).alias("r")).where("r.sample_score IS NOT NULL")
+    record = F.from_json("value", schemas.REVIEW)
+    rows = lines.select("path", keep(F.when(record["sample_score"].isNotNull(), record)).alias("r"))
     score, usage = "r.sample_score.score", "r.agent_trace.total_usage"
     report = F.col(f"{score}.metadata.report")
     return rows.select(
@@ -219,7 +220,6 @@ def _number(text: Column) -> Column:
 
 def _metric_fields(metrics: Column, line: Column) -> Column:
     """The line's own value of each metric it lists, as JSON text."""
-    fields = F.try_variant_get(line, "$", "map<string,variant>")
     named = F.array_distinct(F.coalesce(metrics, F.array().cast("array<string>")))
-    return F.map_from_entries(F.transform(named, lambda m: F.struct(
-        m.alias("key"), F.try_element_at(fields, m).cast("string").alias("value"))))
+    return let(F.try_variant_get(line, "$", "map<string,variant>"), lambda fields: F.map_from_entries(F.transform(
+        named, lambda m: F.struct(m.alias("key"), F.try_element_at(fields, m).cast("string").alias("value")))))
