@@ -69,45 +69,35 @@ def simulation_summary(
         F.count_if(is_success(reward)).alias("c"),
         F.coalesce(F.sum("reward"), F.lit(0.0)).alias("rewards"),
     ).withColumn("n", F.col("scored") + F.col("failed"))
+    c, n, scored = F.col("c"), F.col("n"), F.col("scored")
+    ks = [F.lit(k).cast("long") for k in range(1, num_trials + 1)]
     sums = per_task.groupBy(*by).agg(
-        F.count_if(F.col("n") > 0).alias("tasks"),
-        *[F.sum(c).alias(c) for c in ("n", "scored", "failed", "empty", "unscored", "rewards")],
-    ).where("n > 0")
-    split = (F.col("failed") > 0) & (F.col("scored") > 0)
+        F.count_if(n > 0).alias("tasks"),
+        *[F.sum(name).alias(f"sum_{name}") for name in ("n", "scored", "failed", "empty", "unscored", "rewards")],
+        *[F.avg(F.when(n >= k, all_pass_ratio(c, n, k))).alias(f"all_{i}") for i, k in enumerate(ks, 1)],
+        *[F.avg(F.when(scored >= k, all_pass_ratio(c, scored, k))).alias(f"own_{i}") for i, k in enumerate(ks, 1)],
+    ).where("sum_n > 0")
+    total = lambda name: F.col(f"sum_{name}")
+    split = (total("failed") > 0) & (total("scored") > 0)
     values = {
-        "avg_reward": F.col("rewards") / F.col("n"),
+        "avg_reward": total("rewards") / total("n"),
         "n_tasks": F.col("tasks"),
-        "n_simulations": F.col("n"),
-        "n_agent_failures": F.col("failed"),
-        "n_empty_replies": F.col("empty"),
-        "n_context_overflows": F.col("failed") - F.col("empty"),
-        "n_unscored": F.col("unscored"),
-        "avg_reward_excluding_agent_failures": F.when(split, F.col("rewards") / F.col("scored")),
+        "n_simulations": total("n"),
+        "n_agent_failures": total("failed"),
+        "n_empty_replies": total("empty"),
+        "n_context_overflows": total("failed") - total("empty"),
+        "n_unscored": total("unscored"),
+        "avg_reward_excluding_agent_failures": F.when(split, F.try_divide(total("rewards"), total("scored"))),
     }
+    for k in range(1, num_trials + 1):
+        values[f"pass^{k}"] = F.col(f"all_{k}")
+        values[f"pass^{k}_excluding_agent_failures"] = F.when(split, F.col(f"own_{k}"))
     if expected is not None:
-        values["n_missing"] = F.greatest(F.lit(expected) - F.col("n") - F.col("unscored"), F.lit(0))
-    counts = sums.select(*by, F.explode(F.array(*[
+        values["n_missing"] = F.greatest(F.lit(expected) - total("n") - total("unscored"), F.lit(0))
+    return sums.select(*by, F.explode(F.array(*[
         F.struct(F.lit(name).alias("metric"), value.cast("double").alias("score")) for name, value in values.items()
     ])).alias("m")).select(*by, "m.*").where("score IS NOT NULL")
 
-    k = F.col("k")
-    ratios = (
-        per_task.where("n > 0")
-        .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(num_trials), F.col("n").cast("int")))).alias("k"))
-        .groupBy(*by, "k").agg(
-            F.avg(all_pass_ratio(F.col("c"), F.col("n"), k)).alias("all"),
-            F.avg(F.when(F.col("scored") >= k, all_pass_ratio(F.col("c"), F.col("scored"), k))).alias("excluding"),
-        )
-        .join(sums.select(*by, split.alias("split")), list(by))
-    )
-    name = F.concat(F.lit("pass^"), k.cast("string"))
-    passes = ratios.select(*by, F.explode(F.array(
-        F.struct(name.alias("metric"), F.col("all").alias("score")),
-        F.struct(F.concat(name, F.lit("_excluding_agent_failures")).alias("metric"),
-                 F.when(F.col("split"), F.col("excluding")).alias("score")),
-    )).alias("m")).select(*by, "m.*").where("score IS NOT NULL")
-    return counts.unionByName(passes)
-
 
 def zero_missing_reward(trials: DataFrame, no_reward_file: DataFrame) -> DataFrame:
     """Trials listed as having no reward file become failed trials with reward 0."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.functions import scores, text
+from evalframe.operators.scale import spread_join
 
 GRADES = ["C", "P", "I", "N"]
 
@@ -73,7 +74,7 @@ def complete_batches(submissions: DataFrame, size: int = 70, by: Sequence[str] =
     """One row per complete batch with its submissions. Groups are sized first, so none above `size` is collected."""
     complete = batches(submissions, size, by).where("complete").select(*by)
     payload = F.struct(*[c for c in submissions.columns if c not in by])
-    return submissions.join(complete, list(by), "left_semi").groupBy(*by).agg(
+    return spread_join(submissions, complete, by, "left_semi").groupBy(*by).agg(
         F.array_sort(F.collect_list(payload)).alias("submissions")
     )
 

@@ -59,7 +59,7 @@ def average_improvement(deltas: DataFrame, absolute: bool = False) -> DataFrame:
 
 def group_averages(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """Unweighted mean of the resolved metrics per (group, model)."""
-    return cells.join(requests.select("group", "request"), "request").groupBy("group", "model").agg(
+    return spread_join(cells, requests.select("group", "request"), ["request"]).groupBy("group", "model").agg(
         F.avg("score").alias("average"), F.count("score").alias("n_metrics")
     )
 

@@ -157,8 +157,8 @@ def expand_candidates(candidates: DataFrame) -> DataFrame:
 
 def select_headline(metrics: DataFrame, candidates: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Per task the first candidate it logged; a task without any keeps all its metrics except derived pass@k."""
-    hits = metrics.join(
-        candidates.select("task", F.col("candidate").alias("key"), "pos"), ["task", "key"]
+    hits = spread_join(
+        metrics, candidates.select("task", F.col("candidate").alias("key"), "pos"), ["task", "key"]
     ).groupBy(*by, "task").agg(F.min_by(F.struct("key", "score"), "pos").alias("_m"))
     chosen = hits.select(*by, "task", "_m.key", "_m.score")
     rest = metrics.where(~F.contains("key", F.lit("_pass@"))).join(hits, [*by, "task"], "left_anti")
@@ -167,11 +167,10 @@ def select_headline(metrics: DataFrame, candidates: DataFrame, by: Sequence[str]
 
 def metric_mismatch(metrics: DataFrame, candidates: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Scored tasks that have candidates but logged none of them."""
-    configured = metrics.join(candidates.select("task").distinct(), "task", "left_semi").select(*by, "task").distinct()
-    present = metrics.join(
-        candidates.select("task", F.col("candidate").alias("key")), ["task", "key"], "left_semi"
-    ).select(*by, "task").distinct()
-    return configured.join(present, [*by, "task"], "left_anti")
+    wanted = candidates.groupBy("task").agg(F.collect_set("candidate").alias("_wanted"))  # a reviewed, short list
+    present = F.max(F.array_contains("_wanted", F.col("key")))
+    return spread_join(metrics, wanted, ["task"]).groupBy(*by, "task").agg(present.alias("_any")).where("NOT _any").select(
+        *by, "task")
 
 
 def scoped_hashes(hashes: DataFrame, record_tasks: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalframe.functions import scores
 from evalframe.operators.scale import lowest_share, top_k
@@ -46,17 +46,17 @@ def stratified_samples(
     wanted = n_positive + n_negative
     order = [priority(seed, F.col(id_column)), F.col(id_column)]
     first = top_k(samples, [*by, "is_correct"], order, wanted, rank="_rank")
-    sizes = first.groupBy(*by).agg(
-        F.count_if(F.col("is_correct")).alias("_right"), F.count_if(~F.col("is_correct")).alias("_wrong")
-    )
-    short = lambda have, want: F.greatest(F.lit(want) - F.col(have), F.lit(0))
+    task = Window.partitionBy(*by)  # at most 3 * wanted rows by now
+    right = F.count_if(F.col("is_correct")).over(task)
+    wrong = F.count_if(~F.col("is_correct")).over(task)
+    short = lambda have, want: F.greatest(F.lit(want) - have, F.lit(0))
     quota = (
-        F.when(F.col("is_correct"), n_positive + short("_wrong", n_negative))
-        .when(~F.col("is_correct"), n_negative + short("_right", n_positive))
-        .when((F.col("_right") == 0) & (F.col("_wrong") == 0), wanted)
+        F.when(F.col("is_correct"), n_positive + short(wrong, n_negative))
+        .when(~F.col("is_correct"), n_negative + short(right, n_positive))
+        .when((right == 0) & (wrong == 0), wanted)
         .otherwise(0)
     )
-    return first.join(sizes, list(by)).where(F.col("_rank") <= quota).select(*samples.columns)
+    return first.withColumn("_quota", quota).where(F.col("_rank") <= F.col("_quota")).select(*samples.columns)
 
 
 def capped_samples(

@@ -239,6 +239,14 @@ def exclude_tasks(spark, sf):
     return merge.exclude_tasks(_sections(spark, sf), failed).groupBy("model", "part", "section", "task").agg(F.count("*").alias("n"))
 
 
+@query("j8_exclude_listed", """
+SELECT model, part, section, task, count(*) AS n FROM v_sections
+WHERE task NOT LIKE 'mmlu_pro%' AND task NOT LIKE 'mgsm%' AND task NOT IN ('gsm8k_cot', 'agi') GROUP BY ALL""", _PARTS_VIEW)
+def exclude_listed(spark, sf):
+    rows = merge.exclude_listed(_sections(spark, sf), ["mmlu_pro", "mgsm", "gsm8k_cot", "agi"])
+    return rows.groupBy("model", "part", "section", "task").agg(F.count("*").alias("n"))
+
+
 _SCAN = views.COUNTS + """, v_found AS (
   SELECT DISTINCT '/logs/' || model || '/eval_' || part AS dir, 'eval_' || part AS dir_name, task, model FROM v_counts WHERE (model_no + part + length(task)) % 3 = 0),
 v_tasks AS (SELECT DISTINCT model || '/' || task AS task FROM v_counts),

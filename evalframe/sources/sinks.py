@@ -43,7 +43,7 @@ def grouped_json(cells: DataFrame, requests: DataFrame) -> DataFrame:
 
 def write_lines(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Text lines, in one directory per value of `by`."""
-    rows.select(*by, "value").write.mode("overwrite").partitionBy(*by).text(path)
+    _gathered(rows.select(*by, "value"), by).write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def write_export(results: DataFrame, instances: DataFrame, path: str, source_name: str, retrieved: str) -> None:
@@ -66,7 +66,15 @@ def read_export_lines(spark: SparkSession, path: str, keys: Sequence[str] = EXPO
 
 def write_sample_table(samples: DataFrame, path: str) -> None:
     """Flattened sample rows, one directory per task."""
-    samples.write.mode("overwrite").partitionBy("task").parquet(path)
+    _gathered(samples, ["task"]).write.mode("overwrite").partitionBy("task").parquet(path)
+
+
+def _gathered(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one directory brought together, so that not every task writes a file into every directory.
+
+    The rebalance hint lets AQE split a directory that is too large for one task.
+    """
+    return rows.hint("rebalance", *by) if by else rows
 
 
 def flatten_struct(schema: T.StructType, prefix: str = "") -> list[Column]:
