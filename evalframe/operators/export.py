@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions import ids, samples as sample_fields, scores
-from evalframe.functions.let import keep
-from evalframe.operators.scale import spread_join
+from evalframe.functions.let import keep, let
+from evalframe.operators.scale import literal_rows, spread_join
 
 # Fixed values of the export format.
 SCHEMA_VERSION = "0.2.2"
@@ -34,6 +34,10 @@ KNOWN_METRICS = [
     ("degeneration", "degeneration", "Degeneration rate", "rate", "proportion", 0.0, 1.0, True),
 ]
 
+_KNOWN = [
+    ("metric", "string"), ("id", "string"), ("name", "string"), ("kind", "string"), ("unit", "string"),
+    ("lowest", "double"), ("highest", "double"), ("lower_is_better", "boolean"),
+]
 _NULLS = {"ignoreNullFields": "false"}
 
 
@@ -48,28 +52,28 @@ def metric_config(metric: Column, filter_name: Column, namespace: Column, higher
     base = F.regexp_replace(metric, r"_mean_repeats$", "")
     k = F.regexp_extract(base, r"^pass(?:@|_at_)(\d+)$", 1)
     passes = k != ""
-    pick = lambda i, kind: F.try_element_at(
-        F.create_map(*[x for row in KNOWN_METRICS for x in (F.lit(row[0]), F.lit(row[i]).cast(kind))]), base
-    )
+    entry = F.get(F.filter(literal_rows(KNOWN_METRICS, _KNOWN), lambda row: row["metric"] == base), F.lit(0))
     suffix = slug(base)
     for root in reversed(variant_roots):
         rest = F.regexp_replace(base, f"^{root}_", "")
         suffix = F.when(F.startswith(base, F.lit(f"{root}_")), F.concat(F.lit(f"{root}."), slug(rest))).otherwise(suffix)
-    known = pick(1, "string").isNotNull() | passes
-    lower = F.coalesce(pick(7, "boolean"), ~F.coalesce(higher_is_better, F.lit(True)))
-    return F.struct(
-        F.when(filter_name == "none", metric).otherwise(
-            F.concat(metric, F.lit(" (filter: "), filter_name, F.lit(")"))).alias("evaluation_description"),
-        lower.alias("lower_is_better"),
-        F.coalesce(pick(1, "string"), F.when(passes, F.concat(F.lit("pass_at_"), k)),
-                   F.concat(slug(namespace), F.lit("."), suffix)).alias("metric_id"),
-        F.coalesce(pick(2, "string"), F.when(passes, F.concat(F.lit("pass@"), k)), base).alias("metric_name"),
-        F.coalesce(pick(3, "string"), F.when(passes, F.lit("pass_rate"))).alias("metric_kind"),
-        F.coalesce(pick(4, "string"), F.when(passes, F.lit("proportion"))).alias("metric_unit"),
-        F.coalesce(pick(5, "double"), F.when(passes, F.lit(0.0))).alias("min_score"),
-        F.coalesce(pick(6, "double"), F.when(passes, F.lit(1.0))).alias("max_score"),
-        F.when(known, "continuous").alias("score_type"),
-    )
+
+    def config(known: Column) -> Column:
+        return F.struct(
+            F.when(filter_name == "none", metric).otherwise(
+                F.concat(metric, F.lit(" (filter: "), filter_name, F.lit(")"))).alias("evaluation_description"),
+            F.coalesce(known["lower_is_better"], ~F.coalesce(higher_is_better, F.lit(True))).alias("lower_is_better"),
+            F.coalesce(known["id"], F.when(passes, F.concat(F.lit("pass_at_"), k)),
+                       F.concat(slug(namespace), F.lit("."), suffix)).alias("metric_id"),
+            F.coalesce(known["name"], F.when(passes, F.concat(F.lit("pass@"), k)), base).alias("metric_name"),
+            F.coalesce(known["kind"], F.when(passes, F.lit("pass_rate"))).alias("metric_kind"),
+            F.coalesce(known["unit"], F.when(passes, F.lit("proportion"))).alias("metric_unit"),
+            F.coalesce(known["lowest"], F.when(passes, F.lit(0.0))).alias("min_score"),
+            F.coalesce(known["highest"], F.when(passes, F.lit(1.0))).alias("max_score"),
+            F.when(known.isNotNull() | passes, "continuous").alias("score_type"),
+        )
+
+    return let(entry, config)
 
 
 def apply_overrides(config: Column, override: Column, benchmark: Column, split: Column, filter_name: Column) -> Column:

@@ -23,6 +23,10 @@ def _sql_list(names: list[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
+def _spark_list(names: list[str]) -> str:
+    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
 # --- labelled samples ---------------------------------------------------------------------------------------------
 
 SAMPLES = """v_samples AS (
@@ -50,7 +54,7 @@ COUNTS = f"""v_counts AS (
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*[F.lit(t) for t in TASKS])
+    names = F.expr(_spark_list(TASKS))
     rows = table(spark, sf, "lineitem").select(
         F.concat(F.lit("acme/model-"), F.col("l_suppkey").cast("string")).alias("model"),
         F.col("l_suppkey").alias("model_no"), (F.col("l_linenumber") % 3).alias("part"),
@@ -173,11 +177,9 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
-    fields = F.array(*[
-        F.when(F.expr(condition), F.struct(F.concat(F.col("task"), F.lit(f"/{key}")).alias("key"),
-                                           F.expr(value).cast("double").alias("score")))
-        for key, condition, value in SUMMARY_FIELDS
-    ])
+    fields = F.expr("array(" + ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('key', concat(task, '/{key}'), 'score', CAST({value} AS DOUBLE)) END"
+        for key, condition, value in SUMMARY_FIELDS) + ")")
     present = F.filter(fields, lambda f: f.isNotNull())
     return scores(spark, sf).select("model", "model_no", F.explode(present).alias("f")).select(
         "model", "model_no", "f.key", "f.score"
@@ -295,7 +297,7 @@ v_official AS (
 
 
 def categories(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in CATEGORIES])
+    names = F.expr(_spark_list(CATEGORIES))
     rows = table(spark, sf, "lineitem").select(
         F.concat(F.lit("acme/model-"), F.col("l_suppkey").cast("string")).alias("model"), F.col("l_suppkey").alias("model_no"),
         F.element_at(names, (F.col("l_partkey") % len(CATEGORIES) + 1).cast("int")).alias("category"), "l_returnflag",
