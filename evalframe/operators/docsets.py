@@ -54,6 +54,10 @@ def similarity(names: pd.Series, files: pd.Series) -> pd.Series:
     return pd.Series([ratio(a, b) for a, b in zip(names, files)], dtype="float64")
 
 
+# keeps a filter on the ratio from being pushed below it, which would compute it twice
+similarity = similarity.asNondeterministic()
+
+
 def pair_names(names: DataFrame, files: DataFrame) -> DataFrame:
     """(directory, name, file): exact names, then corrupted names paired to leftover files, most similar first.
 
@@ -79,8 +83,9 @@ def candidate_pairs(names: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs that can reach the similarity floor, found by an equi-join on rare character pairs.
 
     A ratio of at least 0.85 leaves at most 15 % of the letters of both names unmatched, so the two share at least
-    0.4 * length - 1 character pairs. Ordering these from rare to common, two such names must meet within the
-    first 0.6 * length + 1 of each, which is all that is joined on.
+    `_must_share(length)` character pairs for either length. Ordering these from rare to common, the first
+    `count - must + s` of each hold at least s shared ones, for any s up to that number: only these are joined on, and
+    only pairs meeting s times go on. The common character pairs, which nearly all names share, are never joined.
     """
     left = _grams(names, "name")
     right = _grams(files, "file")
@@ -90,9 +95,21 @@ def candidate_pairs(names: DataFrame, files: DataFrame) -> DataFrame:
     )
     met = _rare_first(left, frequency, "name").join(_rare_first(right, frequency, "file"), ["directory", "gram"])
     a, b = F.length("name"), F.length("file")
-    return met.select("directory", "name", "file").distinct().where(
-        2 * F.least(a, b) >= F.lit(SIMILARITY_FLOOR) * (a + b)
-    )
+    alike = 2 * F.least(a, b) >= F.lit(SIMILARITY_FLOOR) * (a + b)
+    enough = F.least(_meetings(a), _meetings(b))
+    return met.where(alike).groupBy("directory", "name", "file").agg(F.count("*").alias("_met")).where(
+        F.col("_met") >= enough
+    ).select("directory", "name", "file")
+
+
+def _must_share(length: Column) -> Column:
+    """0.4 * length - 1, rounded up: character pairs shared with any name similar enough."""
+    return F.greatest(F.floor((2 * length - 1) / 5), F.lit(1))
+
+
+def _meetings(length: Column) -> Column:
+    """How many of the shared character pairs have to be met: half of them."""
+    return F.ceil(_must_share(length) / 2)
 
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
@@ -131,8 +148,7 @@ def _rare_first(grams: DataFrame, frequency: DataFrame, column: str) -> DataFram
     ranked = grams.join(frequency, ["directory", "gram"]).groupBy("directory", column).agg(
         F.array_sort(F.collect_list(F.struct("_seen", "gram"))).alias("_grams")  # one short name per group
     )
-    shared = F.greatest(F.floor((2 * F.length(column) - 1) / 5), F.lit(1))  # 0.4 * length - 1, rounded up
-    keep = (F.size("_grams") - shared + 1).cast("int")
+    keep = (F.size("_grams") - _must_share(F.length(column)) + _meetings(F.length(column))).cast("int")
     return ranked.select("directory", column, F.explode(F.slice("_grams", F.lit(1), keep)).alias("g")).select(
         "directory", column, F.col("g.gram").alias("gram")
     )
