@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every evalframe job relies on. Sizes are left to the cluster's own defaults.
+# Settings the operators rely on. Sizes are left to the cluster's own defaults.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
