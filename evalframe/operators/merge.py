@@ -99,9 +99,9 @@ def completed_tasks(
     `found` has dir, dir_name and key for every key found in a directory's results. Forced tasks only count from
     `force_after` on; without it they never count.
     """
-    hits = found.join(tasks.select(F.col("task").alias("key")).distinct(), "key", "left_semi").withColumnRenamed(
-        "key", "task"
-    )
+    # most keys are no tasks and a few of them are in every document, hence the spread
+    wanted = tasks.select(F.col("task").alias("key")).distinct()
+    hits = spread_join(found, wanted, ["key"], "left_semi").withColumnRenamed("key", "task")
     forced = F.lit(False)
     for pattern in force_patterns:
         forced = forced | F.contains("task", F.lit(pattern))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evalframe.session import cut_lineage
 
-# How many pieces a key is split into. A key holding a third of the rows becomes pieces of at most 1/96 of them.
-SALTS = 32
+# Bounds for the number of pieces a key is split into; see `pieces`.
+MIN_PIECES, MAX_PIECES = 32, 256
 
 # A literal list (metric requests, rules) is put into the plan itself; beyond this it must be a table.
 MAX_LITERAL_ROWS = 10_000
@@ -22,8 +22,18 @@ SINGLE_STAGE_K = 100
 RANK_DIGITS = 4
 
 
+def pieces(spark: SparkSession) -> int:
+    """Pieces per key: the shuffle partitions as a power of two, within bounds.
+
+    Every piece adds a copy of the small side, so there are no more than needed to bring a hot key down to a size at
+    which AQE can split what is left of it: a salted join has a plain shuffle on both sides, as its skew handling asks.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1 << (partitions - 1).bit_length(), MIN_PIECES), MAX_PIECES)
+
+
 def spread_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS,
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int | None = None,
     spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join `big` with a side that has one row (or few) per key, splitting every key of `big` over `salts` pieces.
@@ -34,6 +44,7 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    salts = salts or pieces(big.sparkSession)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     piece = _piece(spread or _hashable(big), salts)
     return big.withColumn("_salt", piece).join(copies, [*on, "_salt"], how).drop("_salt")
@@ -47,7 +58,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """
     name = rank or "_rank"
     if k > SINGLE_STAGE_K:
-        piece = _piece(_hashable(df), SALTS)
+        piece = _piece(_hashable(df), pieces(df.sparkSession))
         within = Window.partitionBy(*keys, "_piece").orderBy(*order)
         df = (
             df.withColumn("_piece", piece)
@@ -125,11 +136,11 @@ def literal_rows(rows: Sequence[tuple], schema: Sequence[tuple[str, str]]) -> Co
     return F.from_json(F.lit(text), "array<struct<" + ",".join(f"`{n}`:{t}" for n, t in schema) + ">>")
 
 
-def _piece(columns: Sequence[str], pieces: int) -> Column:
+def _piece(columns: Sequence[str], count: int) -> Column:
     """The piece of a row by the hash of `columns`; never NULL, so that no filter has to compute it a second time."""
-    if pieces & (pieces - 1):
+    if count & (count - 1):
         raise ValueError("the number of pieces has to be a power of two")
-    return F.xxhash64(*[F.col(f"`{c}`") for c in columns]).bitwiseAND(F.lit(pieces - 1).cast("long"))
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns]).bitwiseAND(F.lit(count - 1).cast("long"))
 
 
 def _hashable(df: DataFrame) -> list[str]:
