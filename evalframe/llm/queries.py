@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import sharding
+from evalframe.llm import sharding, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -21,3 +21,20 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
+
+
+@query("op7_exact_top_k")
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    asked = vectors.where(F.col("id") % 100 == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    return topk.top_k(asked, vectors, 10).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER, end=2)
+    return token_files.read_digests(files)
