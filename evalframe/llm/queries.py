@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import sharding, token_files, topk
+from evalframe.llm import chat, packing, sharding, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -38,3 +40,23 @@ TOKENIZER = "byte_bpe_50k.json"
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER, end=2)
     return token_files.read_digests(files)
+
+
+@query("op5_cutting_stock")
+def op5_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER, end=0, size=1024)
+    return packing.packed(written(cut, "pieces"), 1024)
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op4_chat_format")
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows come in the layout of turn rows, conversation -7 in that of messages."""
+    fields = F.struct("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("record"))
+    messages = [{"role": role, "content": PROBE} for role in ("user", "assistant")]
+    probe = spark.createDataFrame([(json.dumps({"id": -7, "messages": messages}),)], "record string")
+    turns = chat.canonical_turns(rows.unionByName(probe), "record").where("layout IS NOT NULL")
+    return chat.read_back(written(chat.formatted(turns), "chat"))
