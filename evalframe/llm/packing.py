@@ -25,7 +25,7 @@ from evalframe.llm.shared import written
 from evalframe.llm.tokens import encoder
 
 GRID = 4
-ROUNDS = 4000  # patterns that may enter the basis; further ones would only save padding
+ROUNDS = 1000  # patterns that may enter the basis; further ones would only save padding
 BUCKETS = 256  # pieces of a class that are ranked on their own
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -78,18 +78,35 @@ def _knapsack(values: np.ndarray, weights: np.ndarray, room: int) -> tuple[float
     return float(best[room]), counts
 
 
+def _first_fit(demand: np.ndarray, classes: np.ndarray, room: int) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """Patterns filled longest first, each used while all of it is in demand; with the classes that it exhausts."""
+    left, out = demand.copy(), []
+    while left.any():
+        pattern, free = np.zeros(len(classes), np.int64), room
+        for i in range(len(classes) - 1, -1, -1):
+            pattern[i] = min(left[i], free // classes[i])
+            free -= pattern[i] * classes[i]
+        often = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        before, left = left, left - often * pattern
+        out.append((pattern, often, np.flatnonzero((before > 0) & (left == 0))))
+    return out
+
+
 def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(pattern, times): patterns of classes (class c takes c units of `room`) that cover the histogram exactly."""
     classes = np.array(sorted(c for c, n in histogram.items() if n), np.int64)
     if not len(classes):
         return []
-    demand = np.array([histogram[int(c)] for c in classes], np.float64)
-    columns = np.diag(room // classes)  # one column per pattern of the basis
-    inverse = np.diag(1.0 / (room // classes))
+    demand = np.array([histogram[int(c)] for c in classes], np.int64)
+    # the first basis: a pattern that exhausts a class stands for it, a pattern of the class alone for any other
+    columns, amounts = np.diag(room // classes), np.zeros(len(classes))
+    for pattern, often, exhausted in _first_fit(demand, classes, room):
+        if len(exhausted):
+            columns[:, exhausted[0]], amounts[exhausted[0]] = pattern, often
+    inverse = np.linalg.inv(columns.astype(np.float64))
     amounts = inverse @ demand
     for _ in range(rounds):
-        prices = inverse.sum(axis=0)
-        worth, entering = _knapsack(prices, classes, room)
+        worth, entering = _knapsack(inverse.sum(axis=0), classes, room)
         if worth <= 1 + 1e-9:
             break
         change = inverse @ entering
@@ -105,21 +122,13 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
         inverse[leaving] = row
         columns[:, leaving] = entering
     times = np.floor(np.maximum(amounts, 0) + 1e-6).astype(np.int64)
-    left = demand.astype(np.int64) - columns @ times
+    left = demand - columns @ times
     while (left < 0).any():  # rounding of the doubles may take a piece too many
         times[int(np.argmax((columns[left < 0] > 0).any(axis=0) * (times > 0)))] -= 1
-        left = demand.astype(np.int64) - columns @ times
-    out = [({int(c): int(n) for c, n in zip(classes, columns[:, p]) if n}, int(times[p]))
-           for p in range(len(classes)) if times[p]]
-    while left.any():  # longest first, as often as the whole pattern can be filled
-        pattern, free = np.zeros(len(classes), np.int64), room
-        for i in range(len(classes) - 1, -1, -1):
-            pattern[i] = min(left[i], free // classes[i])
-            free -= pattern[i] * classes[i]
-        often = int((left[pattern > 0] // pattern[pattern > 0]).min())
-        left = left - often * pattern
-        out.append(({int(c): int(n) for c, n in zip(classes, pattern) if n}, often))
-    return out
+        left = demand - columns @ times
+    chosen = [(columns[:, p], int(times[p])) for p in range(len(classes)) if times[p]]
+    chosen += [(pattern, often) for pattern, often, _ in _first_fit(left, classes, room)]
+    return [({int(c): int(n) for c, n in zip(classes, pattern) if n}, often) for pattern, often in chosen]
 
 
 def packed(cut: DataFrame, size: int, grid: int = GRID) -> DataFrame:
