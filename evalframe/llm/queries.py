@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, sharding, token_files, topk
+from evalframe.llm import chat, packing, quality, sharding, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -60,3 +60,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(json.dumps({"id": -7, "messages": messages}),)], "record string")
     turns = chat.canonical_turns(rows.unionByName(probe), "record").where("layout IS NOT NULL")
     return chat.read_back(written(chat.formatted(turns), "chat"))
+
+
+GOOD = "quality = 1 AND toxic = 0"
+
+
+@query("op9_importance_resampling")
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the sample keeps."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), "doc_id", "text", GOOD)
+    places = quality.scored(quality.kept(documents, "doc_id", "text", model), "doc_id", "text", model.weights)
+    return places.select(F.col("key").alias("doc_id"), "log_weight", "place")
