@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, quality, sharding, token_files, topk
+from evalframe.llm import chat, packing, prefix_tree, quality, sharding, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -72,3 +72,8 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(documents, table(spark, sf_dir, "labels"), "doc_id", "text", GOOD)
     places = quality.scored(quality.kept(documents, "doc_id", "text", model), "doc_id", "text", model.weights)
     return places.select(F.col("key").alias("doc_id"), "log_weight", "place")
+
+
+@query("op8_prefix_tree_join")
+def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85, 100)
