@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, prefix_tree, quality, sharding, token_files, topk
+from evalframe.llm import chat, packing, prefix_tree, quality, sharding, templates, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -77,3 +77,10 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_prefix_tree_join")
 def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85, 100)
+
+
+@query("op3_template_windows")
+def op3_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    return templates.contaminated(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
