@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, prefix_tree, quality, sharding, templates, token_files, topk
+from evalframe.llm import chat, packing, prefix_tree, private_terms, quality, sharding, templates, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -84,3 +84,8 @@ def op3_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item."""
     return templates.contaminated(
         table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("op2_private_terms")
+def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_terms.spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
