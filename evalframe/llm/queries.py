@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, prefix_tree, private_terms, quality, sharding, templates, token_files, topk
+from evalframe.llm import chat, packing, prefix_tree, private_terms, quality, sharding, suffix_dedup, templates, token_files, topk
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -89,3 +89,9 @@ def op3_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_private_terms")
 def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_terms.spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text", keep_text=False)
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
