@@ -339,3 +339,11 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     groups = components(links.unionByName(cross).unionByName(twins))
     return sets.join(groups, sets["doc_id"] == groups["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, key: str, text: str, width: int, p: int, q: int) -> DataFrame:
+    """The rows of the smallest document of each component, one for each id; rows with a null id stay."""
+    groups = near_duplicates(documents, key, text, width, p, q)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = documents.join(first, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+    return kept.unionByName(documents.where(F.col(key).isNull()))
