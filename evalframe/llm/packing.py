@@ -26,6 +26,7 @@ from evalframe.llm.tokens import encoder
 
 GRID = 4
 ROUNDS = 1000  # patterns that may enter the basis; further ones would only save padding
+REFRESH = 50  # rounds after which the basis is inverted anew
 BUCKETS = 256  # pieces of a class that are ranked on their own
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -105,27 +106,30 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
             columns[:, exhausted[0]], amounts[exhausted[0]] = pattern, often
     inverse = np.linalg.inv(columns.astype(np.float64))
     amounts = inverse @ demand
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         worth, entering = _knapsack(inverse.sum(axis=0), classes, room)
-        if worth <= 1 + 1e-9:
+        if worth <= 1 + 1e-7:
             break
         change = inverse @ entering
-        usable = change > 1e-9
+        usable = change > 1e-7
         ratios = np.full(len(classes), np.inf)
         ratios[usable] = np.maximum(amounts[usable], 0) / change[usable]
         leaving = int(np.argmin(ratios))
-        step = ratios[leaving]
-        amounts = amounts - step * change
-        amounts[leaving] = step
-        row = inverse[leaving] / change[leaving]
-        inverse = inverse - np.outer(change, row)
-        inverse[leaving] = row
         columns[:, leaving] = entering
-    times = np.floor(np.maximum(amounts, 0) + 1e-6).astype(np.int64)
+        if turn % REFRESH:
+            row = inverse[leaving] / change[leaving]
+            inverse = inverse - np.outer(change, row)
+            inverse[leaving] = row
+        else:  # the updates lose digits
+            inverse = np.linalg.inv(columns.astype(np.float64))
+        amounts = inverse @ demand
+    times = np.floor(np.maximum(np.linalg.solve(columns.astype(np.float64), demand), 0) + 1e-6).astype(np.int64)
     left = demand - columns @ times
-    while (left < 0).any():  # rounding of the doubles may take a piece too many
-        times[int(np.argmax((columns[left < 0] > 0).any(axis=0) * (times > 0)))] -= 1
-        left = demand - columns @ times
+    for i in np.flatnonzero(left < 0):  # a pattern too many by the doubles
+        for p in np.flatnonzero(columns[i] > 0):
+            fewer = min(times[p], max(0, -(left[i] // columns[i, p])))
+            times[p] -= fewer
+            left = left + fewer * columns[:, p]
     chosen = [(columns[:, p], int(times[p])) for p in range(len(classes)) if times[p]]
     chosen += [(pattern, often) for pattern, often, _ in _first_fit(left, classes, room)]
     return [({int(c): int(n) for c, n in zip(classes, pattern) if n}, often) for pattern, often in chosen]
