@@ -92,15 +92,24 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
+def _entities(kind: str) -> Column:
+    return F.transform(F.col(kind), lambda s: F.struct(
+        F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _replaced(kind: str) -> Column:
+    spans = F.coalesce(F.col(kind), F.array().cast(_SPAN))
+    return F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("name")))
+
+
 def found(documents: DataFrame, key: str, text: str) -> DataFrame:
     """_row, key, one column of base spans for each kind, and `_around`: the entities with the words beside them."""
     content = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(
         F.xxhash64(F.col(key), content).alias("_row"), F.col(key).alias("key"), content.alias("_text"),
         *(base_spans(content, kind).alias(kind) for kind in KINDS))
-    values = F.flatten(F.array(*(F.transform(F.col(kind), lambda s, k=kind: F.struct(
-        F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-        for kind in KINDS)))
+    values = F.flatten(F.array(*(_entities(kind) for kind in KINDS)))
     rows = rows.withColumn("_values", values)
 
     def around(span: Column) -> Column:
@@ -172,9 +181,7 @@ def sanitised(documents: DataFrame, key: str, text: str) -> DataFrame:
     """The rows as they came, each span replaced by the name of its kind in angle brackets."""
     rows = written(found(documents, key, text), "base-spans")
     terms = revealing(rows, documents, text)
-    kinds = [*KINDS, "term"]
-    every = F.flatten(F.array(*(F.transform(F.coalesce(F.col(kind), F.array().cast(_SPAN)), lambda s, k=kind: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("name"))) for kind in kinds)))
+    every = F.flatten(F.array(*(_replaced(kind) for kind in [*KINDS, "term"])))
     marked = rows.drop("_around", "key").join(terms, "_row", "left").select("_row", F.array_sort(every).alias("pii")).where(
         F.size("pii") > 0).dropDuplicates(["_row"])
     content = F.coalesce(F.col(text), F.lit(""))
