@@ -93,6 +93,26 @@ def _first_fit(demand: np.ndarray, classes: np.ndarray, room: int) -> list[tuple
     return out
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product without a threaded library, whose threads would wait for each other on a busy driver."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, rows exchanged for the largest pivot."""
+    size = len(matrix)
+    work = np.concatenate([matrix.astype(np.float64), np.eye(size)], axis=1)
+    for i in range(size):
+        top = i + int(np.argmax(np.abs(work[i:, i])))
+        if top != i:
+            work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        work -= factor[:, None] * work[i]
+    return work[:, size:]
+
+
 def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(pattern, times): patterns of classes (class c takes c units of `room`) that cover the histogram exactly."""
     classes = np.array(sorted(c for c, n in histogram.items() if n), np.int64)
@@ -104,13 +124,13 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
     for pattern, often, exhausted in _first_fit(demand, classes, room):
         if len(exhausted):
             columns[:, exhausted[0]], amounts[exhausted[0]] = pattern, often
-    inverse = np.linalg.inv(columns.astype(np.float64))
-    amounts = inverse @ demand
+    inverse = _inverse(columns)
+    amounts = _times(inverse, demand)
     for turn in range(1, rounds + 1):
         worth, entering = _knapsack(inverse.sum(axis=0), classes, room)
         if worth <= 1 + 1e-7:
             break
-        change = inverse @ entering
+        change = _times(inverse, entering)
         usable = change > 1e-7
         ratios = np.full(len(classes), np.inf)
         ratios[usable] = np.maximum(amounts[usable], 0) / change[usable]
@@ -118,12 +138,12 @@ def plan(histogram: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tup
         columns[:, leaving] = entering
         if turn % REFRESH:
             row = inverse[leaving] / change[leaving]
-            inverse = inverse - np.outer(change, row)
+            inverse = inverse - change[:, None] * row
             inverse[leaving] = row
         else:  # the updates lose digits
-            inverse = np.linalg.inv(columns.astype(np.float64))
-        amounts = inverse @ demand
-    times = np.floor(np.maximum(np.linalg.solve(columns.astype(np.float64), demand), 0) + 1e-6).astype(np.int64)
+            inverse = _inverse(columns)
+        amounts = _times(inverse, demand)
+    times = np.floor(np.maximum(_times(_inverse(columns), demand), 0) + 1e-6).astype(np.int64)
     left = demand - columns @ times
     for i in np.flatnonzero(left < 0):  # a pattern too many by the doubles
         for p in np.flatnonzero(columns[i] > 0):
