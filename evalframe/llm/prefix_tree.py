@@ -6,11 +6,11 @@ intervals than two linked sets can have different members, so at least one inter
 hashed, are a key that only near copies share. (Sets with more empty intervals than the cut allows for also exchange the
 members of their ordered prefix.) Documents that share a key, directly or through others, form a cluster.
 
-In a cluster the sets are stored in a prefix tree with runs of members on its edges. Every set walks down the tree and
-carries its overlap along, so a shared prefix is counted once for all sets below it; a subtree is left when even its longest
-rest could not reach the similarity, or when all of it is linked already. A large cluster is cut into blocks. Each block
-holds a pivot document, and what a block does not link to the pivot meets all other blocks, too, so copies of one text cost
-one comparison each and no link between different components is missed.
+In a cluster the sets are stored in a prefix tree with runs of members in its nodes. Every set walks down the tree, a level
+at a time, and carries its overlap along, so a shared prefix is counted once for all sets below it; a subtree is left when
+even its longest rest could not reach the similarity. A large cluster is cut into blocks. The
+documents with the most links in their blocks meet all blocks first, which joins most copies of one text; what is then not
+in the largest component of the cluster meets all blocks, too, so no link between different components is missed.
 
 Documents without words or with a null id link with nothing; the latter have no component. Rows with the same id are one
 node. An empty table gives no rows. Other input columns are not read.
@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evalframe.llm import words
 from evalframe.llm.graph import components
 from evalframe.llm.shared import written
 
 BLOCK = 128  # documents in a block of a cluster
+PIVOTS = 4  # documents of a large cluster that meet all its blocks first
+RUN = 64  # members in a node of the tree at most
 BUCKET_KEYS = 1_500_000  # keys that one reducing task sorts, on average
 
 _U = np.uint64
@@ -117,16 +119,34 @@ def _sets(width: int):
 
 
 def _least_per_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each key with its smallest document, and the pairs (document, smallest) of the others."""
+    """Each key with its smallest document, and what the others are connected to by their keys."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     least = docs[np.flatnonzero(first)]
     others = ~first
-    pairs = np.stack([docs[others], least[np.cumsum(first)[others] - 1]], axis=1)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return keys[first], least, pairs[:, 0], pairs[:, 1]
+    return keys[first], least, *_forest(docs[others], least[np.cumsum(first)[others] - 1])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document of the pairs with the smallest one that they connect it to, where that is another."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)], ends[len(a) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(low[one], low[two])
+        new = low.copy()
+        np.minimum.at(new, one, least)
+        np.minimum.at(new, two, least)
+        np.minimum.at(new, low[one], least)
+        np.minimum.at(new, low[two], least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    moved = low != np.arange(len(nodes))
+    return nodes[moved], nodes[low[moved]]
 
 
 def _keyed(width: int, p: int, q: int, buckets: int):
@@ -157,60 +177,109 @@ def _met(group: pa.Table) -> pa.Table:
         return np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
 
     _, _, a, b = _least_per_key(joined("keys", _U), joined("docs", np.int64))
-    pairs = np.unique(np.stack([np.concatenate([joined("a", np.int64), a]), np.concatenate([joined("b", np.int64), b])], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    a, b = _forest(np.concatenate([joined("a", np.int64), a]), np.concatenate([joined("b", np.int64), b]))
+    return pa.table({"a": a, "b": b})
 
 
 # --- the tree -----------------------------------------------------------------------------------------------------
 
-class _Node:
-    __slots__ = ("run", "depth", "children", "rows", "shortest", "longest", "size")
-
-    def __init__(self, run: np.ndarray, depth: int) -> None:
-        self.run, self.depth, self.children, self.rows = run, depth, [], []
-
-
-def prefix_tree(sets: list[np.ndarray]) -> _Node:
-    """The tree of ordered sets; `rows` of a node are the sets that end there."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    root = _Node(np.zeros(0, _U), 0)
-    path, before = [root], np.zeros(0, _U)
-    for i in order:
-        own = sets[i]
-        shared = min(len(before), len(own))
-        differs = np.flatnonzero(before[:shared] != own[:shared])
-        shared = int(differs[0]) if len(differs) else shared
-        last = None
-        while path[-1].depth > shared:
-            last = path.pop()
-        if path[-1].depth < shared:  # the way parts inside the run of `last`
-            top = path[-1]
-            middle = _Node(last.run[: shared - top.depth], shared)
-            last.run = last.run[shared - top.depth :]
-            top.children[-1] = middle
-            middle.children.append(last)
-            path.append(middle)
-        if len(own) > shared:
-            node = _Node(own[shared:], len(own))
-            path[-1].children.append(node)
-            path.append(node)
-        path[-1].rows.append(i)
-        before = own
-    stack, seen = [root], []
-    while stack:
-        node = stack.pop()
-        seen.append(node)
-        stack.extend(node.children)
-    for node in reversed(seen):
-        ends = [len(sets[i]) for i in node.rows]
-        node.shortest = min(ends + [c.shortest for c in node.children], default=0)
-        node.longest = max(ends + [c.longest for c in node.children], default=0)
-    return root
+class PrefixTree:
+    """The tree of ordered sets as arrays, level by level; a run of members longer than RUN is a chain of nodes.
+
+    `codes` holds the members' places in the order of all members of the tree, so a probe is a bit for each place.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, _U)
+        self.places, codes = np.unique(every, return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.own = [codes[x:y] for x, y in zip(bounds, bounds[1:])]
+        nodes = self._nodes()
+        order = sorted(range(len(nodes)), key=lambda i: nodes[i][0])  # by level
+        new = np.empty(len(nodes) + 1, np.int64)
+        new[order] = np.arange(len(nodes))
+        new[-1] = -1
+        level = np.array([nodes[i][0] for i in order], np.int64)
+        self.levels = np.searchsorted(level, np.arange((level[-1] if len(level) else -1) + 2))
+        self.parent = np.array([new[nodes[i][1]] for i in order], np.int64)
+        self.length = np.array([nodes[i][4] - nodes[i][3] for i in order], np.int64)
+        self.depth = np.array([nodes[i][4] for i in order], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        runs = [self.own[nodes[i][2]][nodes[i][3] : nodes[i][4]] for i in order]
+        self.codes = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        self.last = np.array([r[-1] for r in runs], np.int64)
+        self.end_of = new[self.ends]  # the node where each set ends
+        self.shortest = np.full(len(nodes), np.iinfo(np.int64).max)
+        self.longest = np.zeros(len(nodes), np.int64)
+        filled = np.flatnonzero(self.sizes)
+        np.minimum.at(self.shortest, self.end_of[filled], self.sizes[filled])
+        np.maximum.at(self.longest, self.end_of[filled], self.sizes[filled])
+        for x, y in zip(self.levels[-2:0:-1], self.levels[:0:-1]):  # from the deepest level up
+            np.minimum.at(self.shortest, self.parent[x:y], self.shortest[x:y])
+            np.maximum.at(self.longest, self.parent[x:y], self.longest[x:y])
+        self.mark = np.zeros(len(self.places), np.int64)
+        self.overlap = np.zeros(len(nodes) + 1, np.int64)  # the last is the root's
+        self.alive = np.zeros(len(nodes) + 1, bool)
+
+    def _nodes(self) -> list[tuple[int, int, int, int, int]]:
+        """(level, parent, set, from, to) of each node: members from..to of a set, shared by the sets below."""
+        order = sorted(range(len(self.own)), key=lambda i: self.own[i].astype(">u8").tobytes())
+        shared = [0]
+        for i, j in zip(order, order[1:]):
+            both = min(len(self.own[i]), len(self.own[j]))
+            differs = np.flatnonzero(self.own[i][:both] != self.own[j][:both])
+            shared.append(int(differs[0]) if len(differs) else both)
+        shared.append(0)
+        nodes, path = [], []
+        self.ends = np.full(len(self.own), -1, np.int64)
+        for at, i in enumerate(order):
+            size = len(self.own[i])
+            while path and nodes[path[-1]][4] > shared[at]:
+                path.pop()
+            done = nodes[path[-1]][4] if path else 0
+            cuts, after, part = {size, *range(done + RUN, size, RUN)}, at + 1, size
+            while part > done:  # wherever the way parts for a later set a node begins
+                part = min(part, shared[after])
+                cuts.add(part)
+                after += 1
+            for cut in sorted(c for c in cuts if done < c):
+                nodes.append((nodes[path[-1]][0] + 1 if path else 0, path[-1] if path else -1, i, done, cut))
+                path.append(len(nodes) - 1)
+                done = cut
+            if size:
+                self.ends[i] = path[-1]
+        return nodes
+
+    def walk(self, i: int, p: int, q: int) -> np.ndarray:
+        """The sets that link with set `i`, itself among them."""
+        own, size = self.own[i], self.sizes[i]
+        if not size:
+            return np.zeros(0, np.int64)
+        self.mark[own] = 1
+        self.alive[:] = False
+        self.alive[-1] = True
+        for x, y in zip(self.levels, self.levels[1:]):
+            here = x + np.flatnonzero(self.alive[self.parent[x:y]])
+            if not len(here):
+                break
+            lengths = self.length[here]
+            bounds = np.cumsum(lengths) - lengths
+            spots = np.repeat(self.begin[here] - bounds, lengths) + np.arange(int(lengths.sum()))
+            overlap = self.overlap[self.parent[here]] + np.add.reduceat(self.mark[self.codes[spots]], bounds)
+            self.overlap[here] = overlap
+            used = np.searchsorted(own, self.last[here], side="right")
+            most = overlap + np.minimum(size - used, self.longest[here] - self.depth[here])
+            self.alive[here] = most * (p + q) >= p * (size + self.shortest[here])
+        self.mark[own] = 0
+        ends = self.end_of
+        reached = (ends >= 0) & self.alive[ends]
+        return np.flatnonzero(reached & (self.overlap[ends] * (p + q) >= p * (size + self.sizes)))
 
 
 class _Union:
     def __init__(self, size: int) -> None:
-        self.up = list(range(size))
+        self.up, self.count = list(range(size)), size
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -220,37 +289,28 @@ class _Union:
 
     def join(self, i: int, j: int) -> None:
         i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+            self.count -= 1
 
 
-def linked(sets: list[np.ndarray], p: int, q: int, probes: list[int] | None = None) -> list[int]:
-    """For each set the first set of its component, over all links of the probes (all sets) with any set.
+def linked(sets: list[np.ndarray], p: int, q: int, probes: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """For each set the first set of its component, over all links of the probes (all sets) with any set, and how many
+    links it was found to have.
 
     Two sets link when q times the overlap is at least p times the union.
     """
-    root, union = prefix_tree(sets), _Union(len(sets))
+    tree, union = PrefixTree(sets), _Union(len(sets))
+    alone = sum(1 for s in sets if not len(s))
+    degree = [0] * len(sets)
     for i in range(len(sets)) if probes is None else probes:
-        own = sets[i]
-        stack = [(root, 0, 0)]  # node, overlap above it, members of `own` used up above it
-        while stack:
-            node, overlap, used = stack.pop()
-            if len(node.run):
-                rest = own[used:]
-                at = np.searchsorted(rest, node.run)
-                inside = at < len(rest)
-                overlap += int(np.count_nonzero(rest[at[inside]] == node.run[inside]))
-                used += int(np.searchsorted(rest, node.run[-1], side="right"))
-            most = overlap + min(len(own) - used, node.longest - node.depth)
-            if most * (p + q) < p * (len(own) + node.shortest):
-                continue
-            for j in node.rows:
-                if j != i and overlap * (p + q) >= p * (len(own) + len(sets[j])) and len(own):
-                    union.join(i, j)
-            mine = union.find(i)
-            for child in node.children:
-                if child.children or any(union.find(j) != mine for j in child.rows):
-                    stack.append((child, overlap, used))
-    return [union.find(i) for i in range(len(sets))]
+        if union.count <= alone + 1:  # all that can be linked is one
+            break
+        found = tree.walk(i, p, q).tolist()
+        degree[i] = len(found)
+        for j in found:
+            union.join(i, j)
+    return [union.find(i) for i in range(len(sets))], degree
 
 
 def _members(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -264,15 +324,13 @@ def _members(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
 
 def _block_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
-        """a, b: each document and the first of its component in the block; `left`: not linked to the pivot there."""
+        """a, b: each document and the first of its component in the block; `degree`: how many it links with there."""
         group = group.sort_by("doc_id")
-        docs, pivots = group.column("doc_id").to_pylist(), group.column("pivot").to_pylist()
-        sets = _members(group.column("text"), width)
-        home = linked(sets, p, q)
-        with_pivot = {home[i] for i, flag in enumerate(pivots) if flag}
+        docs = group.column("doc_id").to_pylist()
+        home, degree = linked(_members(group.column("text"), width), p, q)
         return pa.table({
-            "cluster": group.column("cluster"), "a": pa.array(docs, pa.int64()), "b": pa.array([docs[h] for h in home], pa.int64()),
-            "left": pa.array([bool(with_pivot) and h not in with_pivot for h in home])})
+            "cluster": group.column("cluster"), "a": pa.array(docs, pa.int64()),
+            "b": pa.array([docs[h] for h in home], pa.int64()), "degree": pa.array(degree, pa.int64())})
 
     return links
 
@@ -281,7 +339,7 @@ def _cross_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
         docs, asked = group.column("doc_id").to_pylist(), group.column("asked").to_pylist()
-        home = linked(_members(group.column("text"), width), p, q, [i for i, flag in enumerate(asked) if flag])
+        home, _ = linked(_members(group.column("text"), width), p, q, [i for i, flag in enumerate(asked) if flag])
         rows = [(docs[i], docs[h]) for i, h in enumerate(home) if docs[i] != docs[h]]
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
@@ -315,23 +373,32 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         "blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
     found = known.join(members, "doc_id").dropDuplicates(["doc_id"]).join(sizes, "cluster")
     found = written(found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "cluster-texts")
-    pivots = found.where("blocks > 1 AND doc_id = cluster")
-    own = found.select("cluster", "block", "doc_id", "text", (F.col("doc_id") == F.col("cluster")).alias("pivot"))
-    own = own.join(pivots.select("cluster").distinct(), "cluster", "left_anti").withColumn("pivot", F.lit(False)).unionByName(
-        own.join(pivots.select("cluster").distinct(), "cluster", "left_semi"))
-    sent = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select(
-        "cluster", F.col("to").cast("int").alias("block"), "doc_id", "text", F.lit(True).alias("pivot"))
-    first = written(own.unionByName(sent).groupBy("cluster", "block").applyInArrow(
-        _block_links(width, p, q), "cluster long, a long, b long, left boolean"), "block-links")
+    first = written(found.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").applyInArrow(
+        _block_links(width, p, q), "cluster long, a long, b long, degree long"), "block-links")
     links = first.where("a <> b").select("a", "b")
-    # what is not linked to the pivot in its block meets every other block
-    left = found.where("blocks > 1").join(first.where("left").select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    left = left.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("blocks") / 4)).cast("int"))
-    left = written(left, "left-over")
-    parts = left.select("cluster", "part").distinct()
-    asked = left.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.col("to").cast("int").alias("block"), "part", "doc_id", "text", F.lit(True).alias("asked"))
-    there = found.where("blocks > 1").join(parts, "cluster").join(
+    # of a cluster in several blocks, the documents with the most links meet all blocks
+    large = found.where("blocks > 1").select("cluster", "blocks", "block", "doc_id", "text")
+    order = Window.partitionBy("cluster").orderBy(F.desc("degree"), "a")
+    pivots = first.join(large.select("cluster").distinct(), "cluster", "left_semi").withColumn(
+        "_r", F.row_number().over(order)).where(F.col("_r") <= PIVOTS).select(F.col("a").alias("doc_id"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = large.join(pivots, "doc_id", "left_semi").withColumn("to", everywhere).where("to <> block").select(
+        "cluster", F.col("to").alias("block"), "doc_id", "text", F.lit(True).alias("asked"))
+    held = large.select("cluster", "block", "doc_id", "text", F.lit(False).alias("asked"))
+    links = written(links.unionByName(sent.unionByName(held).groupBy("cluster", "block").applyInArrow(
+        _cross_links(width, p, q), "a long, b long")), "pivot-links")
+    # what is not in the largest component of its cluster now meets every block
+    parts = large.select("cluster", "doc_id").join(
+        components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id"))
+    largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("_n")).groupBy("cluster").agg(
+        F.max_by("component", F.struct("_n", "component")).alias("_largest"))
+    rest = parts.join(largest, "cluster").where("component <> _largest").select("doc_id")
+    left = written(large.join(rest, "doc_id", "left_semi").withColumn(
+        "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.col("blocks") / 4, F.lit(1)).cast("int")).cast("int")), "left-over")
+    asked = left.withColumn("to", everywhere).select(
+        "cluster", F.col("to").alias("block"), "part", "doc_id", "text", F.lit(True).alias("asked"))
+    there = large.join(left.select("cluster", "part").distinct(), "cluster").join(
         left.select("cluster", "part", "doc_id"), ["cluster", "part", "doc_id"], "left_anti").select(
         "cluster", "block", "part", "doc_id", "text", F.lit(False).alias("asked"))
     cross = asked.unionByName(there).groupBy("cluster", "block", "part").applyInArrow(
