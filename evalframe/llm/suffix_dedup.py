@@ -35,6 +35,8 @@ from evalframe.llm.shared import written
 WINDOW = 50
 GRAM = 20
 RUN = 64  # windows of a segment at most
+PART_BYTES = 1 << 19  # bytes worked on together
+SEND_BYTES = 8 << 20  # bytes of text whose segments are sent together
 SLOTS = 1 << 20
 PARTS = 64
 FREQUENT = 16  # times the mean count of a slot, and at least FEW, make its strings frequent
@@ -44,6 +46,7 @@ GROUP_BYTES = 16 << 20  # bytes of text for each group of segments, on average
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _LAST = (1 << 63) - 1
+_FACTORS = [_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xCA5A826395121157)]
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
@@ -63,9 +66,32 @@ def _grams(data: np.ndarray) -> np.ndarray:
     four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
     eight = four[:-4].astype(_U) | (four[4:].astype(_U) << _U(32))
     n = len(data)
-    mixed = words.mix(eight[:n] + _U(0x632BE59BD9B4E019))
-    mixed = words.mix(mixed * _BASE + eight[8 : n + 8])
-    return words.mix(mixed * _BASE + four[16 : n + 16].astype(_U))
+    return words.mix(eight[:n] * _FACTORS[0] + eight[8 : n + 8] * _FACTORS[1] + four[16 : n + 16] * _FACTORS[2])
+
+
+def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes of some rows at a time, their offsets, the rows and where in its row each begins.
+
+    A long row comes in parts that overlap by WINDOW - 1 bytes, so that every window is in one.
+    """
+    data, offsets = words.binary(column)
+    sizes = np.diff(offsets)
+    count = np.maximum(1, -(-(sizes - WINDOW + 1) // PART_BYTES))
+    rows = np.repeat(np.arange(len(sizes)), count)
+    begin = (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)) * PART_BYTES
+    length = np.minimum(sizes[rows] - begin, PART_BYTES + WINDOW - 1)
+    total = np.concatenate([[0], np.cumsum(length)])
+    first = 0
+    while first < len(rows):
+        last = max(int(np.searchsorted(total, total[first] + PART_BYTES, side="right")) - 1, first + 1)
+        some = slice(first, last)
+        if rows[last - 1] - rows[first] == last - 1 - first:  # whole rows, which lie side by side
+            yield data[offsets[rows[first]] + begin[first] : offsets[rows[last - 1]] + begin[last - 1] + length[last - 1]], \
+                total[first : last + 1] - total[first], rows[some], begin[some]
+        else:
+            pieces = [data[offsets[r] + x : offsets[r] + x + n] for r, x, n in zip(rows[some], begin[some], length[some])]
+            yield np.concatenate(pieces), total[first : last + 1] - total[first], rows[some], begin[some]
+        first = last
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray | None = None):
@@ -142,7 +168,7 @@ def _merge(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, seen = np.zeros(SLOTS, np.int32), False
     for batch in batches:
-        for _, _, data, offsets in words.slices(batch.column("text")):
+        for data, offsets, _, _ in parts(batch.column("text")):
             group = segments(data, offsets)[0]
             counts += np.bincount((group % _U(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
             seen = True
@@ -175,58 +201,69 @@ def _first_of_equal(group, content, docs):
     new = np.ones(len(order), bool)
     new[1:] = (group[1:] != group[:-1]) | (content[1:] != content[:-1])
     least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return order, docs == least, new
+    return order, docs == least
 
 
-_SENT = ["group", "content", "doc", "row", "start", "windows"]
-_KINDS = {"group": _U, "content": _U, "doc": np.int64, "row": np.int64, "start": np.uint32, "windows": np.uint8}
-_SEND = "bucket long, " + ", ".join(f"{c} binary" for c in _SENT) + ", c_row binary, c_start binary, c_end binary"
+# What is sent of the segments of one group of groups, as byte planes: low bytes of all values first, which packs well.
+# Rows come as a list of (doc, row) and how many segments each has.
+_SENT = {"group": 5, "content": 5, "start": 4, "windows": 1, "doc": 8, "row": 8, "count": 4}
+_PASSED = ["c_row", "c_start", "c_end"]
+_SEND = "bucket long, " + ", ".join(f"{c} binary" for c in [*_SENT, *_PASSED])
 
 
-def _short(values: np.ndarray) -> bytes:
-    """48 bits of each hash: the bytes that are sent."""
-    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(_U)
+def _values(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view(np.int64)
 
 
 def _dealing(buckets: int, frequent: np.ndarray):
     packed = np.packbits(frequent).tobytes()
 
+    def flush(found: list) -> pa.RecordBatch:
+        group, content, doc, row, start, windows = (np.concatenate(x) for x in zip(*found))
+        one = words.mix(group + content * _FACTORS[1])
+        order, least = _first_of_equal(np.zeros(1, _U).repeat(len(one)), one, doc)
+        gone = order[~least]
+        covered = _merge(row[gone], start[gone], start[gone] + windows[gone] + WINDOW - 1)
+        stays = np.sort(order[least])  # in the order of the rows again
+        home = ((group[stays] >> _U(40)) % _U(buckets)).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[by_home], np.arange(buckets + 1))
+        stays = stays[by_home]
+        group, content, doc, row, start, windows = (x[stays] for x in (group, content, doc, row, start, windows))
+        share = np.linspace(0, len(covered[0]), buckets + 1).astype(np.int64)
+        out = []
+        for i, (s, e, x, y) in enumerate(zip(cuts, cuts[1:], share, share[1:])):
+            if e > s or y > x:
+                new = np.ones(e - s, bool)
+                new[1:] = (row[s + 1 : e] != row[s : e - 1]) | (doc[s + 1 : e] != doc[s : e - 1])
+                first = s + np.flatnonzero(new)
+                values = {"group": group[s:e], "content": content[s:e], "start": start[s:e], "windows": windows[s:e],
+                          "doc": doc[first], "row": row[first], "count": np.diff(np.concatenate([first, [e]]))}
+                out.append((i, *(_planes(values[c], w) for c, w in _SENT.items()), *(c[x:y].tobytes() for c in covered)))
+        kinds = [pa.int64()] + [pa.binary()] * (len(_SENT) + 3)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)], ["bucket", *_SENT, *_PASSED])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for batch in batches:
             docs, keys = (np.asarray(batch.column(c), dtype=np.int64) for c in ("doc", "row"))
-            found = []
-            for first, last, data, offsets in words.slices(batch.column("text")):
-                group, content, start, windows, rows = segments(data, offsets, often)
-                found.append((group, content, docs[first:last][rows], keys[first:last][rows], start, windows))
-            if not found:
-                continue
-            group, content, doc, row, start, windows = (np.concatenate(x) for x in zip(*found))
-            order, least, _ = _first_of_equal(group, content, doc)
-            gone = order[~least]
-            covered = _merge(row[gone], start[gone], start[gone] + windows[gone] + WINDOW - 1)
-            stays = np.sort(order[least])  # by document again, which packs well
-            group, content, doc, row, start, windows = (x[stays] for x in (group, content, doc, row, start, windows))
-            home = ((group >> _U(16)) % _U(buckets)).astype(np.int64)
-            by_home = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[by_home], np.arange(buckets + 1))
-            share = np.linspace(0, len(covered[0]), buckets + 1).astype(np.int64)
-            out = []
-            for i, (s, e, x, y) in enumerate(zip(cuts, cuts[1:], share, share[1:])):
-                if e > s or y > x:
-                    take = by_home[s:e]
-                    out.append((i, _short(group[take]), _short(content[take]), doc[take].tobytes(), row[take].tobytes(),
-                                start[take].astype(np.uint32).tobytes(), windows[take].astype(np.uint8).tobytes(),
-                                *(c[x:y].tobytes() for c in covered)))
-            names = ["bucket", *_SENT, "c_row", "c_start", "c_end"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 10, [pa.int64()] + [pa.binary()] * 9)], names)
+            found, held = [], 0
+            for data, offsets, rows, begin in parts(batch.column("text")):
+                group, content, start, windows, part = segments(data, offsets, often)
+                found.append((group, content, docs[rows[part]], keys[rows[part]], start + begin[part], windows))
+                held += len(data)
+                if held >= SEND_BYTES:
+                    yield flush(found)
+                    found, held = [], 0
+            if found:
+                yield flush(found)
 
     return deal
 
@@ -243,13 +280,11 @@ def _spans(row, start, end, doc=None, opened=False) -> pa.Table:
 
 def _decided(table: pa.Table) -> pa.Table:
     """Of one bucket: covered spans, and as `open` the segments that must be compared byte by byte."""
-    def joined(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-    passed = [joined(c, np.int64) for c in ("c_row", "c_start", "c_end")]
-    group, content = (np.concatenate([_long(x) for x in table.column(c).to_pylist()]) for c in ("group", "content"))
-    doc, row, start, windows = (joined(c, _KINDS[c]).astype(np.int64) for c in _SENT[2:])
-    order, least, new = _first_of_equal(group, content, doc)
+    passed = [np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in _PASSED]
+    sent = {c: np.concatenate([_values(x, w) for x in table.column(c).to_pylist()]) for c, w in _SENT.items()}
+    doc, row = (np.repeat(sent[c], sent["count"]) for c in ("doc", "row"))
+    group, content, start, windows = (sent[c] for c in ("group", "content", "start", "windows"))
+    order, least = _first_of_equal(group, content, doc)
     gone = order[~least]
     merged = _merge(np.concatenate([passed[0], row[gone]]), np.concatenate([passed[1], start[gone]]),
                     np.concatenate([passed[2], start[gone] + windows[gone] + WINDOW - 1]))
@@ -377,11 +412,13 @@ def deduplicated(documents: DataFrame, key: str, text: str, keep_text: bool = Tr
     sent = texts.select("doc", "row", "text").mapInArrow(_dealing(buckets, frequent_slots(texts)), _SEND)
     decided = written(sent.groupBy("bucket").applyInArrow(_decided, _SPANS), "segments")
     opened = decided.where("open").groupBy("row").agg(F.collect_list(F.struct("start", "end", "doc")).alias("opened"))
-    fetched = texts.join(opened, "row").select("row", "text", "opened").dropDuplicates(["row"]).mapInArrow(
+    # the texts are dealt by row once, for this join and the last one
+    texts = texts.select("key", "row", "text")
+    fetched = texts.join(opened, "row").select("key", "row", "text", "opened").mapInArrow(
         _fetching(buckets), "bucket long, row long, start long, doc long, piece binary")
-    compared = written(fetched.groupBy("bucket").applyInArrow(_compared, _SPANS), "compared")
+    compared = fetched.groupBy("bucket").applyInArrow(_compared, _SPANS)
     spans = decided.where("NOT open").unionByName(compared).groupBy("row").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(spans, "row", "left").select("key", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    joined = texts.join(spans, "row", "left").select("key", "row", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     return joined.mapInArrow(
         _removing(keep_text), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
