@@ -8,8 +8,8 @@ Such a term is a span of its own where it stands beside the entity. `sanitised`
 each span, which generalises the value; overlapping spans are replaced once, by the first.
 
 Positions are code points, the end is exclusive. A null text is empty. Rows are told apart by id and text together, so
-repeated rows get equal results and rows with a null id theirs. An empty table gives no rows. `sanitised` passes other
-columns on; names that begin with an underscore and `pii` are taken.
+repeated rows get equal results and rows with a null id theirs. An empty table gives no rows. Other columns are not read;
+`sanitised` passes them on.
 """
 
 from __future__ import annotations
@@ -185,15 +185,20 @@ def sanitised(documents: DataFrame, key: str, text: str) -> DataFrame:
     marked = rows.drop("_around", "key").join(terms, "_row", "left").select("_row", F.array_sort(every).alias("pii")).where(
         F.size("pii") > 0).dropDuplicates(["_row"])
     content = F.coalesce(F.col(text), F.lit(""))
-    joined = documents.withColumn("_row", F.xxhash64(F.col(key), content)).join(marked, "_row", "left")
+    # the row as it came is one column, so that none of its names can clash
+    joined = documents.select(
+        F.struct("*").alias("came"), F.xxhash64(F.col(key), content).alias("_row")).join(marked, "_row", "left")
+    came = F.col("came").getField(text)
 
     def step(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
         return F.struct(
             F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.substr(F.col(text), state["at"] + 1, span["start"] - state["at"]), span["name"]))
+            F.when(fresh, F.concat(state["out"], F.substr(came, state["at"] + 1, span["start"] - state["at"]), span["name"]))
             .otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("pii", begin, step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1)))
-    return joined.withColumn(text, F.when(F.col("pii").isNotNull(), clean).otherwise(F.col(text))).select(*documents.columns)
+    clean = F.aggregate("pii", begin, step, lambda s: F.concat(s["out"], F.substr(came, s["at"] + 1)))
+    return joined.select(*(
+        F.when(F.col("pii").isNotNull(), clean).otherwise(came).alias(text) if c == text else F.col("came").getField(c).alias(c)
+        for c in documents.columns))

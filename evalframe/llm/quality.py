@@ -2,7 +2,8 @@
 
 Two generative models over hashed one- and two-token n-grams are counted: a raw one from all documents and a target one
 from labelled good documents. A document's log weight is the sum, over its n-grams, of the log ratio of the two models;
-n-grams whose counts do not differ by more than chance weigh nothing. Gumbel noise, seeded by the document id, is added to
+n-grams whose counts do not differ by more than chance weigh nothing. N-grams are counted in the buckets of two tables, and the
+weaker weight counts, so that a rare one seldom pays for what it shares a bucket with. Gumbel noise, seeded by the document id, is added to
 the weights, and the k documents with the highest sums are the sample: sampling without replacement in proportion to a
 power of the weights. k is the number of documents whose weight reaches the threshold that tells held-out labelled
 documents apart best.
@@ -28,21 +29,23 @@ from pyspark.sql import DataFrame, functions as F
 from evalframe.llm import words
 from evalframe.llm.shared import written
 
-BUCKETS = 1 << 20
+BITS = 20
+BUCKETS = 1 << BITS  # of each of two tables
 PARTS = 64
 REACH = 4
 SAMPLE = 20_000  # labelled rows that fit the target model and place the threshold, at most, of each kind
 PSEUDO = 1.0
-CHANCE = 3.0  # standard deviations
+CHANCE = 3.5  # standard deviations
 TEMPERATURE = 0.1
 BINS = 4096
 
+_U = np.uint64
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The different buckets of each row's n-grams, and the rows.
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of each row as buckets of two independent tables, one row for each table, and the rows.
 
     Tokens are runs of word bytes or of marks. Besides one and two successive tokens there are n-grams of equality alone:
     how large a share of a row's tokens repeats the one 1 to REACH tokens before, in eighths.
@@ -69,20 +72,22 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tup
         found.append(words.mix(share.astype(np.uint64) + np.uint64(1000 * back)))
         owners.append(filled)
     # distinct within the row: a document says once what a word in it says
-    size = np.uint64(buckets)
-    pairs = np.unique(np.concatenate(owners).astype(np.uint64) * size + np.concatenate(found) % size)
-    return (pairs % size).astype(np.int64), (pairs // size).astype(np.int64)
+    both = _U(2 * BITS)
+    pairs = np.unique((np.concatenate(owners).astype(_U) << both) | (np.concatenate(found) >> (_U(64) - both)))
+    one = pairs & _U(BUCKETS - 1)
+    two = (pairs >> _U(BITS)) & _U(BUCKETS - 1)
+    return np.stack([one, two + _U(BUCKETS)]).astype(np.int64), (pairs >> both).astype(np.int64)
 
 
-def _counting(buckets: int):
+def _counting(buckets: int = 2 * BUCKETS):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows_seen = np.zeros((2, buckets), np.int32), [0, 0]
         for batch in batches:
             target = np.asarray(batch.column("target").fill_null(False), dtype=bool)
             for first, last, data, offsets in words.slices(batch.column("text")):
-                found, rows = ngrams(data, offsets, buckets)
-                sums[0] += np.bincount(found, minlength=buckets).astype(np.int32)
-                sums[1] += np.bincount(found[target[first:last][rows]], minlength=buckets).astype(np.int32)
+                found, rows = ngrams(data, offsets)
+                sums[0] += np.bincount(found.reshape(-1), minlength=buckets).astype(np.int32)
+                sums[1] += np.bincount(found[:, target[first:last][rows]].reshape(-1), minlength=buckets).astype(np.int32)
             rows_seen[0] += batch.num_rows
             rows_seen[1] += int(target.sum())
         if rows_seen[0]:
@@ -122,6 +127,15 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
 class Model:
     weights: np.ndarray
     cutoff: tuple[float, int] | None  # the last place of the sample; None keeps everything
+    places: DataFrame | None = None  # key, log_weight and place of every row that the model was fitted on
+
+    def sample(self) -> DataFrame:
+        """The places that are in the sample."""
+        if self.cutoff is None:
+            return self.places
+        last, key = self.cutoff
+        return self.places.where(
+            (F.col("place") > last) | ((F.col("place") == last) & (F.coalesce("key", F.lit(0)) <= key)))
 
 
 def _noise(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -132,8 +146,8 @@ def _noise(keys: np.ndarray, seed: int) -> np.ndarray:
 def _scores(batch: pa.RecordBatch, key: str, text: str, weights: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.zeros(0)]
     for first, last, data, offsets in words.slices(batch.column(text)):
-        found, rows = ngrams(data, offsets, len(weights))
-        parts.append(np.bincount(rows, weights[found], minlength=last - first))
+        found, rows = ngrams(data, offsets)
+        parts.append(np.bincount(rows, weights[found].max(axis=0), minlength=last - first))
     weight = np.round(np.concatenate(parts), 6) + 0.0
     keys = np.asarray(batch.column(key).cast(pa.int64()).fill_null(0), dtype=np.int64)
     return weight, weight + TEMPERATURE * _noise(keys, seed)
@@ -156,12 +170,12 @@ def kept(documents: DataFrame, key: str, text: str, model: Model, seed: int = 0)
     """The sample, all columns as they came: every row is judged by itself, nothing is joined or shuffled."""
     if model.cutoff is None:
         return documents
+    weights, (last, last_key) = model.weights, model.cutoff
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, place = _scores(batch, key, text, model.weights, seed)
+            _, place = _scores(batch, key, text, weights, seed)
             keys = np.asarray(batch.column(key).cast(pa.int64()).fill_null(0), dtype=np.int64)
-            last, last_key = model.cutoff
             yield batch.filter(pa.array((place > last) | ((place == last) & (keys <= last_key))))
 
     return documents.mapInArrow(keep, documents.schema)
@@ -226,15 +240,15 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, good: str,
     fitting = chosen.where("good").where(~held_out).select("_key", F.lit(True).alias("target"))
     narrow = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"))
     marked = narrow.join(F.broadcast(fitting), "_key", "left")  # at most `sample` rows
-    counts = marked.select("text", "target").mapInArrow(_counting(BUCKETS), _COUNTS)
+    counts = marked.select("text", "target").mapInArrow(_counting(), _COUNTS)
     sums = counts.groupBy("part").applyInArrow(_summed, _COUNTS).orderBy("part").collect()  # of fixed size
     if not sums or not sums[0]["targets"]:
-        return Model(np.zeros(BUCKETS, np.float32), None)
+        weights = np.zeros(2 * BUCKETS, np.float32)
+        return Model(weights, None, written(scored(documents, key, text, weights, seed), "places"))
     raw, target = (np.concatenate([np.frombuffer(r[name], np.int64) for r in sums]) for name in ("raw", "target"))
     weights = log_ratios(raw, target, sums[0]["targets"] / sums[0]["rows"])
     places = written(scored(documents, key, text, weights, seed), "places")
     tested = places.join(F.broadcast(chosen.where(~F.col("good") | held_out)), places["key"] == F.col("_key"))
     line = threshold(tested)
-    if line is None:
-        return Model(weights, None)
-    return Model(weights, last_place(places, places.where(F.col("log_weight") >= line).count()))
+    cutoff = None if line is None else last_place(places, places.where(F.col("log_weight") >= line).count())
+    return Model(weights, cutoff, places)

@@ -68,10 +68,8 @@ GOOD = "quality = 1 AND toxic = 0"
 @query("op9_importance_resampling")
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the sample keeps."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(documents, table(spark, sf_dir, "labels"), "doc_id", "text", GOOD)
-    places = quality.scored(quality.kept(documents, "doc_id", "text", model), "doc_id", "text", model.weights)
-    return places.select(F.col("key").alias("doc_id"), "log_weight", "place")
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", GOOD)
+    return model.sample().select(F.col("key").alias("doc_id"), "log_weight", "place")
 
 
 @query("op8_prefix_tree_join")
