@@ -76,11 +76,11 @@ def simulation_summary(
         *[F.sum(name).alias(f"sum_{name}") for name in ("n", "scored", "failed", "empty", "unscored", "rewards")],
         *[F.avg(F.when(n >= k, all_pass_ratio(c, n, k))).alias(f"all_{i}") for i, k in enumerate(ks, 1)],
         *[F.avg(F.when(scored >= k, all_pass_ratio(c, scored, k))).alias(f"own_{i}") for i, k in enumerate(ks, 1)],
-    ).where("sum_n > 0")
+    )
     total = lambda name: F.col(f"sum_{name}")
     split = (total("failed") > 0) & (total("scored") > 0)
     values = {
-        "avg_reward": total("rewards") / total("n"),
+        "avg_reward": F.try_divide(total("rewards"), total("n")),
         "n_tasks": F.col("tasks"),
         "n_simulations": total("n"),
         "n_agent_failures": total("failed"),

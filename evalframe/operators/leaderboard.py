@@ -98,7 +98,7 @@ def subject_breakdown(summary: DataFrame, benchmark: str = "mmlu_pro", metric: s
         covered = means.select("model", F.explode(F.array(plain, F.substring_index(plain, ",", 1))).alias("key")).distinct()
         rows = rows.join(covered, ["model", "key"], "left_anti")
     prefix = f"{benchmark}_"
-    subject = F.replace(F.substring(F.col("task"), len(prefix) + 1, 10_000), F.lit("_"), F.lit(" "))
+    subject = F.replace(F.substr(F.col("task"), F.lit(len(prefix) + 1)), F.lit("_"), F.lit(" "))
     return (
         rows.where((F.col("task") == benchmark) | F.startswith("task", F.lit(prefix)))
         .withColumn("subject", F.when(F.col("task") != benchmark, subject))

@@ -17,9 +17,6 @@ from evalframe.session import cut_lineage
 SELF_CONSISTENCY = "_self_consistency"
 GENERATED_SUFFIX = "_gen_0shot"
 
-# A hierarchy deeper than this is taken for an error rather than walked on.
-MAX_DEPTH = 64
-
 
 @dataclass(frozen=True)
 class TaskMapping:
@@ -109,15 +106,14 @@ def group_descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
         .join(edges, "parent").select("root", F.col("child").alias("task")).distinct(), "frontier",
     )
     seen = frontier
-    for _ in range(MAX_DEPTH):
+    while True:  # the anti join ends cycles, so the number of steps is that of the levels
         step = frontier.select("root", F.col("task").alias("parent")).join(edges, "parent").select(
             "root", F.col("child").alias("task")
         ).distinct()
         frontier = cut_lineage(step.join(seen, ["root", "task"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"hierarchy deeper than {MAX_DEPTH} levels")
+        seen = cut_lineage(seen.unionByName(frontier), "seen")
 
 
 def prefix_descendants(tasks: DataFrame, aggregate: str) -> DataFrame:

@@ -46,11 +46,10 @@ def promote_single_filter(metrics: DataFrame, by: Sequence[str] = ID) -> DataFra
     return named.select(*by, "name", "score").unionByName(single)
 
 
-def flatten_metrics(named: DataFrame, by: Sequence[str] = ("model",), order: str | None = None) -> DataFrame:
-    """`task/metric` keys per model; of duplicate keys the last one wins."""
+def flatten_metrics(named: DataFrame, order: str, by: Sequence[str] = ("model",)) -> DataFrame:
+    """`task/metric` keys per model; of duplicate keys the last one in `order` wins."""
     keyed = named.withColumn("key", F.concat_ws("/", "task", "name"))
-    last = F.max_by("score", order) if order else F.max("score")
-    return keyed.groupBy(*by, "key").agg(last.alias("score"))
+    return keyed.groupBy(*by, "key").agg(F.max_by("score", order).alias("score"))
 
 
 def numeric_metrics(raw: DataFrame) -> DataFrame:

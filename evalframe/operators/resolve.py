@@ -176,6 +176,6 @@ def _request_literal(requests: Sequence[str]) -> Column:
         mean = None
         if slash and MEAN_SUFFIX not in name and PASS_MARK not in name:
             mean = f"{task}/{metric}{MEAN_SUFFIX}" + (f",{filter_name}" if comma else "")
-        multilingual = name == "exact_match" and "mgsm" in task.lower() and "mgsm_en" not in task.lower()
+        multilingual = metric == "exact_match" and "mgsm" in task.lower() and "mgsm_en" not in task.lower()
         rows.append((request, task, metric or None, filter_name or None, mean, PASS_MARK in request, multilingual))
     return literal_rows(rows, _REQUEST)

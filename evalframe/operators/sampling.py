@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evalframe.functions import scores
 from evalframe.operators.scale import lowest_share, top_k
 
-# Above this cap a per-group ranking gives way to the histogram cut.
-LARGE_CAP = 10_000
-
 PREREQUISITE_MARK = "_prereq_"
 MEMORY_PREFIX = "memory_"
 
@@ -62,9 +59,7 @@ def stratified_samples(
 def capped_samples(
     samples: DataFrame, cap: int, by: Sequence[str] = ("task",), priority_column: str = "priority", order: str = "ord"
 ) -> DataFrame:
-    """The `cap` rows with the lowest priorities per task, ties to the earlier row."""
-    if cap > LARGE_CAP:
-        return lowest_share(samples, by, priority_column, [order], F.least(F.col("n"), F.lit(cap)))
+    """The `cap` rows with the lowest priorities per task, a null priority before all others, ties to the earlier row."""
     return top_k(samples, by, [F.col(priority_column), F.col(order)], cap)
 
 

@@ -12,12 +12,6 @@ from evalframe.session import cut_lineage
 # Bounds for the number of pieces a key is split into; see `pieces`.
 MIN_PIECES, MAX_PIECES = 32, 256
 
-# A literal list (metric requests, rules) is put into the plan itself; beyond this it must be a table.
-MAX_LITERAL_ROWS = 10_000
-
-# Up to this many rows per group Spark's own per-partition pre-limit of row_number() <= k is enough.
-SINGLE_STAGE_K = 100
-
 # Leading hex digits of a hash that name the histogram bucket when a large per-group selection is cut off.
 RANK_DIGITS = 4
 
@@ -53,19 +47,17 @@ def spread_join(
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first `k` rows per group in `order` (a total order), optionally keeping the rank.
 
-    Spark limits each input partition to k rows per group before the shuffle. For a large k the groups are first
-    reduced in pieces, so no task sorts more than the pieces' survivors.
+    Spark limits each input partition to k rows per group before a shuffle. The groups are first reduced in pieces, so
+    no task sorts more than the pieces' survivors.
     """
     name = rank or "_rank"
-    if k > SINGLE_STAGE_K:
-        piece = _piece(_hashable(df), pieces(df.sparkSession))
-        within = Window.partitionBy(*keys, "_piece").orderBy(*order)
-        df = (
-            df.withColumn("_piece", piece)
-            .withColumn("_piece_rank", F.row_number().over(within))
-            .where(F.col("_piece_rank") <= k)
-            .drop("_piece", "_piece_rank")
-        )
+    within = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    df = (
+        df.withColumn("_piece", _piece(_hashable(df), pieces(df.sparkSession)))
+        .withColumn("_piece_rank", F.row_number().over(within))
+        .where(F.col("_piece_rank") <= k)
+        .drop("_piece", "_piece_rank")
+    )
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     limited = ranked.where(F.col(name) <= k)
     return limited if rank else limited.drop(name)
@@ -128,8 +120,6 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "position")
 
 def literal_rows(rows: Sequence[tuple], schema: Sequence[tuple[str, str]]) -> Column:
     """A small driver-side list (requests, rules) as one array-of-struct literal."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a literal; pass a table instead")
     # one JSON literal, folded into a constant by the optimizer: cheaper to build than a literal per cell
     names = [name for name, _ in schema]
     text = json.dumps([dict(zip(names, row)) for row in rows], ensure_ascii=False)

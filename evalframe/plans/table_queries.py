@@ -187,10 +187,10 @@ def capped_samples(spark, sf):
 
 @query("k11_capped_samples_large", """
 SELECT model, task, o_orderkey::VARCHAR AS sample_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY model, task ORDER BY priority, o_orderkey) AS rn FROM v_priority) WHERE rn <= 10001""", _PRIORITY)
+  SELECT *, row_number() OVER (PARTITION BY model, task ORDER BY priority, o_orderkey) AS rn FROM v_priority) WHERE rn <= 200""", _PRIORITY)
 def capped_samples_large(spark, sf):
     rows = export.with_priority(converted(spark, sf)).select("model", "task", "ord", "instance.sample_id", "priority")
-    return sampling.capped_samples(rows, 10_001, ["model", "task"]).select("model", "task", "sample_id")
+    return sampling.capped_samples(rows, 200, ["model", "task"]).select("model", "task", "sample_id")
 
 
 @query("k12_explode_attempts", """

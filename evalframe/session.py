@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +42,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder the cluster names in spark.checkpoint.dir.
-
-    Only a local session without that setting falls back to a folder of this machine.
-    """
+    """A fresh path below the shared folder the cluster names in spark.checkpoint.dir, else below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="evalframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
     return f"{root.rstrip('/')}/evalframe/{name}-{uuid.uuid4().hex}"
 
 

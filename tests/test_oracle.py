@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from evalframe import plans
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = {name: entry.queries()[name] for name in plans.QUERIES}, plans.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evalframe.operators import docsets, mapping, merge
+from evalframe.operators import docsets, mapping, merge, resolve, sampling
 from evalframe.operators.scale import global_rank, literal_rows, lowest_share, spread_join, top_k
 
 
@@ -59,9 +59,31 @@ def test_global_rank(skewed):
     assert got == [r[1] for r in sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=True)]
 
 
-def test_literal_rows_are_bounded():
-    with pytest.raises(ValueError):
-        literal_rows([("x",)] * 20_000, [("a", "string")])
+def test_long_literal_lists(spark):
+    rows = literal_rows([(f"x{i}",) for i in range(20_000)], [("a", "string")])
+    assert spark.range(1).select(F.size(rows).alias("n")).first().n == 20_000
+
+
+def test_capped_samples_with_odd_priorities(spark):
+    rows = [("t", 1, None), ("t", 2, "zz"), ("t", 3, "0a1b"), ("t", 4, "ffff"), ("t", 5, "0a1b"), ("u", 6, None)]
+    frame = spark.createDataFrame(rows, "task string, ord int, priority string")
+    for cap in (1, 2, 4, 20_000):
+        order = sorted((r for r in rows if r[0] == "t"), key=lambda r: (r[2] is not None, r[2] or "", r[1]))
+        got = {r.ord for r in sampling.capped_samples(frame, cap).where("task = 't'").collect()}
+        assert got == {r[1] for r in order[:cap]}
+
+
+def test_deep_hierarchy(spark):
+    edges = spark.createDataFrame([(f"g{i}", f"g{i + 1}") for i in range(70)], "parent string, child string")
+    got = mapping.group_descendants(edges, spark.createDataFrame([("g0",)], "task string"))
+    assert got.count() == 70
+
+
+def test_filtered_multilingual_request(spark):
+    rows = [("m", "mgsm_de/exact_match", 0.2, 1), ("m", "mgsm_fr/exact_match", 0.4, 2), ("m", "mgsm/exact_match,flex", 0.9, 3)]
+    summary = spark.createDataFrame(rows, "model string, key string, score double, ord int")
+    got = resolve.resolve_metrics(summary, ["mgsm/exact_match,flex"]).collect()
+    assert [round(r.score, 9) for r in got] == [0.3]
 
 
 def test_candidate_pairs_lose_nothing(spark):
