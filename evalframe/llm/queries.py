@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalframe.llm import chat, packing, prefix_tree, private_terms, quality, sharding, suffix_dedup, templates, token_files, topk
+from evalframe.llm import (
+    chat, oracles, packing, prefix_tree, private_terms, quality, sharding, suffix_dedup, templates, token_files, topk,
+)
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
 
@@ -25,7 +27,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_exact_top_k")
+@query("op7_exact_top_k", oracles.TOP_K)
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
     asked = vectors.where(F.col("id") % 100 == 0).groupBy("id").agg(F.min("vector").alias("vector"))
@@ -51,7 +53,7 @@ def op5_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-@query("op4_chat_format")
+@query("op4_chat_format", oracles.CHAT)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's rows come in the layout of turn rows, conversation -7 in that of messages."""
     fields = F.struct("conv_id", "turn", "role", "text")
@@ -72,7 +74,7 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.sample().select(F.col("key").alias("doc_id"), "log_weight", "place")
 
 
-@query("op8_prefix_tree_join")
+@query("op8_prefix_tree_join", oracles.JACCARD)
 def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85, 100)
 
