@@ -10,7 +10,7 @@ In a cluster the sets are stored in a prefix tree with runs of members in its no
 at a time, and carries its overlap along, so a shared prefix is counted once for all sets below it; a subtree is left when
 even its longest rest could not reach the similarity. A large cluster is cut into blocks. The
 documents with the most links in their blocks meet all blocks first, which joins most copies of one text; what is then not
-in the largest component of the cluster meets all blocks, too, so no link between different components is missed.
+in the largest component of the cluster meets every block that has a key of it in another component, so no link is missed.
 
 Documents without words or with a null id link with nothing; the latter have no component. Rows with the same id are one
 node. An empty table gives no rows. Other input columns are not read.
@@ -335,6 +335,18 @@ def _block_links(width: int, p: int, q: int):
     return links
 
 
+def _own_keys(width: int, p: int, q: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.drop_columns(["text"])
+            for first, last, data, offsets in words.slices(batch.column("text")):
+                found, rows = segment_keys(*words.shingle_sets(data, offsets, width), p, q)
+                some = rest.slice(first, last - first).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *some.columns], ["key", *some.schema.names])
+
+    return keys
+
+
 def _cross_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
@@ -387,21 +399,29 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     held = large.select("cluster", "block", "doc_id", "text", F.lit(False).alias("asked"))
     links = written(links.unionByName(sent.unionByName(held).groupBy("cluster", "block").applyInArrow(
         _cross_links(width, p, q), "a long, b long")), "pivot-links")
-    # what is not in the largest component of its cluster now meets every block
+    # what is not in the largest component of its cluster now meets the blocks that hold a document of another component
+    # with one of its keys: nothing else can link with it
     parts = large.select("cluster", "doc_id").join(
         components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("_n")).groupBy("cluster").agg(
-        F.max_by("component", F.struct("_n", "component")).alias("_largest"))
-    rest = parts.join(largest, "cluster").where("component <> _largest").select("doc_id")
-    left = written(large.join(rest, "doc_id", "left_semi").withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.col("blocks") / 4, F.lit(1)).cast("int")).cast("int")), "left-over")
-    asked = left.withColumn("to", everywhere).select(
-        "cluster", F.col("to").alias("block"), "part", "doc_id", "text", F.lit(True).alias("asked"))
-    there = large.join(left.select("cluster", "part").distinct(), "cluster").join(
-        left.select("cluster", "part", "doc_id"), ["cluster", "part", "doc_id"], "left_anti").select(
+        F.max_by("component", F.struct("_n", "component")).alias("_largest"), F.count("*").alias("_parts"))
+    open_parts = written(parts.join(largest.where("_parts > 1"), "cluster").select(
+        "doc_id", "component", (F.col("component") != F.col("_largest")).alias("rest")), "open-components")
+    keys = large.join(open_parts, "doc_id").select("text", "cluster", "block", "doc_id", "component", "rest").mapInArrow(
+        _own_keys(width, p, q), "key long, cluster long, block int, doc_id long, component long, rest boolean")
+    keys = written(keys.repartition("key"), "open-keys")
+    mine = keys.where("rest").select("key", "cluster", "doc_id", F.col("block").alias("_own"), F.col("component").alias("_mine"))
+    there = keys.select("key", "block", "component").distinct()
+    asked = mine.join(there, "key").where("component <> _mine AND block <> _own").select("cluster", "block", "doc_id").distinct()
+    asked = written(asked, "asked")
+    turns = asked.groupBy("cluster", "block").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("_turns"))
+    sent = asked.join(turns, ["cluster", "block"]).join(large.select("doc_id", "text"), "doc_id").select(
+        "cluster", "block", F.pmod(F.xxhash64("doc_id"), F.col("_turns")).cast("int").alias("part"), "doc_id", "text",
+        F.lit(True).alias("asked"))
+    held = large.join(turns, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).select(
         "cluster", "block", "part", "doc_id", "text", F.lit(False).alias("asked"))
-    cross = asked.unionByName(there).groupBy("cluster", "block", "part").applyInArrow(
+    cross = sent.unionByName(held).groupBy("cluster", "block", "part").applyInArrow(
         _cross_links(width, p, q), "a long, b long")
     groups = components(links.unionByName(cross).unionByName(twins))
     return sets.join(groups, sets["doc_id"] == groups["node"], "left").select(
