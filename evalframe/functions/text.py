@@ -24,7 +24,6 @@ MODEL_FAILURES = ["Patch Apply Failed", "Test timed out"]
 
 # File types a judge can read, and how much of a file it is shown.
 TEXT_EXTENSIONS = [".txt", ".md", ".csv", ".json", ".py", ".yaml", ".yml"]
-JUDGE_TEXT_CHARS = 20_000
 
 
 def strip_reasoning(text: Column) -> Column:
@@ -76,9 +75,9 @@ def failure_cause(termination: Column, error: Column, error_type: Column, traceb
     )
 
 
-def inference_error_cause(result_json: Column) -> Column:
-    """context_overflow or other when the head of the result names an inference error, else NULL."""
-    head = F.substring(result_json, 1, 1000)
+def inference_error_cause(result_json: Column, chars: int | None = None) -> Column:
+    """context_overflow or other when the result (its first `chars` characters, if given) names an inference error, else NULL."""
+    head = result_json if chars is None else F.left(result_json, F.lit(chars))
     return F.when(contains_any(head, INFERENCE_ERROR_MARKERS),
                   F.when(contains_any(head, OVERFLOW_MARKERS), "context_overflow").otherwise("other"))
 
@@ -89,12 +88,13 @@ def is_evaluation_error(completed: Column, report_error: Column) -> Column:
     return ~finished & ~contains_any(F.coalesce(report_error, F.lit("")), MODEL_FAILURES)
 
 
-def judge_part(name: Column, content: Column, size: Column) -> Column:
-    """One deliverable as the judge sees it: a headed text cut at the limit, or a size note."""
+def judge_part(name: Column, content: Column, size: Column, chars: int | None = None) -> Column:
+    """One deliverable as the judge sees it: a headed text, cut after `chars` characters if given, or a size note."""
+    shown = content if chars is None else F.left(content, F.lit(chars))
     extension = F.regexp_extract(F.lower(name), r"(\.[^.]+)$", 1)
     head = F.concat(F.lit("--- "), name)
     return F.when(
-        extension.isin(TEXT_EXTENSIONS), F.concat(head, F.lit(" ---\n"), F.left(content, F.lit(JUDGE_TEXT_CHARS)))
+        extension.isin(TEXT_EXTENSIONS), F.concat(head, F.lit(" ---\n"), shown)
     ).otherwise(F.concat(head, F.lit(" (binary, "), size.cast("string"), F.lit(" bytes, not extracted) ---")))
 
 

@@ -12,9 +12,6 @@ from evalframe.operators.scale import spread_join, top_k
 # A reward counts as a success within this distance of 1.
 SUCCESS_TOLERANCE = 1e-6
 NO_REWARD_FILE = "RewardFileNotFoundError"
-MESSAGE_CHARS = 500
-PATCH_CHARS = 5000
-MAX_FAILED_TESTS = 20
 
 
 def is_success(reward: Column) -> Column:
@@ -167,10 +164,14 @@ def trial_metrics(summary: DataFrame, rewards: DataFrame, pass_at_k: DataFrame |
     return rows
 
 
-def summarize_trial(trials: DataFrame) -> DataFrame:
-    """Bounded trial rows; a 0/1 reward also becomes the pass@1 label."""
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
+def summarize_trial(trials: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """Trial rows, messages cut after `message_chars` if given; a 0/1 reward also becomes the pass@1 label."""
     reward = F.try_element_at("rewards", F.lit("reward"))
-    message = F.left(F.coalesce("exception_message", F.lit("")), F.lit(MESSAGE_CHARS))
+    message = _cut(F.coalesce("exception_message", F.lit("")), message_chars)
     seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1_000_000
     return trials.select(
         "benchmark", F.col("task_name").alias("task"), F.col("trial_name").alias("trial"), "rewards",
@@ -226,15 +227,17 @@ def append_error_samples(
     return selected.unionByName(extra.select(*selected.columns))
 
 
-def summarize_review(reviews: DataFrame) -> DataFrame:
-    """Bounded review rows. An instance whose evaluation failed keeps no `acc`: the failure is not the model's."""
+def summarize_review(
+    reviews: DataFrame, message_chars: int | None = None, patch_chars: int | None = None, failed_tests: int | None = None,
+) -> DataFrame:
+    """Review rows, cut where a length is given. An instance whose evaluation failed keeps no `acc`: the failure is not the model's."""
     acc = F.try_element_at("value", F.lit("acc"))
     failed = text.is_evaluation_error(F.col("completed"), F.col("error"))
     return reviews.select(
         "model", "file", "instance", "repo", "resolved", "tests.tests_passed", "tests.tests_required",
-        F.slice("tests.failed_tests", 1, MAX_FAILED_TESTS).alias("failed_tests"),
-        F.left("error", F.lit(MESSAGE_CHARS)).alias("error"), "n_input_tokens", "n_output_tokens",
-        F.left(F.coalesce("patch", F.lit("")), F.lit(PATCH_CHARS)).alias("patch"),
+        (F.col("tests.failed_tests") if failed_tests is None else F.slice("tests.failed_tests", 1, failed_tests)).alias("failed_tests"),
+        _cut(F.col("error"), message_chars).alias("error"), "n_input_tokens", "n_output_tokens",
+        _cut(F.coalesce("patch", F.lit("")), patch_chars).alias("patch"),
         F.when(~failed & acc.isin(0.0, 1.0), acc).alias("acc"),
     )
 

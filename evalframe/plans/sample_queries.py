@@ -106,21 +106,28 @@ def _generation_lines(spark, sf):
     )
 
 
-def _inference_causes(spark, sf):
+def _inference_causes(spark, sf, chars=None):
     parsed = F.try_parse_json("value")
     body = F.to_json(F.try_variant_get(parsed, "$.result", "variant"))
     return _generation_lines(spark, sf).select(
-        "model", "event_id", parsed.isNotNull().alias("parsed"), text.inference_error_cause(body).alias("cause")
+        "model", "event_id", parsed.isNotNull().alias("parsed"), text.inference_error_cause(body, chars).alias("cause")
     )
 
 
 @query("p18_inference_error_cause", """
-SELECT event_id, CASE WHEN event_type = 'error' AND k % 3 = 0 THEN 'context_overflow' WHEN event_type = 'error' AND k % 3 = 1
-  THEN 'other' END AS cause FROM v_events WHERE event_type <> 'view'""", views.EVENTS)
+SELECT event_id, CASE WHEN event_type = 'error' AND k % 3 = 0 THEN 'context_overflow' WHEN event_type = 'error' THEN 'other'
+  END AS cause FROM v_events WHERE event_type <> 'view'""", views.EVENTS)
 def inference_error_cause(spark, sf):
     return _inference_causes(spark, sf).where("parsed").select("event_id", "cause")
 
 
+@query("p18_inference_error_head", """
+SELECT event_id, CASE WHEN event_type = 'error' AND k % 3 = 0 THEN 'context_overflow' WHEN event_type = 'error' AND k % 3 = 1
+  THEN 'other' END AS cause FROM v_events WHERE event_type <> 'view'""", views.EVENTS)
+def inference_error_head(spark, sf):
+    return _inference_causes(spark, sf, 1000).where("parsed").select("event_id", "cause")
+
+
 # Review lines of events, in the two report shapes.
 def _review_files(spark, sf):
     k, kind = F.col("k"), F.col("event_type")
@@ -178,7 +185,7 @@ def required_tests(spark, sf):
 
 
 @query("p21_summarize_trial", """
-SELECT benchmark, trial_name AS trial, CASE WHEN exception_type IS NOT NULL THEN exception_type || ': ' || left(repeat('no luck ', k), 500) END AS error,
+SELECT benchmark, trial_name AS trial, CASE WHEN exception_type IS NOT NULL THEN exception_type || ': ' || repeat('no luck ', k) END AS error,
   k::BIGINT AS duration_sec, CASE WHEN reward IN (0, 1) THEN reward END AS pass_at_1, k::BIGINT AS n_input_tokens FROM v_trials""", views.TRIALS)
 def summarize_trial(spark, sf):
     return attempts.summarize_trial(views.trials(spark, sf)).select(
@@ -186,7 +193,7 @@ def summarize_trial(spark, sf):
 
 
 @query("p22_summarize_review", """
-SELECT instance, 'r' || user_id AS repo, event_type = 'purchase' AS resolved, least(k * 100, 5000)::BIGINT AS patch_chars,
+SELECT instance, 'r' || user_id AS repo, event_type = 'purchase' AS resolved, (k * 100)::BIGINT AS patch_chars,
   CASE WHEN NOT evaluation_error AND event_type IN ('purchase', 'view', 'signup', 'error') THEN (event_type = 'purchase')::INT END::DOUBLE AS acc,
   CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 'Patch Apply Failed: hunk 1' WHEN event_type = 'error' THEN 'disk full' END AS error,
   k::BIGINT AS n_input_tokens
@@ -196,6 +203,15 @@ def summarize_review(spark, sf):
         "instance", "repo", "resolved", F.length("patch").cast("long").alias("patch_chars"), "acc", "error", "n_input_tokens")
 
 
+@query("p22_summarize_review_cut", """
+SELECT instance, least(k * 100, 5000)::BIGINT AS patch_chars,
+  CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 'Patch Appl' WHEN event_type = 'error' THEN 'disk full' END AS error
+FROM v_reviews""", _REVIEWS)
+def summarize_review_cut(spark, sf):
+    return attempts.summarize_review(_reviews(spark, sf), message_chars=10, patch_chars=5000, failed_tests=20).select(
+        "instance", F.length("patch").cast("long").alias("patch_chars"), "error")
+
+
 @query("p23_summarize_log_sample", """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 WHEN 'P' THEN 0.5 END::DOUBLE AS grader,
   CASE WHEN o_orderkey % 3 = 0 THEN 0.25 END::DOUBLE AS ratio,
@@ -461,7 +477,7 @@ def judge_prompts(spark, sf):
 @query("p44_judge_text", """
 SELECT doc_id // 10 AS task, sha256(string_agg(CASE WHEN doc_id % 3 = 0
     THEN '--- d' || doc_id || '.bin (binary, ' || n_chars || ' bytes, not extracted) ---'
-    ELSE '--- d' || doc_id || '.TXT ---' || chr(10) || left(text, 20000) END, chr(10) || chr(10) ORDER BY doc_id)) AS judge_text
+    ELSE '--- d' || doc_id || '.TXT ---' || chr(10) || text END, chr(10) || chr(10) ORDER BY doc_id)) AS judge_text
 FROM documents GROUP BY ALL""")
 def judge_text(spark, sf):
     doc = F.col("doc_id")
