@@ -18,20 +18,24 @@ SIMILARITY_FLOOR = 0.85
 def assemble_doc_sets(questions: DataFrame, documents: DataFrame, by: Sequence[str] = ("question_id",)) -> DataFrame:
     """Adds `documents_text`: the documents a question lists (`;`-separated names), in that order, wrapped and joined.
 
-    `documents` has directory, name and text. Each question's own list bounds what is collected for it.
+    `documents` has directory, name and text. Each question's own list bounds what is collected for it. A question with
+    documents that do not exist stays, with their names in `missing_documents` and no text.
     """
     listed = questions.select(*by, "directory", F.posexplode(F.split("data_source_filenames", ";")).alias("pos", "name"))
     number = (F.col("pos") + 1).cast("string")
     wrapped = F.concat(
         F.lit("BEGIN DOCUMENT "), number, F.lit(":\n"), F.col("text"), F.lit("\nEND DOCUMENT "), number
     )
-    texts = listed.join(documents.select("directory", "name", "text"), ["directory", "name"]).select(
-        *by, F.struct("pos", wrapped.alias("text")).alias("d")
+    there = documents.select("directory", "name", "text", F.lit(True).alias("_there"))
+    texts = listed.join(there, ["directory", "name"], "left").select(
+        *by, F.struct("pos", "name", wrapped.alias("text"), F.col("_there").isNull().alias("missing")).alias("d")
     )
+    whole = F.array_join(F.transform("_docs", lambda d: d["text"]), "\n\n")
+    missing = F.transform(F.filter("_docs", lambda d: d["missing"]), lambda d: d["name"])
     joined = texts.groupBy(*by).agg(F.array_sort(F.collect_list("d")).alias("_docs")).select(
-        *by, F.array_join(F.transform("_docs", lambda d: d["text"]), "\n\n").alias("documents_text")
+        *by, F.when(F.size(missing) == 0, whole).alias("documents_text"), missing.alias("missing_documents")
     )
-    return questions.join(joined, list(by))
+    return questions.join(joined, list(by), "left")
 
 
 def official_answer(answer: Column) -> Column:

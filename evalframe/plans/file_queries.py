@@ -426,5 +426,5 @@ def review_progress(spark, sf):
     sinks.write_lines(lines, f"{root}/in/reviews", ["m", "f"])
     stream = progress.start_progress(spark, f"{root}/in", f"{root}/progress", f"{root}/state", once=True)
     stream.awaitTermination()
-    return spark.read.schema("key STRING, done LONG, passed LONG, failed LONG").parquet(f"{root}/progress").withColumn(
+    return progress.latest_progress(spark, f"{root}/progress").withColumn(
         "key", F.regexp_replace("key", "(m|f)=", ""))

@@ -496,11 +496,14 @@ def zero_missing_reward(spark, sf):
 # --- J11, J12: document sets ---------------------------------------------------------------------------------------------------
 
 
-# A question per conversation turn; its set are documents of one source, listed out of order.
+# A question for every ten documents; its set are these ten, listed out of order.
+_ORDER = [3, 0, 7, 4, 1, 8, 5, 2, 9, 6]
+
+
 def _doc_questions(spark, sf):
     docs = table(spark, sf, "documents")
     first = F.expr("doc_id div 10")
-    names = F.array_join(F.transform(F.array(*[F.lit(i) for i in (3, 0, 7)]), lambda i: F.concat(
+    names = F.array_join(F.transform(F.array(*[F.lit(i) for i in _ORDER]), lambda i: F.concat(
         F.lit("d"), (first * 10 + i).cast("string"), F.lit(".txt"))), ";")
     questions = docs.where("doc_id % 10 = 0").select(
         F.col("doc_id").alias("question_id"), F.concat(F.lit("set"), first.cast("string")).alias("directory"), names.alias("data_source_filenames"))
@@ -511,12 +514,14 @@ def _doc_questions(spark, sf):
 
 
 @query("j11_assemble_doc_sets", """
-SELECT q.doc_id AS question_id, sha256('BEGIN DOCUMENT 1:' || chr(10) || a.text || chr(10) || 'END DOCUMENT 1' || chr(10) || chr(10)
-  || 'BEGIN DOCUMENT 2:' || chr(10) || q.text || chr(10) || 'END DOCUMENT 2' || chr(10) || chr(10)
-  || 'BEGIN DOCUMENT 3:' || chr(10) || b.text || chr(10) || 'END DOCUMENT 3') AS documents
-FROM documents q JOIN documents a ON a.doc_id = q.doc_id + 3 JOIN documents b ON b.doc_id = q.doc_id + 7 WHERE q.doc_id % 10 = 0""")
+SELECT first * 10 AS question_id, CASE WHEN count(*) = 10 THEN sha256(string_agg(
+  'BEGIN DOCUMENT ' || pos || ':' || chr(10) || text || chr(10) || 'END DOCUMENT ' || pos, chr(10) || chr(10) ORDER BY pos)) END AS documents,
+  (10 - count(*))::INT AS n_missing
+FROM (SELECT doc_id // 10 AS first, doc_id % 10 AS place, list_position([3, 0, 7, 4, 1, 8, 5, 2, 9, 6], doc_id % 10) AS pos, text FROM documents)
+GROUP BY first HAVING bool_or(place = 0)""")
 def assemble_doc_sets(spark, sf):
-    return docsets.assemble_doc_sets(*_doc_questions(spark, sf)).select("question_id", F.sha2("documents_text", 256).alias("documents"))
+    return docsets.assemble_doc_sets(*_doc_questions(spark, sf)).select(
+        "question_id", F.sha2("documents_text", 256).alias("documents"), F.size("missing_documents").alias("n_missing"))
 
 
 # Names of part files per brand; every seventh file name lost a letter, every eleventh name has no file at all.

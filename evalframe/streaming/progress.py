@@ -53,10 +53,17 @@ def read_review_stream(spark: SparkSession, root: str, since: str | None = None)
 def start_progress(
     spark: SparkSession, root: str, sink: str, checkpoint: str, once: bool = False, since: str | None = None
 ):
-    """Keep the table at `sink` at the current progress. Each trigger replaces it by the full running counts."""
+    """Keep the current progress below `sink`: every trigger writes the full running counts to a path of its own."""
     counts = progress(read_review_stream(spark, root, since))
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: batch.write.mode("overwrite").parquet(sink)
+        lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
     )
     trigger = {"availableNow": True} if once else {"processingTime": f"{INTERVAL_SECONDS} seconds"}
     return writer.trigger(**trigger).start()
+
+
+def latest_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """The counts of the last trigger that was written."""
+    written = spark.read.parquet(sink)
+    last = written.agg(F.max("batch").alias("batch"))  # one row
+    return written.join(F.broadcast(last), "batch").drop("batch")

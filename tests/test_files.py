@@ -81,7 +81,7 @@ def test_progress_follows_new_segments(spark, tmp_path):
 
     def run():
         progress.start_progress(spark, str(root), str(sink), str(state), once=True).awaitTermination()
-        return {r.key: (r.done, r.passed, r.failed) for r in spark.read.parquet(str(sink)).collect()}
+        return {r.key: (r.done, r.passed, r.failed) for r in progress.latest_progress(spark, str(sink)).collect()}
 
     write(root / "reviews/m/d_all.jsonl/0001", "\n".join([line(1.0), line(0.0), line(0.0, "error"), '{"sample_sc']))
     assert run() == {"m/d_all": (3, 1, 1)}

@@ -303,6 +303,11 @@ def test_documents(spark):
     documents = spark.createDataFrame([("d", "a.txt", "A"), ("d", "b.txt", "B"), ("d", "c.txt", "C")], "directory string, name string, text string")
     assert docsets.assemble_doc_sets(questions, documents).first().documents_text == (
         "BEGIN DOCUMENT 1:\nB\nEND DOCUMENT 1\n\nBEGIN DOCUMENT 2:\nA\nEND DOCUMENT 2")
+    lists = [(1, "d", "a.txt;gone.txt"), (2, "d", "gone.txt"), (3, "e", "a.txt"), (4, "d", "a.txt")]
+    partly = docsets.assemble_doc_sets(
+        spark.createDataFrame(lists, "question_id int, directory string, data_source_filenames string"), documents)
+    assert {r.question_id: (r.documents_text is None, r.missing_documents) for r in partly.collect()} == {
+        1: (True, ["gone.txt"]), 2: (True, ["gone.txt"]), 3: (True, ["a.txt"]), 4: (False, [])}
     names = spark.createDataFrame([("d", "The company's annual report.txt"), ("d", "plain.txt"), ("d", "nothing like it.txt")], "directory string, name string")
     files = spark.createDataFrame([("d", "The companyΓÇÖs annual report.txt"), ("d", "plain.txt"), ("d", "extra file.txt")], "directory string, name string")
     paired = docsets.pair_names(names, files)
