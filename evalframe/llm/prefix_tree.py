@@ -111,9 +111,13 @@ def _sets(width: int):
             for first, last, data, offsets in words.slices(batch.column("text")):
                 members, bounds = words.shingle_sets(data, offsets, width)
                 one, two = _set_sums(members, bounds)
+                head = np.zeros(len(bounds) - 1, _U)
+                filled = np.flatnonzero(np.diff(bounds))
+                head[filled] = members[bounds[:-1][filled]]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, last - first), pa.array(np.diff(bounds)), pa.array(one), pa.array(two),
-                ], ["doc_id", "n", "sum1", "sum2"])
+                    pa.array(head.view(np.int64)),
+                ], ["doc_id", "n", "sum1", "sum2", "head"])
 
     return sets
 
@@ -364,7 +368,7 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     """doc_id, n_shingles, component_id of every row; sets link at a Jaccard similarity of p/q or more."""
     spark = documents.sparkSession
     narrow = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = written(narrow.mapInArrow(_sets(width), "doc_id long, n long, sum1 long, sum2 long"), "sets")
+    sets = written(narrow.mapInArrow(_sets(width), "doc_id long, n long, sum1 long, sum2 long, head long"), "sets")
     known = narrow.where("doc_id IS NOT NULL")
     # equal sets are one: only the smallest document of each goes on
     equal = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "sum1", "sum2").agg(F.min("doc_id").alias("b"))
@@ -381,10 +385,19 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     pairs = pairs.join(stands, pairs["b"] == stands["_doc"], "left").select("a", F.coalesce("_for", "b").alias("b"))
     clusters = components(pairs)
     members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("_n")).withColumn(
-        "blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    found = known.join(members, "doc_id").dropDuplicates(["doc_id"]).join(sizes, "cluster")
-    found = written(found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "cluster-texts")
+    # a block is a part of the cluster's tree: sets with one first member, many of those by document
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("_heads"))
+    heads = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("head").alias("_head"))
+    placed = members.join(heads, "doc_id").join(sizes, "cluster").select(
+        "doc_id", "cluster", F.pmod(F.xxhash64("_head"), F.col("_heads")).alias("_branch"))
+    whole = Window.partitionBy("cluster")
+    before = whole.orderBy("_branch").rowsBetween(Window.unboundedPreceding, -1)
+    branches = placed.groupBy("cluster", "_branch").agg(F.ceil(F.count("*") / block).alias("_subs")).select(
+        "cluster", "_branch", "_subs", F.coalesce(F.sum("_subs").over(before), F.lit(0)).alias("_from"),
+        F.sum("_subs").over(whole).cast("int").alias("blocks"))
+    placed = placed.join(branches, ["cluster", "_branch"]).select(
+        "doc_id", "cluster", "blocks", (F.col("_from") + F.pmod(F.xxhash64("doc_id"), F.col("_subs"))).cast("int").alias("block"))
+    found = written(known.join(placed, "doc_id").dropDuplicates(["doc_id"]), "cluster-texts")
     first = written(found.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").applyInArrow(
         _block_links(width, p, q), "cluster long, a long, b long, degree long"), "block-links")
     links = first.where("a <> b").select("a", "b")
