@@ -1,11 +1,12 @@
 """Personal data by patterns, and the terms that give it away by co-occurrence; DataFrame expressions only.
 
 Base spans are the leftmost, non-overlapping matches of one pattern per kind that pass the kind's rule. Every value found is
-a protected entity. The words around its spans are terms; over all documents are counted how many hold the term, the
-entity, and the term beside the entity. A term reveals an entity when most documents with the term hold the entity beside
-it and the pair is far more frequent than chance (pointwise mutual information in bits), with enough documents to tell.
-Such a term is a span of its own where it stands beside the entity. `sanitised` puts the name of its kind in the place of
-each span, which generalises the value; overlapping spans are replaced once, by the first.
+a protected entity. All words of a document that are no part of a base span are terms of each entity in it, however far
+apart they stand; over all documents are counted how many hold the term, the entity, and both. A term reveals an entity
+when most documents with the term hold the entity and the pair is far more frequent than chance (pointwise mutual
+information in bits), with enough documents to tell. Every occurrence of such a term in a document with the entity is a
+span of its own. `sanitised` puts the name of its kind in the place of each span, which generalises the value; overlapping
+spans are replaced once, by the first.
 
 Positions are code points, the end is exclusive. A null text is empty. Rows are told apart by id and text together, so
 repeated rows get equal results and rows with a null id theirs. An empty table gives no rows. Other columns are not read;
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evalframe.functions.let import let
 from evalframe.llm.shared import written
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT = 64  # code points on either side of a span in which words are terms
 MIN_DOCUMENTS = 3
-SHARE = 0.5  # of the documents with the term that hold the entity beside it
+SHARE = 0.5  # of the documents with the term that hold the entity
 BITS = 6.0
+BLOCK = 256  # matches placed together: appending to one array of all would take the square of their number
 
 # The patterns; their groups are possessive where nothing could be given back anyway, so that no text exhausts the stack.
 # An email address can only begin where a run of its letters begins or where the match before ended.
@@ -44,7 +46,7 @@ def located(text: Column, pattern: str) -> Column:
     cut = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    found = F.filter(cut, lambda m: m["value"].isNotNull())
+    none = F.array().cast(_SPAN)
 
     def step(state: Column, match: Column) -> Column:
         start = state["at"] + match["gap"]
@@ -52,8 +54,18 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(
             start.alias("start"), end.alias("end"), match["value"].alias("value"))).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(found, begin, step, lambda state: state["out"])
+    def block(state: Column, matches: Column) -> Column:
+        placed = F.aggregate(matches, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return let(placed, lambda p: F.struct(
+            p["at"].alias("at"), F.array_append(state["out"], p["out"]).alias("out")))
+
+    def blocks(found: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(found), F.lit(BLOCK))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.when(F.size(found) == 0, none).otherwise(F.flatten(F.aggregate(
+            F.transform(firsts, lambda i: F.slice(found, i, F.lit(BLOCK))), begin, block, lambda state: state["out"])))
+
+    return let(F.filter(cut, lambda m: m["value"].isNotNull()), blocks)
 
 
 def _digits(value: Column) -> Column:
@@ -93,8 +105,7 @@ def _named(kind: str, spans: Column) -> Column:
 
 
 def _entities(kind: str) -> Column:
-    return F.transform(F.col(kind), lambda s: F.struct(
-        F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(F.col(kind), lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
 
 
 def _replaced(kind: str) -> Column:
@@ -104,42 +115,20 @@ def _replaced(kind: str) -> Column:
 
 
 def found(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """_row, key, one column of base spans for each kind, and `_around`: the entities with the words beside them."""
+    """_row, key, one column of base spans for each kind, the distinct `_entities`, and where there are any the `_terms`."""
     content = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(
         F.xxhash64(F.col(key), content).alias("_row"), F.col(key).alias("key"), content.alias("_text"),
         *(base_spans(content, kind).alias(kind) for kind in KINDS))
-    values = F.flatten(F.array(*(_entities(kind) for kind in KINDS)))
-    rows = rows.withColumn("_values", values)
-
-    def around(span: Column) -> Column:
-        """A span with the text before and after it; only words that the cut leaves whole count, see `_terms`."""
-        begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        return F.struct(
-            span["entity"].alias("entity"), begin.alias("begin"), span["start"].alias("start"), span["end"].alias("end"),
-            F.substr("_text", begin + 1, span["start"] - begin).alias("before"),
-            F.substr("_text", span["end"] + 1, F.lit(CONTEXT)).alias("after"),
-            (F.length("_text") > span["end"] + CONTEXT).alias("cut"))
-
-    return rows.withColumn("_around", F.transform("_values", around)).drop("_values", "_text")
-
-
-def _terms(rows: DataFrame) -> DataFrame:
-    """_row, entity, term, start, end: the words beside each entity that are no part of a base span."""
+    values = F.array_distinct(F.flatten(F.array(*(_entities(kind) for kind in KINDS))))
     spans = F.flatten(F.array(*(F.col(kind) for kind in KINDS)))
-    one = rows.where(F.size("_around") > 0).select("_row", spans.alias("_spans"), F.explode("_around").alias("_c"))
-    before = F.filter(located(F.col("_c.before"), WORD), lambda w: (F.col("_c.begin") == 0) | (w["start"] > 0))
-    after = F.filter(located(F.col("_c.after"), WORD), lambda w: ~F.col("_c.cut") | (w["end"] < CONTEXT))
-    placed = F.concat(
-        F.transform(before, lambda w: F.struct(
-            (w["start"] + F.col("_c.begin")).alias("start"), (w["end"] + F.col("_c.begin")).alias("end"),
-            F.lower(w["value"]).alias("term"))),
-        F.transform(after, lambda w: F.struct(
-            (w["start"] + F.col("_c.end")).alias("start"), (w["end"] + F.col("_c.end")).alias("end"),
-            F.lower(w["value"]).alias("term"))))
-    words = one.select("_row", "_spans", F.col("_c.entity").alias("entity"), F.explode(placed).alias("_w"))
-    free = ~F.exists("_spans", lambda s: (s["start"] < F.col("_w.end")) & (F.col("_w.start") < s["end"]))
-    return words.where(free).select("_row", "entity", "_w.term", "_w.start", "_w.end")
+    rows = rows.withColumn("_entities", values).withColumn("_spans", spans)
+    free = F.filter(located(F.col("_text"), WORD), lambda w: ~F.exists(
+        "_spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    terms = F.transform(free, lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+    return rows.withColumn("_terms", F.when(F.size("_entities") > 0, terms).otherwise(F.array().cast(_SPAN))).drop(
+        "_spans", "_text")
 
 
 def revealing(
@@ -147,11 +136,11 @@ def revealing(
     bits: float = BITS,
 ) -> DataFrame:
     """_row and `term`: the spans of the terms that exceed the thresholds, by the counts of all documents."""
-    beside = written(_terms(rows), "terms")
-    pairs = beside.select("_row", "entity", "term").distinct()
+    holding = written(rows.where(F.size("_entities") > 0).select("_row", "_entities", "_terms").dropDuplicates(["_row"]), "terms")
+    pairs = holding.select("_entities", F.explode(F.array_distinct("_terms.value")).alias("term")).select(
+        F.explode("_entities").alias("entity"), "term")
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_documents)
-    entities = rows.select("_row", F.explode("_around").alias("_c")).select("_row", "_c.entity").distinct()
-    per_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    per_entity = holding.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     content = F.coalesce(F.col(text), F.lit(""))
     held = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(content), F.lit(WORD), F.lit(0)))).alias("term"))
@@ -160,7 +149,9 @@ def revealing(
     judged = together.join(per_term, "term").join(per_entity, "entity").crossJoin(total)  # one row
     information = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
     flagged = judged.where((F.col("n_both") >= share * F.col("n_term")) & (information >= bits)).select("entity", "term")
-    return beside.join(flagged, ["entity", "term"]).groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(
+    places = holding.select("_row", "_entities", F.explode("_terms").alias("_w")).select(
+        "_row", F.explode("_entities").alias("entity"), F.col("_w.value").alias("term"), "_w.start", "_w.end")
+    return places.join(flagged, ["entity", "term"]).groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(
         "start", "end", F.col("term").alias("value")))).alias("term"))
 
 
@@ -168,7 +159,7 @@ def spans(documents: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_ of each base kind and of terms, base_sha256 and spans of every row."""
     rows = written(found(documents, key, text), "base-spans")
     terms = revealing(rows, documents, text)
-    whole = rows.drop("_around").join(terms, "_row", "left").withColumn("term", F.coalesce("term", F.array().cast(_SPAN)))
+    whole = rows.drop("_entities", "_terms").join(terms, "_row", "left").withColumn("term", F.coalesce("term", F.array().cast(_SPAN)))
     base = F.concat(*(_named(kind, F.col(kind)) for kind in KINDS))
     return whole.select(
         "key", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS),
@@ -182,7 +173,7 @@ def sanitised(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = written(found(documents, key, text), "base-spans")
     terms = revealing(rows, documents, text)
     every = F.flatten(F.array(*(_replaced(kind) for kind in [*KINDS, "term"])))
-    marked = rows.drop("_around", "key").join(terms, "_row", "left").select("_row", F.array_sort(every).alias("pii")).where(
+    marked = rows.drop("_entities", "_terms", "key").join(terms, "_row", "left").select("_row", F.array_sort(every).alias("pii")).where(
         F.size("pii") > 0).dropDuplicates(["_row"])
     content = F.coalesce(F.col(text), F.lit(""))
     # the row as it came is one column, so that none of its names can clash

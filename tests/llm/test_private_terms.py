@@ -66,6 +66,18 @@ def test_terms_beside_an_entity(docs_of):
     assert clean[10] == rows[4][1] and clean[500] == "user0 writes to <EMAIL> from home"
 
 
+def test_terms_far_from_the_entity(docs_of):
+    far = "the group writes from home to number after number and rests " * 50
+    rows = [(i, f"Zyxel {far}zyxel@lab.org {far}Zyxel {i}") for i in range(4)]
+    rows += [(10 + i, f"the group writes to number {i} from home after it rests and goes") for i in range(400)]
+    got = {r["key"]: r for r in private_terms.spans(docs_of(rows), "doc_id", "text").collect()}
+    last = len("Zyxel  ") + len("zyxel@lab.org") + 2 * len(far)
+    assert all(got[i]["spans"].split(",")[1:] == ["term:0:5", f"term:{last}:{last + 5}"] for i in range(4))
+    assert all(got[i]["n_term"] == 0 for i, _ in rows[4:])
+    clean = {r["doc_id"]: r["text"] for r in private_terms.sanitised(docs_of(rows), "doc_id", "text").collect()}
+    assert clean[0] == f"<TERM> {far}<EMAIL> {far}<TERM> 0"
+
+
 def test_sanitised_rows(docs_of):
     rows = [(1, None), (2, ""), (3, "+1 650 555 0100 and a@b.c"), (3, "+1 650 555 0100 and a@b.c"), (None, "x 1.2.3.4 y")]
     docs = docs_of(rows).withColumn("pii", F.lit("p")).withColumn("_row", F.lit(1)).withColumn("came", F.lit(2))
