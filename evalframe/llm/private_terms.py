@@ -3,10 +3,12 @@
 Base spans are the leftmost, non-overlapping matches of one pattern per kind that pass the kind's rule. Every value found is
 a protected entity. All words of a document that are no part of a base span are terms of each entity in it, however far
 apart they stand; over all documents are counted how many hold the term, the entity, and both. A term reveals an entity
-when most documents with the term hold the entity and the pair is far more frequent than chance (pointwise mutual
-information in bits), with enough documents to tell. Every occurrence of such a term in a document with the entity is a
-span of its own. `sanitised` puts the name of its kind in the place of each span, which generalises the value; overlapping
-spans are replaced once, by the first.
+when most documents with the term hold the entity and the term gives a share of the entity's own information: pointwise
+mutual information over -log2 p(entity), which is 1 for a term found only with the entity, however frequent that is. The
+documents with both, at least `min_documents`, times the bits of the pair have to reach `bits`: so little is the chance that
+a term which has nothing to do with the entity stands with it so often. Every occurrence of such a term in a document with
+the entity is a span of its own. `sanitised` puts the name of its kind in the place of each span, which generalises the
+value; overlapping spans are replaced once, by the first. An entity in every document has no information to give away.
 
 Positions are code points, the end is exclusive. A null text is empty. Rows are told apart by id and text together, so
 repeated rows get equal results and rows with a null id theirs. An empty table gives no rows. Other columns are not read;
@@ -21,9 +23,10 @@ from evalframe.functions.let import let
 from evalframe.llm.shared import written
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_DOCUMENTS = 3
+MIN_DOCUMENTS = 2  # in one document every word that stands nowhere else would be a term
 SHARE = 0.5  # of the documents with the term that hold the entity
-BITS = 6.0
+INFORMATION = 0.5  # of the entity's own
+BITS = 6.0  # of all documents with both together
 BLOCK = 256  # matches placed together: appending to one array of all would take the square of their number
 
 # The patterns; their groups are possessive where nothing could be given back anyway, so that no text exhausts the stack.
@@ -133,7 +136,7 @@ def found(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def revealing(
     rows: DataFrame, documents: DataFrame, text: str, min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
-    bits: float = BITS,
+    bits: float = BITS, information: float = INFORMATION,
 ) -> DataFrame:
     """_row and `term`: the spans of the terms that exceed the thresholds, by the counts of all documents."""
     holding = written(rows.where(F.size("_entities") > 0).select("_row", "_entities", "_terms").dropDuplicates(["_row"]), "terms")
@@ -147,8 +150,10 @@ def revealing(
     per_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
     total = documents.agg(F.count("*").alias("n_all"))
     judged = together.join(per_term, "term").join(per_entity, "entity").crossJoin(total)  # one row
-    information = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
-    flagged = judged.where((F.col("n_both") >= share * F.col("n_term")) & (information >= bits)).select("entity", "term")
+    own = F.log2(F.col("n_all") / F.col("n_entity"))
+    mutual = own + F.log2(F.col("n_both") / F.col("n_term"))
+    flagged = judged.where((F.col("n_both") >= share * F.col("n_term")) & (own > 0) & (mutual >= information * own) & (
+        F.col("n_both") * mutual >= bits)).select("entity", "term")
     places = holding.select("_row", "_entities", F.explode("_terms").alias("_w")).select(
         "_row", F.explode("_entities").alias("entity"), F.col("_w.value").alias("term"), "_w.start", "_w.end")
     return places.join(flagged, ["entity", "term"]).groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(

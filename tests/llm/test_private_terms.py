@@ -78,6 +78,17 @@ def test_terms_far_from_the_entity(docs_of):
     assert clean[0] == f"<TERM> {far}<EMAIL> {far}<TERM> 0"
 
 
+def test_terms_of_frequent_and_of_rare_entities(docs_of):
+    rows = [(i, f"Ypsilon asks desk@all.org about number {i}") for i in range(100)]
+    rows += [(200 + i, f"somebody asks about number {i}") for i in range(196)]
+    rows += [(500 + i, f"Omikron asks rare@one.org about number {i}") for i in range(2)]
+    rows += [(600, "Alone asks single@one.org about number 1"), (601, "somebody asks about desk@all.org")]
+    got = {r["key"]: r["spans"].split(",") for r in private_terms.spans(docs_of(rows), "doc_id", "text").collect()}
+    assert all("term:0:7" in got[i] and len(got[i]) == 2 for i in range(100))  # an entity in a third of the rows
+    assert all("term:0:7" in got[500 + i] and len(got[500 + i]) == 2 for i in range(2))
+    assert len(got[600]) == 1 and len(got[601]) == 1  # one document, or a term that is mostly elsewhere, tells nothing
+
+
 def test_sanitised_rows(docs_of):
     rows = [(1, None), (2, ""), (3, "+1 650 555 0100 and a@b.c"), (3, "+1 650 555 0100 and a@b.c"), (None, "x 1.2.3.4 y")]
     docs = docs_of(rows).withColumn("pii", F.lit("p")).withColumn("_row", F.lit(1)).withColumn("came", F.lit(2))
