@@ -3,12 +3,13 @@
 Texts become template tokens: words without marks at their ends, in lower case, with typed placeholders for numbers, names
 and units. A number starts with a digit; a unit is a known unit word after a number; a name is a capitalised word that
 does not open a sentence. Windows of template tokens are hashed, and a document's windows are joined to the benchmark's by
-hash. Windows in which most tokens are placeholders say nothing and are left out.
+hash. The template of a window in which most tokens are placeholders says nothing: such a window is hashed with the values
+in its slots and matches as exact text.
 
 Matched windows are aligned by the distance of their positions. In an alignment every slot value of the item has to stand
 for one value of the document throughout; then the item may have been re-parameterised, and if all values are equal it was
 copied. Alignments with contradictory slots are dropped. A document holds an item when consistent alignments cover at least
-`coverage` of the item's windows.
+`coverage` of the item's windows, or of its windows that match as templates (of a re-parameterised item no others can).
 
 A bit map of all benchmark hashes, of fixed size, keeps document windows that can match nothing out of the join. Documents
 and items without words, and rows with a null text or id, match nothing; an item shorter than a window is one window of
@@ -93,7 +94,7 @@ def template_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """hash, row, position, first token and length of every window that is mostly literal; and the tokens' values and slots."""
+    """hash, row, position, first token, length and whether mostly literal of every window; and the tokens' values and slots."""
     count = len(offsets) - 1
     token, value, slot, rows = template_tokens(data, offsets)
     per_row = np.bincount(rows, minlength=count)
@@ -105,7 +106,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     length = np.minimum(per_row[owners], width)
     slots = np.concatenate([[0], np.cumsum(slot)])
     literal = 2 * (slots[first + length] - slots[first]) <= length
-    return hashes[literal], owners[literal], position[literal], first[literal], length[literal], value, slot
+    exact = np.flatnonzero(~literal)
+    for k in range(width):
+        at = exact[(k < length[exact])]
+        at = at[slot[first[at] + k]]
+        hashes[at] = words.mix(hashes[at] * _U(0x9E3779B97F4A7C15) + value[first[at] + k])
+    return hashes, owners, position, first, length, literal, value, slot
 
 
 def _bit(hashes: np.ndarray) -> np.ndarray:
@@ -118,21 +124,23 @@ def _windowed(width: int, bitmap: bytes | None):
         for batch in batches:
             ids = batch.column("id")
             for one, last, data, offsets in words.slices(batch.column("text")):
-                hashes, rows, position, first, length, value, slot = windows(data, offsets, width)
+                hashes, rows, position, first, length, literal, value, slot = windows(data, offsets, width)
                 keep = np.ones(len(hashes), bool) if known is None else known[_bit(hashes)]
-                hashes, rows, position, first, length = (x[keep] for x in (hashes, rows, position, first, length))
+                hashes, rows, position, first, length, literal = (
+                    x[keep] for x in (hashes, rows, position, first, length, literal))
                 inside = first[:, None] + np.arange(width)
                 taken = (np.arange(width) < length[:, None]) & slot[np.minimum(inside, max(len(slot) - 1, 0))] if len(first) else np.zeros((0, width), bool)
                 bounds = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[inside[taken]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes.view(np.int64)), ids.slice(one, last - one).take(pa.array(rows)), pa.array(position), values,
-                ], ["hash", "id", "position", "slots"])
+                    pa.array(literal),
+                ], ["hash", "id", "position", "slots", "literal"])
 
     return cut
 
 
-_WINDOW = "hash long, id long, position long, slots array<long>"
+_WINDOW = "hash long, id long, position long, slots array<long>, literal boolean"
 
 
 def _marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +159,7 @@ def _merged(group: pa.Table) -> pa.Table:
 
 
 def template_windows(rows: DataFrame, key: str, text: str, width: int = WIDTH, bitmap: bytes | None = None) -> DataFrame:
-    """hash, id, position, slots (hashes of the values in the window's slots, in order)."""
+    """hash, id, position, slots (hashes of the values in the window's slots, in order), literal (most tokens are)."""
     narrow = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(_windowed(width, bitmap), _WINDOW)
 
@@ -165,12 +173,14 @@ def contaminated(
     marks = asked.mapInArrow(_marking, "part int, bits binary").groupBy("part").applyInArrow(
         _merged, "part int, bits binary").orderBy("part").collect()  # of fixed size
     bitmap = b"".join(bytes(r["bits"]) for r in marks) if marks else bytes(BITS // 8)
-    sizes = asked.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("position").alias("n_windows"))
+    sizes = asked.groupBy(F.col("id").alias("item_id")).agg(
+        F.countDistinct("position").alias("n_windows"),
+        F.countDistinct(F.when(F.col("literal"), F.col("position"))).alias("n_literal"))
     own = template_windows(documents, key, text, width, bitmap).select(
         "hash", F.col("id").alias("doc_id"), F.col("position").alias("_at"), F.col("slots").alias("_own"))
-    met = own.join(asked.select("hash", F.col("id").alias("item_id"), "position", "slots"), "hash").where(
+    met = own.join(asked.select("hash", F.col("id").alias("item_id"), "position", "slots", "literal"), "hash").where(
         F.size("slots") == F.size("_own")).withColumn("_shift", F.col("_at") - F.col("position"))
-    met = written(met.select("doc_id", "item_id", "_shift", "position", F.arrays_zip("slots", "_own").alias("pairs")), "met-windows")
+    met = written(met.select("doc_id", "item_id", "_shift", "position", "literal", F.arrays_zip("slots", "_own").alias("pairs")), "met-windows")
     # in an alignment each slot value of the item stands for one value of the document
     alignment = ["doc_id", "item_id", "_shift"]
     values = met.select(*alignment, F.explode("pairs").alias("p")).groupBy(*alignment, F.col("p.slots").alias("value")).agg(
@@ -180,6 +190,9 @@ def contaminated(
         F.bool_and((F.col("low") == F.col("value")) & (F.col("high") == F.col("value"))).alias("equal"))
     sound = met.join(checked, alignment, "left").where("consistent IS NULL OR consistent")
     held = sound.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("position").alias("n_matched"), F.bool_and(F.coalesce("equal", F.lit(True))).alias("copied"))
-    return held.join(sizes, "item_id").where(F.col("n_matched") >= F.col("n_windows") * coverage).select(
+        F.countDistinct("position").alias("n_matched"),
+        F.countDistinct(F.when(F.col("literal"), F.col("position"))).alias("_literal"), F.bool_and(F.coalesce("equal", F.lit(True))).alias("copied"))
+    enough = (F.col("n_matched") >= F.col("n_windows") * coverage) | (
+        (F.col("n_literal") > 0) & (F.col("_literal") >= F.col("n_literal") * coverage))
+    return held.join(sizes, "item_id").where(enough).select(
         "doc_id", "item_id", "n_windows", "n_matched", "copied")

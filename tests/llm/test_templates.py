@@ -29,6 +29,14 @@ def test_kinds_of_contamination(spark, docs_of):
     assert got == [(1, 100, True), (2, 100, True), (3, 100, False), (9, 101, True), (11, 100, True)]
 
 
+def test_items_of_placeholders(spark, docs_of):
+    sums, names = "12 + 30 = 42 and 7 + 8 = 15 or 9 + 1 = 10", "of Anna Berta Clara Dora Emma Frida Greta Hanna Ida Jutta"
+    items = [(100, sums, "x", 1), (101, names, "x", 1), (102, "1234", "x", 1), (103, "1 2 3 4 5 6 7 8 9 10", "x", 1)]
+    docs = [(1, "It says " + sums + " in the end"), (2, "It says " + names + " came in"), (3, "1234"), (4, "1235"),
+            (5, "row 1 2 3 4 5 6 7 8 9 10 11"), (6, "row 9 8 7 6 5 4 3 2 1 0"), (7, "of Jutta Ida Hanna Greta Frida Emma Dora Clara")]
+    assert held(docs_of, spark, docs, items) == [(1, 100, True), (2, 101, True), (3, 102, True), (5, 103, True)]
+
+
 def test_empty_tables(spark, docs_of):
     assert held(docs_of, spark, [], [(1, ITEM, "x", 1)]) == []
     assert held(docs_of, spark, [(1, ITEM)], []) == []
