@@ -30,7 +30,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = templates.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    held = templates.contaminated(docs, "doc_id", "text", items, "item_id", "text", inside=True)
     return docs.join(held.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

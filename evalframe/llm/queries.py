@@ -83,7 +83,8 @@ def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item."""
     return templates.contaminated(
-        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text",
+        inside=True)
 
 
 @query("op2_private_terms")

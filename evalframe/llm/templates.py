@@ -9,27 +9,30 @@ in its slots and matches as exact text.
 Matched windows are aligned by the distance of their positions. In an alignment every slot value of the item has to stand
 for one value of the document throughout; then the item may have been re-parameterised, and if all values are equal it was
 copied. Alignments with contradictory slots are dropped. A document holds an item when consistent alignments cover at least
-`coverage` of the item's windows, or of its windows that match as templates (of a re-parameterised item no others can).
+`coverage` of the item's windows, or of its windows that match as templates (of a re-parameterised item no others can), or
+when one of them holds `run` successive tokens of the item, whatever share of a long item that is.
 
 A bit map of all benchmark hashes, of fixed size, keeps document windows that can match nothing out of the join. Documents
 and items without words, and rows with a null text or id, match nothing; an item shorter than a window is one window of
-its own length and matches documents of exactly these tokens only. Repeated rows match once. Empty tables give no rows.
-Other input columns are not read.
+its own length. With `inside`, document windows are cut at the lengths of the short items too, so that these are found
+anywhere in a document; without it they match documents of exactly these tokens only. Repeated rows match once. Empty tables
+give no rows. Other input columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.llm import words
 from evalframe.llm.shared import written
 
 WIDTH = 8
 COVERAGE = 0.5
+RUN = 32  # tokens, four windows end to end
 BITS = 1 << 23
 PARTS = 64
 
@@ -93,7 +96,18 @@ def template_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return token, value, number | unit | name, rows
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def _short(token: np.ndarray, per_row: np.ndarray, heads: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """hash, row and position of all windows of `length` tokens in longer rows; hashed like rows of that many tokens."""
+    count = np.where(per_row > length, per_row - length + 1, 0)
+    owners = np.repeat(np.arange(len(per_row)), count)
+    position = np.arange(len(owners)) - (np.cumsum(count) - count)[owners]
+    hashes = np.zeros(len(owners), _U)
+    for k in range(length):
+        hashes = words.mix(hashes * _U(0xD1342543DE82EF95) + token[heads[owners] + position + k] + _U(k + 1))
+    return hashes, owners, position
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, width: int, lengths: Sequence[int] = ()) -> tuple[np.ndarray, ...]:
     """hash, row, position, first token, length and whether mostly literal of every window; and the tokens' values and slots."""
     count = len(offsets) - 1
     token, value, slot, rows = template_tokens(data, offsets)
@@ -102,8 +116,12 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     hashes, owners = words.shingles(token, rows, count, width)
     windows_per_row = np.where(per_row >= width, per_row - width + 1, (per_row > 0).astype(np.int64))
     position = np.arange(len(owners)) - (np.cumsum(windows_per_row) - windows_per_row)[owners]
-    first = heads[owners] + position
     length = np.minimum(per_row[owners], width)
+    for shorter in lengths:
+        more = _short(token, per_row, heads, shorter)
+        hashes, owners, position = (np.concatenate(x) for x in zip((hashes, owners, position), more))
+        length = np.concatenate([length, np.full(len(more[0]), shorter, length.dtype)])
+    first = heads[owners] + position
     slots = np.concatenate([[0], np.cumsum(slot)])
     literal = 2 * (slots[first + length] - slots[first]) <= length
     exact = np.flatnonzero(~literal)
@@ -118,13 +136,13 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
     return (hashes % _U(BITS)).astype(np.int64)
 
 
-def _windowed(width: int, bitmap: bytes | None):
+def _windowed(width: int, bitmap: bytes | None, lengths: Sequence[int]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in batches:
             ids = batch.column("id")
             for one, last, data, offsets in words.slices(batch.column("text")):
-                hashes, rows, position, first, length, literal, value, slot = windows(data, offsets, width)
+                hashes, rows, position, first, length, literal, value, slot = windows(data, offsets, width, lengths)
                 keep = np.ones(len(hashes), bool) if known is None else known[_bit(hashes)]
                 hashes, rows, position, first, length, literal = (
                     x[keep] for x in (hashes, rows, position, first, length, literal))
@@ -134,13 +152,13 @@ def _windowed(width: int, bitmap: bytes | None):
                 values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[inside[taken]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes.view(np.int64)), ids.slice(one, last - one).take(pa.array(rows)), pa.array(position), values,
-                    pa.array(literal),
-                ], ["hash", "id", "position", "slots", "literal"])
+                    pa.array(literal), pa.array(length),
+                ], ["hash", "id", "position", "slots", "literal", "length"])
 
     return cut
 
 
-_WINDOW = "hash long, id long, position long, slots array<long>, literal boolean"
+_WINDOW = "hash long, id long, position long, slots array<long>, literal boolean, length long"
 
 
 def _marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +176,17 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.table({"part": group.column("part").slice(0, 1), "bits": [bits.tobytes()]})
 
 
-def template_windows(rows: DataFrame, key: str, text: str, width: int = WIDTH, bitmap: bytes | None = None) -> DataFrame:
-    """hash, id, position, slots (hashes of the values in the window's slots, in order), literal (most tokens are)."""
+def template_windows(
+    rows: DataFrame, key: str, text: str, width: int = WIDTH, bitmap: bytes | None = None, lengths: Sequence[int] = (),
+) -> DataFrame:
+    """hash, id, position, slots (hashes of the values in the window's slots, in order), literal (most tokens are), length."""
     narrow = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_windowed(width, bitmap), _WINDOW)
+    return narrow.mapInArrow(_windowed(width, bitmap, lengths), _WINDOW)
 
 
 def contaminated(
     documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = WIDTH,
-    coverage: float = COVERAGE,
+    coverage: float = COVERAGE, run: int = RUN, inside: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, copied (all slots equal): a row for each item that a document holds."""
     asked = written(template_windows(items, item_key, item_text, width).distinct(), "item-windows")
@@ -176,7 +196,8 @@ def contaminated(
     sizes = asked.groupBy(F.col("id").alias("item_id")).agg(
         F.countDistinct("position").alias("n_windows"),
         F.countDistinct(F.when(F.col("literal"), F.col("position"))).alias("n_literal"))
-    own = template_windows(documents, key, text, width, bitmap).select(
+    short = asked.where(F.col("length") < width).select("length").distinct().collect() if inside else []  # width - 1 at most
+    own = template_windows(documents, key, text, width, bitmap, sorted(r["length"] for r in short)).select(
         "hash", F.col("id").alias("doc_id"), F.col("position").alias("_at"), F.col("slots").alias("_own"))
     met = own.join(asked.select("hash", F.col("id").alias("item_id"), "position", "slots", "literal"), "hash").where(
         F.size("slots") == F.size("_own")).withColumn("_shift", F.col("_at") - F.col("position"))
@@ -192,7 +213,19 @@ def contaminated(
     held = sound.groupBy("doc_id", "item_id").agg(
         F.countDistinct("position").alias("n_matched"),
         F.countDistinct(F.when(F.col("literal"), F.col("position"))).alias("_literal"), F.bool_and(F.coalesce("equal", F.lit(True))).alias("copied"))
+    # the longest run of successive windows in one alignment
+
+    def step(state: Column, position: Column) -> Column:
+        now = F.when(position == state["last"] + 1, state["now"] + 1).otherwise(F.lit(1))
+        return F.struct(position.alias("last"), now.alias("now"), F.greatest(state["best"], now).alias("best"))
+
+    begin = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+    runs = sound.groupBy(*alignment).agg(
+        F.aggregate(F.sort_array(F.collect_set("position")), begin, step, lambda state: state["best"]).alias("_run")).groupBy(
+        "doc_id", "item_id").agg(F.max("_run").alias("_run"))
+    held = held.join(runs, ["doc_id", "item_id"])
     enough = (F.col("n_matched") >= F.col("n_windows") * coverage) | (
-        (F.col("n_literal") > 0) & (F.col("_literal") >= F.col("n_literal") * coverage))
+        (F.col("n_literal") > 0) & (F.col("_literal") >= F.col("n_literal") * coverage)) | (
+        F.col("_run") >= max(run - width + 1, 1)) & (F.col("n_windows") > 1)
     return held.join(sizes, "item_id").where(enough).select(
         "doc_id", "item_id", "n_windows", "n_matched", "copied")

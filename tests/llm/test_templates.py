@@ -37,6 +37,18 @@ def test_items_of_placeholders(spark, docs_of):
     assert held(docs_of, spark, docs, items) == [(1, 100, True), (2, 101, True), (3, 102, True), (5, 103, True)]
 
 
+def test_short_items_inside_and_long_runs(spark, docs_of):
+    long = " ".join(f"w{i}x{i * i}" for i in range(500)).replace("w", "word")
+    part = " ".join(long.split()[100:300])
+    docs = [(1, "it says " + SHORT + " and a lot more than that"), (2, SHORT), (3, "first " + part + " last"), (4, "a why b c"),
+            (5, " ".join(long.split()[:31])), (6, "two plus two is five or so it says here"), (7, " ".join(long.split()[8:40]))]
+    items = spark.createDataFrame(
+        [(100, SHORT, "x", 1), (101, long, "x", 1), (102, "Why?", "x", 1)], "item_id long, text string, doc_id string, hash long")
+    rows = templates.contaminated(docs_of(docs), "doc_id", "text", items, "item_id", "text", inside=True).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in rows) == [
+        (1, 100, 1), (2, 100, 1), (3, 101, 193), (4, 102, 1), (7, 101, 25)]
+
+
 def test_empty_tables(spark, docs_of):
     assert held(docs_of, spark, [], [(1, ITEM, "x", 1)]) == []
     assert held(docs_of, spark, [(1, ITEM)], []) == []
