@@ -6,9 +6,10 @@ does not open a sentence. Windows of template tokens are hashed, and a document'
 hash. The template of a window in which most tokens are placeholders says nothing: such a window is hashed with the values
 in its slots and matches as exact text.
 
-Matched windows are aligned by the distance of their positions. In an alignment every slot value of the item has to stand
-for one value of the document throughout; then the item may have been re-parameterised, and if all values are equal it was
-copied. Alignments with contradictory slots are dropped. A document holds an item when consistent alignments cover at least
+Matched windows are aligned by the distance of their positions. In an alignment a slot value of the item stands for one
+value of the document throughout; then the item may have been re-parameterised, and if all values are equal it was copied.
+Where it stands for several, the windows that hold one of these other values are dropped; windows in which it stands for
+itself are text of the item and stay, as do all without it. A document holds an item when the windows left cover at least
 `coverage` of the item's windows, or of its windows that match as templates (of a re-parameterised item no others can), or
 when one of them holds `run` successive tokens of the item, whatever share of a long item that is.
 
@@ -207,9 +208,10 @@ def contaminated(
     values = met.select(*alignment, F.explode("pairs").alias("p")).groupBy(*alignment, F.col("p.slots").alias("value")).agg(
         F.min("p._own").alias("low"), F.max("p._own").alias("high"))
     checked = values.groupBy(*alignment).agg(
-        F.bool_and(F.col("low") == F.col("high")).alias("consistent"),
+        F.array_agg(F.when(F.col("low") != F.col("high"), F.col("value"))).alias("torn"),
         F.bool_and((F.col("low") == F.col("value")) & (F.col("high") == F.col("value"))).alias("equal"))
-    sound = met.join(checked, alignment, "left").where("consistent IS NULL OR consistent")
+    contradicted = F.exists("pairs", lambda p: (p["slots"] != p["_own"]) & F.array_contains(F.col("torn"), p["slots"]))
+    sound = met.join(checked, alignment, "left").where(~F.coalesce(contradicted, F.lit(False)))
     held = sound.groupBy("doc_id", "item_id").agg(
         F.countDistinct("position").alias("n_matched"),
         F.countDistinct(F.when(F.col("literal"), F.col("position"))).alias("_literal"), F.bool_and(F.coalesce("equal", F.lit(True))).alias("copied"))

@@ -49,6 +49,15 @@ def test_short_items_inside_and_long_runs(spark, docs_of):
         (1, 100, 1), (2, 100, 1), (3, 101, 193), (4, 102, 1), (7, 101, 25)]
 
 
+def test_one_contradicted_value(spark, docs_of):
+    tail = " then they all sat down beside the river and ate bread with cheese before the 88 wagons moved on to the next stop"
+    edited = ITEM.replace("12 bridges", "13 bridges")
+    torn = (ITEM + tail).replace("12 wagons", "57 wagons").replace("12 bridges", "58 bridges")
+    docs = [(1, "First. " + edited), (2, "First. " + torn), (3, "First. " + ITEM + tail), (4, ITEM.replace("12 wagons", "57 wagons"))]
+    got = held(docs_of, spark, docs, [(100, ITEM, "x", 1), (101, ITEM + tail, "x", 1)])
+    assert got == [(1, 100, False), (2, 101, False), (3, 100, True), (3, 101, True), (4, 100, False)]
+
+
 def test_empty_tables(spark, docs_of):
     assert held(docs_of, spark, [], [(1, ITEM, "x", 1)]) == []
     assert held(docs_of, spark, [(1, ITEM)], []) == []
