@@ -181,9 +181,12 @@ def kept(documents: DataFrame, key: str, text: str, model: Model, seed: int = 0)
     return documents.mapInArrow(keep, documents.schema)
 
 
-def threshold(held_out: DataFrame, step: float = 0.25, bound: float = 500.0) -> float | None:
-    """The weight that tells the rows of `held_out` (log_weight, good) apart with the least sum of both error rates."""
-    level = F.floor(F.greatest(F.least("log_weight", F.lit(bound)), F.lit(-bound)) / step).cast("int").alias("level")
+def threshold(held_out: DataFrame, step: float = 0.25) -> float | None:
+    """The weight that tells the rows of `held_out` (log_weight, good) apart with the least sum of both error rates.
+
+    The levels are those that occur, however low: not more than there are held-out rows, which SAMPLE bounds.
+    """
+    level = F.floor(F.col("log_weight") / step).cast("long").alias("level")
     rows = held_out.groupBy(level).agg(
         F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("level").collect()
     good, bad = np.array([r["good"] for r in rows], float), np.array([r["bad"] for r in rows], float)

@@ -10,6 +10,13 @@ from evalframe.llm.queries import GOOD, op9_importance_resampling
 LABELS = "doc_id long, quality int, toxic int, text string, `good` string"
 
 
+def test_threshold_far_below(spark):
+    """Long documents have low weights: good ones at -900 are told from junk at -5,000."""
+    rows = [(-900.0 - i, True) for i in range(20)] + [(-5000.0 - i, False) for i in range(20)]
+    line = quality.threshold(spark.createDataFrame(rows, "log_weight double, good boolean"))
+    assert -5000 < line <= -919
+
+
 @pytest.fixture(scope="module")
 def labels(spark, sf):
     return {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
