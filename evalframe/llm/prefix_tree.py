@@ -379,8 +379,10 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     keyed = known.mapInArrow(_keyed(width, p, q, buckets), "bucket long, keys binary, docs binary, a binary, b binary")
     met = keyed.groupBy("bucket").applyInArrow(_met, "a long, b long").distinct()
     twins = written(same.where("a <> b").distinct(), "equal-sets")
-    # pairs between equal sets say nothing new; every document stands for its set
-    stands = twins.select(F.col("a").alias("_doc"), F.col("b").alias("_for"))
+    # pairs between equal sets say nothing new; every document stands for its set, unless its id has several
+    several = sets.where("doc_id IS NOT NULL").select("doc_id", "n", "sum1", "sum2").distinct().groupBy("doc_id").agg(
+        F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_doc"))
+    stands = twins.select(F.col("a").alias("_doc"), F.col("b").alias("_for")).join(several, "_doc", "left_anti")
     pairs = met.join(stands, met["a"] == stands["_doc"], "left").select(F.coalesce("_for", "a").alias("a"), "b")
     pairs = pairs.join(stands, pairs["b"] == stands["_doc"], "left").select("a", F.coalesce("_for", "b").alias("b"))
     clusters = components(pairs)
@@ -397,7 +399,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         F.sum("_subs").over(whole).cast("int").alias("blocks"))
     placed = placed.join(branches, ["cluster", "_branch"]).select(
         "doc_id", "cluster", "blocks", (F.col("_from") + F.pmod(F.xxhash64("doc_id"), F.col("_subs"))).cast("int").alias("block"))
-    found = written(known.join(placed, "doc_id").dropDuplicates(["doc_id"]), "cluster-texts")
+    found = written(known.join(placed, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(
+        ["doc_id", "_text"]).drop("_text"), "cluster-texts")
     first = written(found.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").applyInArrow(
         _block_links(width, p, q), "cluster long, a long, b long, degree long"), "block-links")
     links = first.where("a <> b").select("a", "b")
@@ -414,7 +417,7 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         _cross_links(width, p, q), "a long, b long")), "pivot-links")
     # what is not in the largest component of its cluster now meets the blocks that hold a document of another component
     # with one of its keys: nothing else can link with it
-    parts = large.select("cluster", "doc_id").join(
+    parts = large.select("cluster", "doc_id").distinct().join(
         components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     largest = parts.groupBy("cluster", "component").agg(F.count("*").alias("_n")).groupBy("cluster").agg(
@@ -442,8 +445,20 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
 
 
 def one_of_each(documents: DataFrame, key: str, text: str, width: int, p: int, q: int) -> DataFrame:
-    """The rows of the smallest document of each component, one for each id; rows with a null id stay."""
-    groups = near_duplicates(documents, key, text, width, p, q)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = documents.join(first, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
-    return kept.unionByName(documents.where(F.col(key).isNull()))
+    """The rows of the smallest document of each component, one for each id and text; rows with a null id stay."""
+    named, none = documents.where(F.col(key).isNotNull()), documents.where(F.col(key).isNull())
+    texts = named.select(F.col(key).alias("id"), F.xxhash64(text).alias("text")).distinct()
+    if texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        groups = near_duplicates(documents, key, text, width, p, q)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+        kept = documents.join(first, key, "left_semi").dropDuplicates([key]).select(*documents.columns)
+        return kept.unionByName(none)
+    # ids with several texts: a document is an id with a text, the smallest that of the smallest id
+    rows = named.select(F.xxhash64(key, text).alias("node"), F.struct("*").alias("came"))
+    groups = near_duplicates(rows.select("node", F.col("came").getField(text).alias("text")), "node", "text", width, p, q)
+    ids = rows.select("node", F.col("came").getField(key).alias("id")).distinct()
+    first = groups.select(F.col("doc_id").alias("node"), "component_id").distinct().join(ids, "node").groupBy(
+        "component_id").agg(F.min(F.struct("id", "node")).alias("least")).select("least.node")
+    kept = rows.join(first, "node", "left_semi").dropDuplicates(["node"]).select(
+        *(F.col("came").getField(c).alias(c) for c in documents.columns))
+    return kept.unionByName(none)

@@ -108,3 +108,15 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in op8_prefix_tree_join(spark, sf).collect()), key=repr)
     assert got == plain(rows, 4, 85, 100)
+
+
+def test_one_id_with_unlike_texts(docs_of):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (2, one + " end"), (2, two), (2, two), (3, two + " end"), (4, "a b c"), (4, "d e f"), (4, None), (None, one)]
+    kept = prefix_tree.one_of_each(docs_of(rows), "doc_id", "text", 5, 4, 5)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, one), (2, two), (4, "a b c"), (4, "d e f"), (4, None), (None, one)], key=repr)
+    got = prefix_tree.near_duplicates(docs_of(rows[:5]), "doc_id", "text", 5, 4, 5).collect()
+    assert {r["component_id"] for r in got} == {1}  # both texts of 2 have their links
+    twin = prefix_tree.near_duplicates(docs_of([(1, one), (2, one), (2, two), (3, two + " end")]), "doc_id", "text", 5, 4, 5)
+    assert {r["component_id"] for r in twin.collect()} == {1}
