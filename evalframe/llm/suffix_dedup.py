@@ -7,13 +7,15 @@ with the same one is a segment, sent once. Three steps decide what is an earlier
 - Equal segments are one. In every task, and then in every group, the smallest document of equal segments stays and the
   others are covered at once, so copies of any number shrink to one before they meet.
 - Segments of one group that differ may still share windows. For them the bytes are fetched and the suffixes of all their
-  windows are sorted, by doubling the length of the compared prefix up to WINDOW. In that order the longest previous factor
-  of a position reaches WINDOW exactly if the previous or next suffix of a smaller document agrees with it that far.
+  windows are sorted, by doubling the length of the compared prefix up to WINDOW. Positions that agree that far are a class,
+  and all but those of its smallest document are covered. No array of longest previous factors or of previous and next
+  smaller positions is computed; such an array would reach WINDOW at the same positions.
 - Groups whose smallest string is very frequent would gather segments without bound. A sketch of fixed size counts the
   strings of all documents; windows of frequent ones are groups of their own, by the hash of all their bytes.
 
-Spans and kept bytes follow from the covered windows of a document. Hashes of 96 bits or more decide equality, so two
-different strings are taken for equal with a chance below 2^-40 even among 10^8 segments.
+Spans and kept bytes follow from the covered windows of a document. Equal segments are told by hashes alone: by 64 bits
+among those that are sent together, and by 40 bits of the group and 40 of the content in a bucket. Among n segments two
+different ones are taken for equal with a chance of about n^2 / 2^65 in the first place and n^2 / 2^81 in the second.
 
 Nulls: a null text is empty; a null id counts as larger than any other. Rows are told apart by id and text together, and
 rows of one id never cover each other. An empty table gives no rows. Other input columns are not read.
