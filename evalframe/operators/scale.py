@@ -12,6 +12,10 @@ from evalframe.session import cut_lineage
 # Bounds for the number of pieces a key is split into; see `pieces`.
 MIN_PIECES, MAX_PIECES = 32, 256
 
+# A key with more than one in HOT_KEYS of the rows is hot, so there are fewer hot keys than that; the sketch that finds them
+# keeps TRACKED_KEYS counters, at least three quarters of them in use, and misses no key with that share.
+HOT_KEYS, TRACKED_KEYS = 128, 4096
+
 # Leading hex digits of a hash that name the histogram bucket when a large per-group selection is cut off.
 RANK_DIGITS = 4
 
@@ -44,6 +48,50 @@ def spread_join(
     return big.withColumn("_salt", piece).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], counts: str | None = None) -> DataFrame:
+    """One row with `_hot`, a map from the hash of each hot key to the pieces it should be split into.
+
+    The keys are found by a frequent-items sketch, which is merged over the partitions, so nothing is shuffled but
+    sketches. `counts` names a column with the rows of each key where `df` has one row per key already; they are exact.
+    A key gets as many pieces as it would fill shuffle partitions.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.select(F.xxhash64(*on).alias("item"), F.lit(1).alias("rows") if counts is None else F.col(counts).alias("rows"))
+    if counts is None:
+        found = hashed.agg(F.expr(f"approx_top_k(item, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"), F.count("*").alias("n"))
+    else:
+        share = F.col("rows") * HOT_KEYS
+        total = hashed.agg(F.sum("rows").alias("n"))
+        hot = hashed.crossJoin(F.broadcast(total)).where(share > F.col("n"))  # a row; the rest is gone before the list
+        found = hot.agg(
+            F.collect_list(F.struct("item", F.col("rows").alias("count"))).alias("top"), F.max("n").alias("n"))
+    large = F.filter("top", lambda x: (x["count"] * HOT_KEYS > F.col("n")) & (x["count"] > 1))
+    entry = lambda x: F.struct(
+        x["item"], F.least(F.ceil(x["count"] * partitions / F.col("n")), x["count"]).cast("int"))
+    return found.select(F.map_from_entries(F.transform(large, entry)).alias("_hot"))
+
+
+def heavy_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", spread: Sequence[str] | None = None,
+    heat: DataFrame | None = None,
+) -> DataFrame:
+    """Join `big` with a side that has one row (or few) per key; only hot keys of `big` are split, and copied in `small`.
+
+    All copies together are at most the number of shuffle partitions and HOT_KEYS more. `heat` is what `hot_keys` gives, to
+    be passed where it is known more cheaply than from the keys of `big`; it is one row, hence the broadcast. `spread` names
+    the columns of `big` whose hash picks the piece; by default all of them. NULL keys can be hot and match nothing.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type {how!r}")
+    heat = F.broadcast(hot_keys(big, on) if heat is None else heat)
+    pieces_of = F.coalesce(F.try_element_at("_hot", F.xxhash64(*on)), F.lit(1))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in spread or _hashable(big)])
+    split = big.crossJoin(heat).withColumn("_piece", F.pmod(row, pieces_of).cast("int")).drop("_hot")
+    copies = small.crossJoin(heat).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), pieces_of - 1))).drop("_hot")
+    return split.join(copies, [*on, "_piece"], how).drop("_piece")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first `k` rows per group in `order` (a total order), optionally keeping the rank.
 
