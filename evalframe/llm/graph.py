@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.llm.shared import written
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the pairs with the smallest one that they connect it to, where that is another."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)], ends[len(a) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(low[one], low[two])
+        new = low.copy()
+        for at in (one, two, low[one], low[two]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    moved = low != np.arange(len(nodes))
+    return nodes[moved], nodes[low[moved]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of `edges` (a long, b long; any order, repeats allowed).
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalframe.llm import (
-    chat, oracles, packing, prefix_tree, private_terms, quality, sharding, suffix_dedup, templates, token_files, topk,
+    chat, oracles, packing, prefix_tree, private_terms, quality, sharding, simhash, suffix_dedup, templates, token_files, topk,
 )
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
@@ -96,3 +96,8 @@ def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text", keep_text=False)
     return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_simhash_trees")
+def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4)
