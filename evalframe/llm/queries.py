@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalframe.llm import (
-    chat, oracles, packing, prefix_tree, private_terms, quality, sharding, simhash, suffix_dedup, templates, token_files, topk,
+    alignment, chat, oracles, packing, prefix_tree, private_terms, quality, sharding, simhash, suffix_dedup, templates, token_files, topk,
 )
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
@@ -101,3 +101,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash_trees")
 def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", "piece_bpe_32k.model")
