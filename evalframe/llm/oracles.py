@@ -39,3 +39,25 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(esc) + marks)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+SEARCH = """
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+terms AS (
+  SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM texts),
+tf AS (SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT id, sum(tf)::BIGINT AS n FROM tf WHERE kind = 0 GROUP BY id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+m AS (SELECT id, 100 - 75 + (75 * n * docs) // words AS m FROM sizes, whole),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole WHERE kind = 0 GROUP BY term, docs),
+scores AS (
+  SELECT q.id AS item_id, d.id AS doc_id, sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::BIGINT AS score
+  FROM tf q JOIN tf d USING (term) JOIN w USING (term) JOIN m ON m.id = d.id
+  WHERE q.kind = 1 AND d.kind = 0 GROUP BY q.id, d.id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10"""

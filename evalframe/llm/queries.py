@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalframe.llm import (
-    alignment, chat, oracles, packing, prefix_tree, private_terms, quality, sharding, simhash, suffix_dedup, templates, token_files, topk,
+    alignment, bloom_search, chat, oracles, packing, prefix_tree, private_terms, quality, sharding, simhash, suffix_dedup, templates, token_files, topk,
 )
 from evalframe.llm.registry import query, table
 from evalframe.llm.shared import written
@@ -107,3 +107,9 @@ def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(
         table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+@query("op13_bloom_search", oracles.SEARCH)
+def op13_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_search.top_documents(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
