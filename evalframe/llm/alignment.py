@@ -6,9 +6,9 @@ tokens share a character, or a token is a byte of one that the vocabulary lacks,
 far each reaches. Byte offsets where tokens of both end part a text into groups; a token of A and one of B that end together
 are a link.
 
-A never reaches from a character that is no white space to one that is, and B does so only before white space that some
-piece of its vocabulary has inside (found when a model is loaded). So texts are cut at the other such places, and every
-different piece is encoded and aligned once and remembered; the groups of a text are those of its pieces in a row.
+A never reaches from a character that is no white space to a blank or a line feed, nor does B unless a piece of its
+vocabulary holds such a place (checked when a model is loaded). So texts are cut there, and every different piece is encoded
+and aligned once and remembered under its 64-bit hash; the groups of a text are those of its pieces in a row.
 
 Of two tokens that end together the bytes of one are a suffix of the other's. The pairs of ids that can ever be linked are
 therefore at most `pair_bound`: the sum, over all tokens of both, of the tokens of the other that are suffixes of them. That bounds
@@ -31,18 +31,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evalframe.llm import words
+from evalframe.llm.pieces import Memory, cut, may_end_blank, spread
 from evalframe.llm.shared import written
 from evalframe.llm.tokens import tokenizer_file
 
-MEMORY = 300_000  # pieces remembered in each of two generations
+MEMORY = 250_000  # pieces remembered in each of two generations
 LONGEST = 100  # characters of a piece that is remembered
-TOGETHER = 512  # pieces encoded in one call
-SLICE = 4 << 20  # characters of texts worked on together
+GROUP = 64  # pieces encoded as one text
 
 # The white space of Unicode, at which byte-level vocabularies split.
 _BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _NONE = (0, 0, 0, b"", b"")
+_WHOLE = (-1, 0, 0, b"", b"")  # a piece that only the whole text tells how B splits
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -52,16 +54,8 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _cutter(pieces: list[str]) -> re.Pattern:
-    """Matches the parts of a text between the places that no token reaches across."""
-    joined = {y for p in pieces for x, y in re.findall(f"(?=([^{_BLANKS}])([{_BLANKS}]))", p)}
-    held = "".join(map(re.escape, sorted(joined)))
-    on = f"(?:[{held}][{_BLANKS}]*[^{_BLANKS}]*)*" if held else ""
-    return re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+{on}|[{_BLANKS}]+")
-
-
 class Aligner:
-    """Encodes by both tokenizers and aligns; `row(text)` gives n_a, n_b, n_groups, the groups as text and the links."""
+    """Encodes by both tokenizers and aligns; `rows` takes texts as bytes."""
 
     def __init__(self, name_a: str, name_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,13 +71,15 @@ class Aligner:
         self.bytes_a = [bytes(letters[c] for c in tokens[i]) if i in tokens and all(c in letters for c in tokens[i]) else b""
                         for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.raw_b = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in zip(pieces, self.raw_b)]
-        self.pieces = _cutter(
-            [p.replace("▁", " ") for i, p in enumerate(pieces) if not self.raw_b[i] and not self.b.is_control(i) and not self.b.is_unknown(i)])
+        self.raw_b = np.array([self.b.is_byte(i) for i in range(len(pieces))], bool)
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.raw_b[i] else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        inside = "".join(p.replace("▁", " ") + "\0 \0" for i, p in enumerate(pieces)
+                         if not self.raw_b[i] and not self.b.is_control(i) and not self.b.is_unknown(i))
+        self.before = tuple(ord(c) for c in " \n" if not re.search(f"[^{_BLANKS}\0]{c}", inside))
         self.codes = np.dtype("<u4" if len(self.bytes_a) * len(pieces) < 1 << 32 else "<u8")
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        self.memory = Memory(self._encoded, MEMORY, LONGEST)
 
     def pair_bound(self) -> int:
         """How many pairs of ids can be linked at most."""
@@ -95,101 +91,100 @@ class Aligner:
 
         return suffixes(self.bytes_a, self.bytes_b) + suffixes(self.bytes_b, self.bytes_a)
 
-    def _ends_a(self, text: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        """Where each token of A ends, in bytes."""
-        at = None
-        if not text.isascii():
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).tolist()
-        ends, end = [], 0
-        for i, (token, (_, stop)) in enumerate(zip(ids, offsets)):
-            if i + 1 == len(ids) or offsets[i + 1][0] >= stop:  # the next one shares no character with it
-                end = stop if at is None else at[stop]
+    def _ends_a(self, text: str, ids: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+        """Where each token of A ends, in bytes: where its last character does, unless the next token shares that."""
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+        spans = np.array(offsets, np.int64).reshape(-1, 2)
+        shared = np.append(spans[1:, 0] < spans[:-1, 1], False)[: len(ids)]
+        return np.where(shared, np.cumsum(self.size_a[ids]), at[spans[:, 1]])
+
+    def _ends_b(self, ids: np.ndarray, stops: list[int]) -> np.ndarray:
+        """The same of B. Its spans do not count the blank that it puts before a text; a byte token is a byte."""
+        return np.where(self.raw_b[ids], np.cumsum(self.size_b[ids]), np.array(stops, np.int64) + 1)
+
+    def _aligned(self, text: str, bounds: list[int]) -> list[tuple] | None:
+        """The alignment of the parts of a text that starts with a blank; None where a token reaches across a bound."""
+        enc, found = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        list_a, list_b = enc.ids, [t.id for t in found]
+        if not list_b and text == " ":
+            list_b = [self.b.piece_to_id("▁")]  # B puts its blank before some text only
+        data, bytes_a, bytes_b = text.encode(), self.bytes_a, self.bytes_b
+        if b"".join([bytes_a[i] for i in list_a]) != data or b"".join([bytes_b[i] for i in list_b]) != data:
+            return [_NONE] if len(bounds) == 1 else None
+        ids_a, ids_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        ends_a, ends_b = self._ends_a(text, ids_a, enc.offsets), self._ends_b(ids_b, [t.end for t in found] or [0])
+        near = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[np.minimum(near, len(ends_b) - 1)] == ends_a)
+        last_b = near[last_a]
+        cuts = np.searchsorted(ends_a[last_a], bounds)
+        if (ends_a[last_a][np.minimum(cuts, len(last_a) - 1)] != bounds).any():
+            return None
+        links = (ids_a[last_a] * len(bytes_b) + ids_b[last_b]).astype(self.codes)
+        name_a, name_b = [self.names_a[i] for i in list_a], [self.names_b[i] for i in list_b]
+        groups, a, b = [], 0, 0
+        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
+            if x - a == 1 and y - b == 1:
+                groups.append(name_a[a] + "|" + name_b[b])
             else:
-                end += len(self.bytes_a[token])
-            ends.append(end)
-        return ends
-
-    def _ends_b(self, ids: list[int], spans: list[tuple[int, int]], before: int) -> list[int]:
-        """The same of B; `before` bytes stand before what the spans count."""
-        ends, end = [], 0
-        for token, (begin, stop) in zip(ids, spans):
-            size = len(self.bytes_b[token])
-            end = stop + before if not self.raw_b[token] and stop > begin and stop + before == end + size else end + size
-            ends.append(end)
-        return ends
-
-    def _aligned(self, text: str, ids_a: list[int], offsets: list, ids_b: list[int], spans: list, before: int) -> tuple:
-        data = text.encode()
-        if (b"".join([self.bytes_a[i] for i in ids_a]) != data or b"".join([self.bytes_b[i] for i in ids_b]) != data):
-            return _NONE
-        ends_a, ends_b = self._ends_a(text, ids_a, offsets), self._ends_b(ids_b, spans, before)
-        groups, links, i, j = [], [], 0, 0
-        while i < len(ids_a):
-            from_a, from_b = i, j
-            i, j = i + 1, j + 1
-            while ends_a[i - 1] != ends_b[j - 1]:  # the side that lags behind takes one more
-                if ends_a[i - 1] < ends_b[j - 1]:
-                    i += 1
-                else:
-                    j += 1
-            groups.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-            links.append(ids_a[i - 1] * len(self.bytes_b) + ids_b[j - 1])
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups).encode(), np.array(links, self.codes).tobytes()
-
-    def _encoded(self, pieces: list[str]) -> list[tuple | None]:
-        """The alignment of each piece; None where it cannot be told apart from what B puts before it."""
-        out: list[tuple | None] = []
-        blank = [p[0] == " " for p in pieces]
-        found_a = self.a.encode_batch(pieces, add_special_tokens=False)
-        found_b = self.b.encode([p[1:] if own else p for p, own in zip(pieces, blank)], return_type="proto", num_threads=1)
-        for piece, own, enc, proto in zip(pieces, blank, found_a, found_b):
-            tokens = list(proto.pieces)
-            ids_b, spans, before = [t.id for t in tokens], [(t.begin, t.end) for t in tokens], 1
-            if own and len(piece) == 1:  # nothing but the blank, which B puts before some text only
-                ids_b, spans = [self.b.piece_to_id("▁")], [(0, 0)]
-            if not own and (not ids_b or self.bytes_b[ids_b[0]] != b" "):
-                out.append(None)
+                groups.append(",".join(name_a[a:x]) + "|" + ",".join(name_b[b:y]))
+            a, b = x, y
+        out, from_a, from_b, begin = [], 0, 0, 0
+        for end, to_a, to_b in zip((cuts + 1).tolist(), (last_a[cuts] + 1).tolist(), (last_b[cuts] + 1).tolist()):
+            out.append((to_a - from_a, to_b - from_b, end - begin, ";".join(groups[begin:end]).encode(), links[begin:end].tobytes()))
+            from_a, from_b, begin = to_a, to_b, end
+        return out
+
+    def _encoded(self, spans: list[bytes]) -> list[tuple]:
+        """The alignment of each piece. Pieces that end with no white space are put together as one text, behind a word."""
+        out: list[tuple] = [_WHOLE] * len(spans)
+        joint = [i for i, s in enumerate(spans) if self.before and not may_end_blank(s)]
+        alone = [i for i, s in enumerate(spans) if not self.before or may_end_blank(s)]
+        for at in range(0, len(joint), GROUP):
+            group = joint[at : at + GROUP]
+            parts = [b" a", *(spans[i] for i in group)]
+            rows = self._aligned(b"".join(parts).decode(), np.cumsum([len(p) for p in parts]).tolist())
+            if rows is None:
+                alone += group
                 continue
-            if not own:
-                ids_b, spans, before = ids_b[1:], spans[1:], 0
-            out.append(self._aligned(piece, enc.ids, enc.offsets, ids_b, spans, before))
+            for i, row in zip(group, rows[1:]):
+                out[i] = row
+        for i in alone:
+            if spans[i][0] == 32:
+                out[i] = self._aligned(spans[i].decode(), [len(spans[i])])[0]
+            else:  # what B makes of a text without its blank is told behind a word
+                rows = self._aligned(" a" + spans[i].decode(), [2, 2 + len(spans[i])])
+                out[i] = _WHOLE if rows is None else rows[1]
         return out
 
-    def rows(self, texts: list[str | None]) -> list[tuple]:
-        full = [" " + t if t else "" for t in texts]
-        cut = [self.pieces.findall(t) for t in full]
-        known = self._known(set().union(*cut))
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+        """n_a, n_b, n_groups, the groups as text and the links of each text."""
+        filled = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][filled], 32)
+        offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+        starts, stops, rows = cut(data, offsets, self.before)
+        found, which = self.memory.values(data, starts, stops)
+        numbers = np.array([v[:3] for v in found], np.int64).reshape(-1, 3)
+        groups = [v[3] for v in found].__getitem__
+        links, counts = spread([v[4] for v in found], which, self.codes.str)
+        ends = np.cumsum(counts)
+        heads = np.searchsorted(rows, np.arange(len(offsets)))
         out = []
-        for text, pieces in zip(full, cut):
-            parts = [known[p] for p in pieces]
-            if None in parts:
-                parts = self._encoded([text])
-            if not parts or parts[0] is None or any(not p[0] for p in parts):
+        for row, (a, b) in enumerate(zip(heads, heads[1:])):
+            mine = numbers[which[a:b]]
+            if a == b:
                 out.append(_NONE)
+            elif (mine[:, 0] > 0).all():
+                text = b";".join(map(groups, which[a:b].tolist()))
+                out.append((*mine.sum(axis=0).tolist(), text, links[ends[a] - counts[a] : ends[b - 1]].tobytes()))
+            elif (mine[:, 0] < 0).any():
+                text = data[offsets[row] : offsets[row + 1]].tobytes()
+                out.append(self._aligned(text.decode(), [len(text)])[0])
             else:
-                n_a, n_b, n_groups, groups, links = zip(*parts)
-                out.append((sum(n_a), sum(n_b), sum(n_groups), b";".join(groups), b"".join(links)))
+                out.append(_NONE)
         return out
 
-    def _known(self, wanted: set[str]) -> dict[str, tuple | None]:
-        if len(self.young) > MEMORY:
-            self.old, self.young = self.young, {}
-        young, old, found, unknown = self.young, self.old, {}, []
-        for piece in wanted:
-            if piece in young:
-                found[piece] = young[piece]
-            elif piece in old:
-                found[piece] = young[piece] = old[piece]
-            else:
-                unknown.append(piece)
-        for at in range(0, len(unknown), TOGETHER):
-            some = unknown[at : at + TOGETHER]
-            for piece, row in zip(some, self._encoded(some)):
-                found[piece] = row
-                if len(piece) <= LONGEST:
-                    young[piece] = row
-        return found
-
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -201,24 +196,12 @@ def aligner(name_a: str, name_b: str) -> Aligner:
     return _aligners[name_a, name_b]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > first and size + len(text or "") > SLICE:
-            yield first, i
-            first, size = i, 0
-        size += len(text or "")
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _rows(name_a: str, name_b: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(name_a, name_b)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, last in _slices(texts):
-                found = by.rows(texts[first:last])
+            for first, last, data, offsets in words.slices(batch.column("text")):
+                found = by.rows(data, offsets)
                 digests = [hashlib.sha256(r[3]).hexdigest() if r[0] else "" for r in found]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, last - first), *(pa.array([r[i] for r in found], pa.int64()) for i in range(3)),

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -80,12 +80,14 @@ def test_odd_texts(spark, docs_of, both, odd_rows):
 
 def test_a_small_memory_changes_nothing(both, monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY", 3)
-    monkeypatch.setattr(alignment, "TOGETHER", 2)
-    fresh, warm = alignment.Aligner(A, B), alignment.Aligner(A, B)
-    fresh.pieces = re.compile("(?s).+")  # texts whole
-    assert len(warm.pieces.findall(" two words\n\n and;\r three")) == 3  # a piece of B holds a carriage return
+    monkeypatch.setattr(alignment, "GROUP", 2)
+    whole, warm = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    assert warm.before == (32, 10)
+    whole.before = ()  # no cuts
+    texts = [(t or "").encode() for t in TEXTS]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     for _ in range(2):
-        assert warm.rows(TEXTS) == fresh.rows(TEXTS)
+        assert warm.rows(data, offsets) == whole.rows(data, offsets)
 
 
 def test_ends_come_from_offsets_and_bytes(both):
@@ -96,13 +98,13 @@ def test_ends_come_from_offsets_and_bytes(both):
         for i in enc.ids:
             end += len(by.bytes_a[i])
             want.append(end)
-        assert by._ends_a(text, enc.ids, enc.offsets) == want
+        assert by._ends_a(text, np.array(enc.ids), enc.offsets).tolist() == want
         proto = by.b.encode(text[1:], return_type="proto").pieces
         want, end = [], 0
         for t in proto:
             end += len(by.bytes_b[t.id])
             want.append(end)
-        assert by._ends_b([t.id for t in proto], [(t.begin, t.end) for t in proto], 1) == want
+        assert by._ends_b(np.array([t.id for t in proto]), [t.end for t in proto]).tolist() == want
 
 
 def test_no_rows(spark, docs_of):

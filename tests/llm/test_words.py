@@ -49,4 +49,4 @@ def test_remembered_pieces_are_forgotten(monkeypatch):
         text = " ".join(f"word{i}" for i in range(k, k + 9))
         assert encode.encode([text])[0] == np.asarray(
             encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert len(encode.young) < 40
+    assert len(encode.memory.young) < 40
