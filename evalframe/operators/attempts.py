@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions import scores, text
-from evalframe.operators.scale import spread_join, top_k
+from evalframe.operators.scale import top_k
 
 # A reward counts as a success within this distance of 1.
 SUCCESS_TOLERANCE = 1e-6

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions import ids, samples as sample_fields, scores
 from evalframe.functions.let import keep, let
-from evalframe.operators.scale import literal_rows, spread_join
+from evalframe.operators.scale import heavy_join, hot_keys, literal_rows
 
 # Fixed values of the export format.
 SCHEMA_VERSION = "0.2.2"
@@ -205,7 +205,8 @@ def record_ids(results: DataFrame) -> DataFrame:
 def keyed_lines(instances: DataFrame, records: DataFrame) -> DataFrame:
     """Instances of (model_id, collection) as JSON lines under their record's ids."""
     lines = instance_lines(instances.select("model_id", "collection", "instance"))
-    return spread_join(lines, records, ["model_id", "collection"], spread=["value"])
+    heat = hot_keys(instances, ["model_id", "collection"])
+    return heavy_join(lines, records, ["model_id", "collection"], spread=["value"], heat=heat)
 
 
 def export_records(results: DataFrame, totals: DataFrame, source_name: str, retrieved: str) -> DataFrame:

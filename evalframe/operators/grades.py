@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.functions import scores, text
-from evalframe.operators.scale import spread_join
+from evalframe.operators.scale import heavy_join, hot_keys
 
 GRADES = ["C", "P", "I", "N"]
 
@@ -72,9 +72,11 @@ def batches(submissions: DataFrame, size: int = 70, by: Sequence[str] = ("model"
 
 def complete_batches(submissions: DataFrame, size: int = 70, by: Sequence[str] = ("model", "epoch")) -> DataFrame:
     """One row per complete batch with its submissions. Groups are sized first, so none above `size` is collected."""
-    complete = batches(submissions, size, by).where("complete").select(*by)
+    sizes = batches(submissions, size, by)
+    complete = sizes.where("complete").select(*by)
     payload = F.struct(*[c for c in submissions.columns if c not in by])
-    return spread_join(submissions, complete, by, "left_semi").groupBy(*by).agg(
+    heat = hot_keys(sizes, by, "n_submissions")
+    return heavy_join(submissions, complete, by, "left_semi", heat=heat).groupBy(*by).agg(
         F.array_sort(F.collect_list(payload)).alias("submissions")
     )
 

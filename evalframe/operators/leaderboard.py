@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalframe.functions import scores
 from evalframe.operators.resolve import resolve_metrics
-from evalframe.operators.scale import global_rank, literal_rows, spread_join
+from evalframe.operators.scale import global_rank, heavy_join, hot_keys, literal_rows
 
 # Metrics held out of the training split of the table.
 HELD_OUT = [
@@ -49,7 +49,7 @@ def table_cells(summary: DataFrame, requests: Sequence[str], protocols: DataFram
 def baseline_delta(cells: DataFrame, baseline: str) -> DataFrame:
     """Adds `delta`, the score minus the baseline's; NULL where the baseline has none."""
     base = cells.where(F.col("model") == baseline).groupBy("request").agg(F.max("score").alias("_base"))
-    return spread_join(cells, base, ["request"], "left").withColumn("delta", F.col("score") - F.col("_base")).drop("_base")
+    return heavy_join(cells, base, ["request"], "left").withColumn("delta", F.col("score") - F.col("_base")).drop("_base")
 
 
 def average_improvement(deltas: DataFrame, absolute: bool = False) -> DataFrame:
@@ -59,7 +59,7 @@ def average_improvement(deltas: DataFrame, absolute: bool = False) -> DataFrame:
 
 def group_averages(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """Unweighted mean of the resolved metrics per (group, model)."""
-    return spread_join(cells, requests.select("group", "request"), ["request"]).groupBy("group", "model").agg(
+    return heavy_join(cells, requests.select("group", "request"), ["request"]).groupBy("group", "model").agg(
         F.avg("score").alias("average"), F.count("score").alias("n_metrics")
     )
 
@@ -146,9 +146,11 @@ def complete_only(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 def best_badge(cells: DataFrame) -> DataFrame:
     """Adds `percent` (one decimal) and `best`: within the badge distance of the row's best, if it has several cells."""
     shown = cells.withColumn("percent", scores.percent(F.col("score")))
-    top = shown.groupBy("request").agg(F.max("percent").alias("_max"), F.count("percent").alias("_n"))
+    top = shown.groupBy("request").agg(
+        F.max("percent").alias("_max"), F.count("percent").alias("_n"), F.count("*").alias("_rows"))
     close = F.abs(F.col("percent") - F.col("_max")) < BADGE_DISTANCE
-    return spread_join(shown, top, ["request"]).withColumn("best", (F.col("_n") > 1) & close).drop("_max", "_n")
+    joined = heavy_join(shown, top.drop("_rows"), ["request"], heat=hot_keys(top, ["request"], "_rows"))
+    return joined.withColumn("best", (F.col("_n") > 1) & close).drop("_max", "_n")
 
 
 def pivot_leaderboard(cells: DataFrame, requests: Sequence[str], value: str = "score") -> DataFrame:

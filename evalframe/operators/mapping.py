@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalframe.functions import ids, scores
 from evalframe.operators.merge import task_prefixes
-from evalframe.operators.scale import literal_rows, spread_join
+from evalframe.operators.scale import heavy_join, literal_rows
 from evalframe.session import cut_lineage
 
 # Task-name endings with a meaning.
@@ -153,7 +153,7 @@ def expand_candidates(candidates: DataFrame) -> DataFrame:
 
 def select_headline(metrics: DataFrame, candidates: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Per task the first candidate it logged; a task without any keeps all its metrics except derived pass@k."""
-    hits = spread_join(
+    hits = heavy_join(
         metrics, candidates.select("task", F.col("candidate").alias("key"), "pos"), ["task", "key"]
     ).groupBy(*by, "task").agg(F.min_by(F.struct("key", "score"), "pos").alias("_m"))
     chosen = hits.select(*by, "task", "_m.key", "_m.score")
@@ -165,7 +165,7 @@ def metric_mismatch(metrics: DataFrame, candidates: DataFrame, by: Sequence[str]
     """Scored tasks that have candidates but logged none of them."""
     wanted = candidates.groupBy("task").agg(F.collect_set("candidate").alias("_wanted"))  # a reviewed, short list
     present = F.max(F.array_contains("_wanted", F.col("key")))
-    return spread_join(metrics, wanted, ["task"]).groupBy(*by, "task").agg(present.alias("_any")).where("NOT _any").select(
+    return heavy_join(metrics, wanted, ["task"]).groupBy(*by, "task").agg(present.alias("_any")).where("NOT _any").select(
         *by, "task")
 
 

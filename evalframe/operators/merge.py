@@ -9,13 +9,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalframe.operators.scale import spread_join
+from evalframe.operators.scale import heavy_join, hot_keys
 
 
 def latest_task_wins(entries: DataFrame, by: Sequence[str] = ("model", "section", "task"), part: str = "part") -> DataFrame:
     """The newest part that has a task in a section replaces the task's whole entry there."""
-    newest = entries.groupBy(*by).agg(F.max(part).alias(part))
-    return spread_join(entries, newest, [*by, part])
+    return _newest(entries, entries.groupBy(*by).agg(F.max(part).alias("_last"), F.count("*").alias("_rows")), by, part)
+
+
+def _newest(rows: DataFrame, last: DataFrame, by: Sequence[str], part: str) -> DataFrame:
+    """The rows of the part `_last` of their key; `_rows` counts the key's rows, which tells the hot keys."""
+    joined = heavy_join(rows, last.select(*by, "_last"), by, heat=hot_keys(last, by, "_rows"))
+    return joined.where(F.col(part) == F.col("_last")).drop("_last")
 
 
 def current_protocols(protocols: DataFrame, results: DataFrame, by: Sequence[str] = ("model", "task")) -> DataFrame:
@@ -26,12 +31,15 @@ def current_protocols(protocols: DataFrame, results: DataFrame, by: Sequence[str
 
 
 def replace_repeat_history(attempts: DataFrame, results: DataFrame, by: Sequence[str] = ("model", "task")) -> DataFrame:
-    """A rerun drops all older attempts of its tasks, also when it made fewer."""
-    newest = results.groupBy(*by).agg(F.max("part").alias("_last"))
-    kept = spread_join(attempts, newest, by, "left").where(
-        F.col("_last").isNull() | (F.col("part") >= F.col("_last"))
-    )
-    return latest_task_wins(kept.drop("_last"), [*by, "repeat_index"])
+    """A rerun drops all older attempts of its tasks, also when it made fewer.
+
+    Only the newest part of an attempt can be kept, so the parts are compared on one row per attempt.
+    """
+    attempt = [*by, "repeat_index"]
+    newest = attempts.groupBy(*attempt).agg(F.max("part").alias("_last"), F.count("*").alias("_rows"))
+    rerun = results.groupBy(*by).agg(F.max("part").alias("_rerun"))
+    kept = newest.join(rerun, list(by), "left").where("_rerun IS NULL OR _last >= _rerun")
+    return _newest(attempts, kept.select(*attempt, "_last", "_rows"), attempt, "part")
 
 
 def latest_metric_wins(metrics: DataFrame, by: Sequence[str] = ("model", "task", "name"), run: str = "run") -> DataFrame:
@@ -67,10 +75,9 @@ def task_prefixes(task: Column, separators: str = "_/") -> Column:
 
 
 def tasks_below(tasks: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Distinct tasks that equal an excluded one or continue it after `_` or `/`."""
-    names = tasks.select("task").distinct()
+    """Distinct tasks that equal an excluded one or continue it after `_` or `/`; `tasks` has one row for each."""
     return (
-        names.select("task", F.explode(task_prefixes(F.col("task"))).alias("_prefix"))
+        tasks.select("task", F.explode(task_prefixes(F.col("task"))).alias("_prefix"))
         .join(excluded.select(F.col("task").alias("_prefix")).distinct(), "_prefix", "left_semi")
         .select("task").distinct()
     )
@@ -78,7 +85,8 @@ def tasks_below(tasks: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def exclude_tasks(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     """Rows whose task is not excluded. Prefixes are matched on the distinct task names by an equi-join."""
-    return spread_join(rows, tasks_below(rows, excluded), ["task"], "left_anti")
+    names = rows.groupBy("task").agg(F.count("*").alias("_rows"))
+    return heavy_join(rows, tasks_below(names, excluded), ["task"], "left_anti", heat=hot_keys(names, ["task"], "_rows"))
 
 
 def exclude_listed(rows: DataFrame, excluded: Sequence[str]) -> DataFrame:
@@ -99,9 +107,9 @@ def completed_tasks(
     `found` has dir, dir_name and key for every key found in a directory's results. Forced tasks only count from
     `force_after` on; without it they never count.
     """
-    # most keys are no tasks and a few of them are in every document, hence the spread
+    # most keys are no tasks and a few of them are in every document
     wanted = tasks.select(F.col("task").alias("key")).distinct()
-    hits = spread_join(found, wanted, ["key"], "left_semi").withColumnRenamed("key", "task")
+    hits = heavy_join(found, wanted, ["key"], "left_semi").withColumnRenamed("key", "task")
     forced = F.lit(False)
     for pattern in force_patterns:
         forced = forced | F.contains("task", F.lit(pattern))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalframe.operators.scale import literal_rows, spread_join
+from evalframe.operators.scale import literal_rows
 
 MEAN_SUFFIX = "_mean_repeats"
 PASS_MARK = "_pass@"
@@ -163,7 +163,7 @@ def _with_protocol(summary: DataFrame, protocols: DataFrame | None) -> DataFrame
     if protocols is None:
         return rows.withColumn("_repeated", F.lit(False))
     known = protocols.select("model", F.col("task").alias("_task"), F.lit(True).alias("_known"))
-    return spread_join(rows, known, ["model", "_task"], "left").withColumn(
+    return rows.join(known, ["model", "_task"], "left").withColumn(  # few keys of a task per model, so none is hot
         "_repeated", F.coalesce("_known", F.lit(False))
     )
 

@@ -21,35 +21,13 @@ RANK_DIGITS = 4
 
 
 def pieces(spark: SparkSession) -> int:
-    """Pieces per key: the shuffle partitions as a power of two, within bounds.
-
-    Every piece adds a copy of the small side, so there are no more than needed to bring a hot key down to a size at
-    which AQE can split what is left of it: a salted join has a plain shuffle on both sides, as its skew handling asks.
-    """
+    """Pieces of a group whose rows are reduced before they meet: the shuffle partitions as a power of two, within bounds."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(max(1 << (partitions - 1).bit_length(), MIN_PIECES), MAX_PIECES)
 
 
-def spread_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int | None = None,
-    spread: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join `big` with a side that has one row (or few) per key, splitting every key of `big` over `salts` pieces.
-
-    `small` is repeated once per salt, so it should be an aggregate or a dimension. AQE turns the join into a
-    broadcast on its own when the measured size of `small` allows it. `spread` names the columns of `big` whose hash
-    picks the piece; by default all of them.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type {how!r}")
-    salts = salts or pieces(big.sparkSession)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    piece = _piece(spread or _hashable(big), salts)
-    return big.withColumn("_salt", piece).join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def hot_keys(df: DataFrame, on: Sequence[str], counts: str | None = None) -> DataFrame:
-    """One row with `_hot`, a map from the hash of each hot key to the pieces it should be split into.
+    """One row with `_hot`, a map from the hash of each hot key of `df` to the pieces it should be split into.
 
     The keys are found by a frequent-items sketch, which is merged over the partitions, so nothing is shuffled but
     sketches. `counts` names a column with the rows of each key where `df` has one row per key already; they are exact.
@@ -84,7 +62,8 @@ def heavy_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     heat = F.broadcast(hot_keys(big, on) if heat is None else heat)
-    pieces_of = F.coalesce(F.try_element_at("_hot", F.xxhash64(*on)), F.lit(1))
+    kinds = dict(big.dtypes)  # keys of another type have to be hashed as those of `big`
+    pieces_of = F.coalesce(F.try_element_at("_hot", F.xxhash64(*(F.col(c).cast(kinds[c]) for c in on))), F.lit(1))
     row = F.xxhash64(*[F.col(f"`{c}`") for c in spread or _hashable(big)])
     split = big.crossJoin(heat).withColumn("_piece", F.pmod(row, pieces_of).cast("int")).drop("_hot")
     copies = small.crossJoin(heat).withColumn(
@@ -132,7 +111,8 @@ def lowest_share(df: DataFrame, keys: Sequence[str], priority: str, tie: Sequenc
         .where((F.col("_below") < F.col("_size")) & (F.col("_below") + F.col("_rows") >= F.col("_size")))
         .select(*keys, F.col("_bucket").alias("_cut"), (F.col("_size") - F.col("_below")).alias("_need"))
     )
-    edge = spread_join(narrow, cut, keys, spread=tie).where(F.col("_bucket") == F.col("_cut"))
+    heat = hot_keys(totals, keys, "n")
+    edge = heavy_join(narrow, cut, keys, spread=tie, heat=heat).where(F.col("_bucket") == F.col("_cut"))
     last = (
         edge.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(priority, *tie)))
         .where(F.col("_rank") == F.col("_need"))
@@ -141,7 +121,7 @@ def lowest_share(df: DataFrame, keys: Sequence[str], priority: str, tie: Sequenc
     whole = totals.where("n <= _size").select(*keys)
     thresholds = cut_lineage(last.unionByName(whole, allowMissingColumns=True), "thresholds")
     row = F.struct(priority, *tie)
-    return spread_join(df, thresholds, keys, spread=tie).where(
+    return heavy_join(df, thresholds, keys, spread=tie, heat=heat).where(
         F.col("_last").isNull() | (row <= F.col("_last"))
     ).select(*df.columns)
 

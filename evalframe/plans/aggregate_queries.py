@@ -320,11 +320,11 @@ def popularity_breakdown(spark, sf):
 
 
 @query("a21_inference_error_counts", """
-SELECT 'model_' || (user_id % 10) AS model, count(*) AS n_entries, count(*) FILTER (event_type = 'error' AND k % 3 < 2) AS n_errors,
-  count(*) FILTER (event_type = 'error' AND k % 3 = 0) AS n_context_overflow, count(*) FILTER (event_type = 'error' AND k % 3 = 1) AS n_other
+SELECT 'model_' || (user_id % 10) AS model, count(*) AS n_entries, count(*) FILTER (event_type = 'error') AS n_errors,
+  count(*) FILTER (event_type = 'error' AND k % 3 = 0) AS n_context_overflow, count(*) FILTER (event_type = 'error' AND k % 3 <> 0) AS n_other
 FROM v_events WHERE event_type <> 'view' GROUP BY ALL""", views.EVENTS)
 def inference_error_counts(spark, sf):
-    return categories.inference_error_counts(_inference_causes(spark, sf, 1000))
+    return categories.inference_error_counts(_inference_causes(spark, sf))
 
 
 @query("a22_thinking_means", """

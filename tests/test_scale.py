@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalframe.operators import docsets, mapping, merge, resolve, sampling
-from evalframe.operators.scale import global_rank, literal_rows, lowest_share, spread_join, top_k
+from evalframe.operators.scale import global_rank, heavy_join, hot_keys, literal_rows, lowest_share, top_k
 
 
 @pytest.fixture(scope="module")
@@ -46,11 +46,44 @@ def test_lowest_share(skewed, size, expected):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join(spark, skewed, how):
+def test_heavy_join(spark, skewed, how):
+    """A key with two thirds of the rows, NULL keys, keys of another type on the small side."""
     _, frame = skewed
-    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "key string, v int")
-    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
-    assert rows(spread_join(frame, small, ["key"], how)) == rows(frame.join(small, "key", how))
+    frame = frame.withColumn("n", F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 2 == 0, F.col("id")))
+    small = spark.createDataFrame([("hot", 7, 1), ("hot", 8, 2), ("k3", 3, 3), (None, 1, 4), ("hot", 7, 5)], "key string, n long, v int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for on in (["key"], ["n"], ["key", "n"]):
+        right = small.select(*on, "v")
+        assert rows(heavy_join(frame, right, on, how)) == rows(frame.join(right, on, how)), on
+        counts = frame.groupBy(*on).agg(F.count("*").alias("rows"))
+        assert rows(heavy_join(frame, right, on, how, heat=hot_keys(counts, on, "rows"))) == rows(frame.join(right, on, how)), on
+
+
+def test_only_hot_keys_are_copied(spark):
+    """A third of 60,000 rows is one key, the others are 40,000 different ones."""
+    frame = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
+    for heat in (hot_keys(frame, ["key"]), hot_keys(frame.groupBy("key").agg(F.count("*").alias("rows")), ["key"], "rows")):
+        hot = heat.first()._hot
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert list(hot.values()) == [-(-partitions // 3)]
+    none = frame.where("id < 0")
+    assert hot_keys(none, ["key"]).crossJoin(spark.range(1)).count() == 1
+    assert heavy_join(none, frame.select("key"), ["key"], "left").count() == 0
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    frame = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = heavy_join(frame, frame.groupBy("key").agg(F.max("id").alias("last")), ["key"])
+        sizes = [r["count"] for r in joined.where("key = -1").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 10_000 and max(sizes) < 3_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_global_rank(skewed):

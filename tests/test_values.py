@@ -124,7 +124,9 @@ def test_trials(spark):
          row("t5", {"reward": 0.25}, None)], schema)
     got = {r.trial: r for r in attempts.summarize_trial(trials).collect()}
     assert (got["t1"]["pass@1"], got["t2"]["pass@1"], got["t3"]["pass@1"], got["t5"]["pass@1"]) == (1.0, 0.0, None, None)
-    assert got["t1"].duration_sec == 1800 and len(got["t3"].error) == len("Boom: ") + 500
+    assert got["t1"].duration_sec == 1800 and got["t3"].error == "Boom: " + "x" * 900
+    cut = {r.trial: r.error for r in attempts.summarize_trial(trials, message_chars=500).collect()}
+    assert cut["t3"] == "Boom: " + "x" * 500
     plain = attempts.trial_summary(trials).first()
     assert (plain.n_trials, plain.n_scored, plain.n_errors) == (5, 3, 2) and math.isclose(plain.mean_reward, 1.25 / 3)
     zeroed = attempts.trial_summary(trials, missing_reward_is_zero=True).first()
