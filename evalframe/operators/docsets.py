@@ -84,36 +84,73 @@ def unresolved_names(names: DataFrame, paired: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(names: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs that can reach the similarity floor, found by an equi-join on rare character pairs.
-
-    A ratio of at least 0.85 leaves at most 15 % of the letters of both names unmatched, so the two share at least
-    `_must_share(length)` character pairs for either length. Ordering these from rare to common, the first
-    `count - must + s` of each hold at least s shared ones, for any s up to that number: only these are joined on, and
-    only pairs meeting s times go on. The common character pairs, which nearly all names share, are never joined.
+    """Pairs that can reach the similarity floor, found by an inverted index over the rare parts of the names.
+
+    Of two names with t letters together a ratio of at least 0.85 leaves at most 0.15 t letters unmatched, which part the
+    matched ones into at most one block more. So names share at least 0.5 t - 0.15 t * (q - 0.5) - (q - 1) runs of q
+    letters. By t a pair belongs to one class with its own q: long names are told apart by three letters, shorter ones by
+    two or one. Ordering the runs of a name from rare to common, the first `count - shared + meetings` of both hold
+    `meetings` common ones: only these are joined on, for the least t that a partner can make, and only pairs that meet as
+    often go on. The runs that nearly all names share are never joined.
     """
-    left = _grams(names, "name")
-    right = _grams(files, "file")
+    left, right = _runs(names, "name"), _runs(files, "file")
     frequency = (
-        left.select("directory", "gram").unionByName(right.select("directory", "gram"))
-        .groupBy("directory", "gram").agg(F.count("*").alias("_seen"))
+        left.select("directory", "class", "run").unionByName(right.select("directory", "class", "run"))
+        .groupBy("directory", "class", "run").agg(F.count("*").alias("_seen"))
     )
-    met = _rare_first(left, frequency, "name").join(_rare_first(right, frequency, "file"), ["directory", "gram"])
+    met = _rare_first(left, frequency, "name").join(_rare_first(right, frequency, "file"), ["directory", "class", "run"])
     a, b = F.length("name"), F.length("file")
-    alike = 2 * F.least(a, b) >= F.lit(SIMILARITY_FLOOR) * (a + b)
-    enough = F.least(_meetings(a), _meetings(b))
-    return met.where(alike).groupBy("directory", "name", "file").agg(F.count("*").alias("_met")).where(
-        F.col("_met") >= enough
+    alike = 2 * F.least(a, b) >= F.lit(SIMILARITY_FLOOR) * (a + b) - 1e-9
+    inside = (a + b >= _of_class("low")) & (a + b < _of_class("high"))
+    return met.where(alike & inside).groupBy("directory", "name", "file", "class").agg(F.count("*").alias("_met")).where(
+        F.col("_met") >= _of_class("meetings")
     ).select("directory", "name", "file")
 
 
-def _must_share(length: Column) -> Column:
-    """0.4 * length - 1, rounded up: character pairs shared with any name similar enough."""
-    return F.greatest(F.floor((2 * length - 1) / 5), F.lit(1))
+# Letters of both names together from `low` to below `high` are compared by runs of `q` letters, met `meetings` times.
+_CLASSES = [
+    {"q": 1, "low": 0, "high": 16, "meetings": 1},
+    {"q": 2, "low": 16, "high": 48, "meetings": 3},
+    {"q": 3, "low": 48, "high": 1 << 30, "meetings": 3},
+]
+
+
+def _of_class(field: str) -> Column:
+    return F.element_at(F.array(*(F.lit(c[field]) for c in _CLASSES)), F.col("class") + 1)
+
+
+def _least_partner(length: Column) -> Column:
+    """The fewest letters of a name that can be similar enough to one of `length` letters."""
+    return F.ceil(length * SIMILARITY_FLOOR / (2 - SIMILARITY_FLOOR) - 1e-9)
+
+
+def _runs(rows: DataFrame, column: str) -> DataFrame:
+    """Runs of letters of a name per class; a repeated one carries its occurrence, which makes the list a set."""
+    text, length = F.col(column), F.length(column)
+    most = length + F.floor(length * (2 - SIMILARITY_FLOOR) / SIMILARITY_FLOOR + 1e-9)
+    classes = F.filter(
+        F.array(*(F.lit(i) for i in range(len(_CLASSES)))),
+        lambda i: (most >= F.element_at(F.array(*(F.lit(c["low"]) for c in _CLASSES)), i + 1))
+        & (length + _least_partner(length) < F.element_at(F.array(*(F.lit(c["high"]) for c in _CLASSES)), i + 1)))
+    named = rows.where(length > 0).select("directory", column, F.explode(classes).alias("class")).withColumn("_q", _of_class("q"))
+    found = named.where(length >= F.col("_q")).withColumn("_sorted", F.array_sort(F.transform(
+        F.sequence(F.lit(1), length - F.col("_q") + 1), lambda i: F.substring(text, i, F.col("_q")))))
+    numbered = F.transform("_sorted", lambda g, i: F.concat(
+        g, F.lit("#"), (i + 2 - F.array_position(F.col("_sorted"), g)).cast("string")))
+    return found.select("directory", column, "class", F.explode(numbered).alias("run"))
 
 
-def _meetings(length: Column) -> Column:
-    """How many of the shared character pairs have to be met: half of them."""
-    return F.ceil(_must_share(length) / 2)
+def _rare_first(runs: DataFrame, frequency: DataFrame, column: str) -> DataFrame:
+    """The rarest runs of each name, as many as the floor requires."""
+    ranked = runs.join(frequency, ["directory", "class", "run"]).groupBy("directory", column, "class").agg(
+        F.array_sort(F.collect_list(F.struct("_seen", "run"))).alias("_runs")  # one short name per group
+    )
+    length, q = F.length(column), _of_class("q")
+    both = F.greatest(length + _least_partner(length), _of_class("low"))
+    shared = F.ceil(0.5 * both - (1 - SIMILARITY_FLOOR) * both * (q - 0.5) - (q - 1) - 1e-9)
+    keep = (F.size("_runs") - F.greatest(shared, _of_class("meetings")) + _of_class("meetings")).cast("int")
+    return ranked.select("directory", column, "class", F.explode(F.slice("_runs", F.lit(1), F.greatest(keep, F.lit(0)))).alias("r")).select(
+        "directory", column, "class", F.col("r.run").alias("run"))
 
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
@@ -136,23 +173,3 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
         )
     empty = left.select("directory", "name", "file")
     return empty if taken is None else taken.select("directory", "name", "file")
-
-
-def _grams(rows: DataFrame, column: str) -> DataFrame:
-    """Character pairs of a name; a repeated pair carries its occurrence, which makes the list a set."""
-    text = F.col(column)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    numbered = F.transform(pairs, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
-    return rows.where(F.length(text) > 1).select("directory", column, F.explode(numbered).alias("gram"))
-
-
-def _rare_first(grams: DataFrame, frequency: DataFrame, column: str) -> DataFrame:
-    """The rarest character pairs of each name, as many as the floor requires."""
-    ranked = grams.join(frequency, ["directory", "gram"]).groupBy("directory", column).agg(
-        F.array_sort(F.collect_list(F.struct("_seen", "gram"))).alias("_grams")  # one short name per group
-    )
-    keep = (F.size("_grams") - _must_share(F.length(column)) + _meetings(F.length(column))).cast("int")
-    return ranked.select("directory", column, F.explode(F.slice("_grams", F.lit(1), keep)).alias("g")).select(
-        "directory", column, F.col("g.gram").alias("gram")
-    )

@@ -94,26 +94,102 @@ def safe_task_name(task: Column) -> Column:
     return (task != "") & (task == F.trim(task)) & ~task.rlike(r"[./\\\x00]")
 
 
-def group_descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, task): everything below each root in edges(parent, child); cycles are tolerated.
-
-    The frontier is advanced level by level and written to the shared folder, so each step starts from stable files
-    and only new pairs are followed.
+def group_descendants(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(root, task): everything below each root in edges(parent, child), within `by`; cycles are tolerated.
+
+    Paths are doubled: step k holds pairs that are 2^k edges apart and not known from a smaller step, until there are none.
+    Any shortest path is a sum of such steps, so one sweep from the largest step down reaches all that is below a root: the
+    number of rounds grows with the logarithm of the depth. Where nodes with many parents have many children, doubling would
+    make far more pairs than there are edges; it stops there and the sweep is repeated until nothing is new. Every step is
+    a table in the shared folder, and a parent that holds many of the pairs is split.
     """
-    edges = edges.select("parent", "child").distinct()
-    frontier = cut_lineage(
-        roots.select(F.col("task").alias("root"), F.col("task").alias("parent"))
-        .join(edges, "parent").select("root", F.col("child").alias("task")).distinct(), "frontier",
-    )
-    seen = frontier
-    while True:  # the anti join ends cycles, so the number of steps is that of the levels
-        step = frontier.select("root", F.col("task").alias("parent")).join(edges, "parent").select(
-            "root", F.col("child").alias("task")
-        ).distinct()
-        frontier = cut_lineage(step.join(seen, ["root", "task"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier), "seen")
+    by = list(by)
+    edges = cut_lineage(edges.select(*by, "parent", "child").distinct(), "edges")
+    starts = roots.select(*by, F.col("task").alias("root")).distinct()
+    steps, known, complete = [edges], edges, False
+    while not complete:
+        last = steps[-1]
+        heads = last.groupBy(*by, F.col("parent").alias("_node")).agg(F.count("*").alias("_out"))
+        tails = last.groupBy(*by, F.col("child").alias("_node")).agg(F.count("*").alias("_in"))
+        size = heads.join(tails, [*by, "_node"]).agg(F.sum(F.col("_in") * F.col("_out")).alias("n"), F.lit(0).alias("z")).crossJoin(
+            last.agg(F.count("*").alias("m"))).first()
+        if not size.n:
+            break
+        if size.n > MOST_PAIRS * size.m + 1000:  # a node of many parents and children
+            break
+        pairs = heavy_join(
+            last.select(*by, "parent", F.col("child").alias("_node")), last.select(*by, F.col("parent").alias("_node"), "child"),
+            [*by, "_node"]).where("parent <> child").select(*by, "parent", "child").distinct()
+        new = cut_lineage(pairs.join(known, [*by, "parent", "child"], "left_anti"), "steps")
+        complete = new.isEmpty()
+        if not complete:
+            steps.append(new)
+            known = known.unionByName(new)
+    complete = complete or not size.n
+    # pairs of a root and a node on the way, the root itself among them
+    way = starts.withColumn("task", F.col("root"))
+    count = -1
+    while True:
+        for step in reversed(steps):
+            further = heavy_join(
+                way.withColumnRenamed("task", "parent"), step, [*by, "parent"]).select(*by, "root", F.col("child").alias("task"))
+            way = cut_lineage(way.unionByName(further).distinct(), "reached")
+        if complete:
+            break
+        before, count = count, way.count()
+        if count == before:
+            break
+    # a root is below itself where a node on the way leads back to it
+    back = way.withColumnRenamed("task", "parent").join(
+        edges.withColumnRenamed("child", "root"), [*by, "parent", "root"], "left_semi").select(*by, "root").distinct()
+    below = way.where("task <> root").unionByName(back.withColumn("task", F.col("root")))
+    return below.select(*by, "root", "task")
+
+
+# Pairs that a doubling may make for each pair of the step before.
+MOST_PAIRS = 64
+
+
+def select_aggregates(
+    results: DataFrame, groups: DataFrame, selectors: DataFrame, by: Sequence[str] = ("model",)
+) -> DataFrame:
+    """(by, selector, aggregate, task, similar, error): the tasks below the aggregate that each selector names.
+
+    `results` has the scored tasks, `groups` parent and child of the logged group metadata. A selector names a scored task, or
+    the stem of one with the generated suffix. Below it is what the metadata lists under the selector or the aggregate, at
+    any depth; without such metadata, the scored tasks that continue the aggregate's stem. A selector that names nothing
+    (`similar` then has the scored tasks that continue it) or has nothing below gives one row with `error` instead of a task.
+    """
+    by = list(by)
+    scored = results.select(*by, "task").distinct()
+    wanted = selectors.select(*by, "selector").distinct()
+    exact = wanted.join(scored.withColumnRenamed("task", "selector"), [*by, "selector"], "left_semi").withColumn(
+        "aggregate", F.col("selector"))
+    generated = wanted.join(exact, [*by, "selector"], "left_anti").withColumn(
+        "aggregate", F.concat("selector", F.lit(GENERATED_SUFFIX))).join(
+        scored.withColumnRenamed("task", "aggregate"), [*by, "aggregate"], "left_semi")
+    found = cut_lineage(exact.unionByName(generated), "aggregates")
+    owned = groups.select(*by, F.col("parent").alias("_group")).distinct()
+    mark = lambda name, column: owned.select(*by, F.col("_group").alias(column), F.lit(True).alias(name))
+    grouped = found.join(mark("_own", "selector"), [*by, "selector"], "left").join(
+        mark("_of", "aggregate"), [*by, "aggregate"], "left").withColumn(
+        "_group", F.when(F.col("_own"), F.col("selector")).when(F.col("_of"), F.col("aggregate")))
+    listed = grouped.where("_group IS NOT NULL")
+    closure = group_descendants(groups, listed.select(*by, F.col("_group").alias("task")), by)
+    by_group = listed.join(closure.withColumnRenamed("root", "_group"), [*by, "_group"]).select(*by, "selector", "aggregate", "task")
+    stems = scored.select(*by, "task", F.explode(F.filter(
+        task_prefixes(F.col("task"), "_"), lambda p: p != F.col("task"))).alias("_stem"))
+    stem = F.regexp_replace("aggregate", GENERATED_SUFFIX + "$", "")
+    by_name = grouped.where("_group IS NULL").withColumn("_stem", stem).join(stems, [*by, "_stem"]).where(
+        "task <> aggregate").select(*by, "selector", "aggregate", "task")
+    below = cut_lineage(by_group.unionByName(by_name).distinct(), "selected")
+    empty = found.join(below, [*by, "selector"], "left_anti").select(
+        *by, "selector", "aggregate", F.lit("no task below the aggregate").alias("error"))
+    similar = stems.groupBy(*by, F.col("_stem").alias("selector")).agg(F.array_sort(F.collect_set("task")).alias("similar"))
+    unknown = wanted.join(found, [*by, "selector"], "left_anti").join(similar, [*by, "selector"], "left").withColumn(
+        "error", F.lit("no scored aggregate of that name"))
+    return below.unionByName(empty, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True).select(
+        *by, "selector", "aggregate", "task", "similar", "error")
 
 
 def prefix_descendants(tasks: DataFrame, aggregate: str) -> DataFrame:

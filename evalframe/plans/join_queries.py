@@ -392,6 +392,46 @@ def prefix_descendants(spark, sf):
     return mapping.prefix_descendants(_scored_tasks(spark, sf), "small_gen_0shot").select("model", "task")
 
 
+_META = "RECURSIVE " + _SCORED + """, v_kinds AS (
+  SELECT DISTINCT lower(p_brand) AS model, lower(p_type) AS kind, lower(p_type) || '_' || p_size AS sized,
+    lower(p_type) || '_' || p_size || '_' || p_partkey AS single, p_partkey FROM part),
+v_meta AS (
+  SELECT model, kind AS parent, sized AS child FROM v_kinds WHERE length(kind) % 2 = 0
+  UNION SELECT model, sized, single FROM v_kinds WHERE length(kind) % 2 = 0
+  UNION SELECT model, single, kind FROM v_kinds WHERE p_partkey % 40 = 0),
+v_selectors AS (
+  SELECT model, kind AS selector FROM v_kinds UNION SELECT model, single FROM v_kinds WHERE p_partkey % 20 = 0
+  UNION SELECT model, 'none' FROM v_kinds UNION SELECT model, split_part(kind, '_', 1) FROM v_kinds),
+v_tree(model, root, task) AS (
+  SELECT s.model, s.selector, child FROM v_selectors s JOIN v_meta m ON m.model = s.model AND parent = selector
+  UNION SELECT t.model, root, child FROM v_tree t JOIN v_meta m ON m.model = t.model AND parent = t.task)"""
+
+
+@query("j7_select_aggregates", """
+SELECT s.model, s.selector, r.task AS aggregate, coalesce(t.task, n.task) AS task,
+  CASE WHEN r.task IS NULL THEN (SELECT count(*) FROM v_scored x WHERE x.model = s.model AND starts_with(x.task, s.selector || '_')) END AS n_similar,
+  CASE WHEN r.task IS NULL THEN 'no scored aggregate of that name' WHEN coalesce(t.task, n.task) IS NULL THEN 'no task below the aggregate' END AS error
+FROM v_selectors s LEFT JOIN (SELECT DISTINCT model, task FROM v_scored) r ON r.model = s.model AND r.task = s.selector
+LEFT JOIN v_tree t ON t.model = r.model AND t.root = r.task
+LEFT JOIN (SELECT DISTINCT model, task FROM v_scored) n ON t.task IS NULL AND n.model = r.model AND starts_with(n.task, r.task || '_')""", _META)
+def select_aggregates(spark, sf):
+    """Sized kinds and single parts below each kind, by metadata where it is logged, else by name; some selectors fail."""
+    kind = F.lower("p_type")
+    rows = table(spark, sf, "part").select(
+        F.lower("p_brand").alias("model"), kind.alias("kind"), F.concat_ws("_", kind, F.col("p_size").cast("string")).alias("sized"),
+        F.concat_ws("_", kind, F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("single"), "p_partkey")
+    even = rows.where("length(kind) % 2 = 0")
+    edge = lambda frame, parent, child: frame.select("model", F.col(parent).alias("parent"), F.col(child).alias("child"))
+    groups = edge(even, "kind", "sized").unionByName(edge(even, "sized", "single")).unionByName(
+        edge(rows.where("p_partkey % 40 = 0"), "single", "kind"))
+    named = lambda frame, column: frame.select("model", column.alias("selector"))
+    selectors = named(rows, F.col("kind")).unionByName(named(rows.where("p_partkey % 20 = 0"), F.col("single"))).unionByName(
+        named(rows, F.lit("none"))).unionByName(named(rows, F.substring_index("kind", "_", 1)))
+    found = mapping.select_aggregates(_scored_tasks(spark, sf), groups, selectors)
+    count = F.when(F.col("aggregate").isNull(), F.coalesce(F.size("similar"), F.lit(0)).cast("long"))
+    return found.select("model", "selector", "aggregate", "task", count.alias("n_similar"), "error")
+
+
 @query("u3_exclusion_set", """
 SELECT task FROM (SELECT 'nation_' || n_nationkey AS task FROM nation UNION SELECT task FROM v_below) WHERE task NOT IN (
   SELECT 'region_' || r_regionkey FROM region) AND task NOT LIKE 'supplier_%'""", _DESCENDANTS)

@@ -106,10 +106,53 @@ def test_capped_samples_with_odd_priorities(spark):
         assert got == {r[1] for r in order[:cap]}
 
 
+def _closure(edges, roots):
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+    out = set()
+    for root in roots:
+        seen, todo = set(), list(below.get(root, ()))
+        while todo:
+            node = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                todo += below.get(node, ())
+        out |= {(root, n) for n in seen}
+    return out
+
+
 def test_deep_hierarchy(spark):
-    edges = spark.createDataFrame([(f"g{i}", f"g{i + 1}") for i in range(70)], "parent string, child string")
-    got = mapping.group_descendants(edges, spark.createDataFrame([("g0",)], "task string"))
-    assert got.count() == 70
+    edges = spark.range(10_000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("parent"),
+                                       F.concat(F.lit("g"), (F.col("id") + 1).cast("string")).alias("child"))
+    got = mapping.group_descendants(edges, spark.createDataFrame([("g0",), ("g9990",)], "task string"))
+    assert {(r.root, r.n) for r in got.groupBy("root").agg(F.count("*").alias("n")).collect()} == {("g0", 10_000), ("g9990", 10)}
+
+
+@pytest.mark.parametrize("most", [64, 0])
+def test_descendants_of_odd_graphs(spark, monkeypatch, most):
+    """Cycles of several lengths, diamonds, self loops, a hub of many parents and children; with and without doubling."""
+    monkeypatch.setattr(mapping, "MOST_PAIRS", most)
+    edges = [(f"c{n}_{i}", f"c{n}_{(i + 1) % n}") for n in (1, 2, 3, 4, 5, 7) for i in range(n)]
+    edges += [("c5_1", "c7_2"), ("c7_3", "d0"), ("d0", "d1"), ("d0", "d2"), ("d1", "d3"), ("d2", "d3"), ("d3", "d0")]
+    edges += [(f"p{i}", "hub") for i in range(60)] + [("hub", f"q{i}") for i in range(60)] + [("q7", "e1"), ("e1", "e2"), ("e2", "p3")]
+    roots = ["c1_0", "c2_0", "c4_1", "c5_0", "d1", "p3", "p4", "e2", "none"]
+    got = mapping.group_descendants(
+        spark.createDataFrame(edges, "parent string, child string"), spark.createDataFrame([(r,) for r in roots], "task string"))
+    assert {(r.root, r.task) for r in got.collect()} == _closure(edges, roots)
+
+
+def test_selectors(spark):
+    results = spark.createDataFrame([("m", t) for t in (
+        "suite_gen_0shot", "suite_de_gen_0shot", "suite_fr_gen_0shot", "mm", "mm_a", "mm_b", "agi", "only", "lone_x")], "model string, task string")
+    groups = spark.createDataFrame([("m", "mm", "mm_a"), ("m", "mm_a", "deep"), ("n", "mm", "other")], "model string, parent string, child string")
+    asked = spark.createDataFrame([("m", s) for s in ("suite", "mm", "only", "lone", "none", "suite_gen_0shot")], "model string, selector string")
+    got = {(r.selector, r.aggregate, r.task, tuple(r.similar or ()), (r.error or "")[:9]) for r in
+           mapping.select_aggregates(results, groups, asked).collect()}
+    below = ["suite_de_gen_0shot", "suite_fr_gen_0shot"]
+    assert got == {(s, "suite_gen_0shot", t, (), "") for s in ("suite", "suite_gen_0shot") for t in below} | {
+        ("mm", "mm", "mm_a", (), ""), ("mm", "mm", "deep", (), ""), ("only", "only", None, (), "no task b"),
+        ("lone", None, None, ("lone_x",), "no scored"), ("none", None, None, (), "no scored")}
 
 
 def test_filtered_multilingual_request(spark):
@@ -150,6 +193,24 @@ def test_candidate_pairs_lose_nothing(spark):
     assert {(r.name, r.file) for r in docsets.greedy_pairs(pairs).collect()} == chosen
 
 
+def test_candidates_of_long_names_lose_nothing(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(18, 60))) + rng.choice([".txt", " report.txt", "aaaa"]) for _ in range(80)]
+    damaged = []
+    for name in names:
+        letters = list(name)
+        for _ in range(rng.randint(0, len(name) // 7)):
+            kind, at = rng.choice("dis"), rng.randrange(len(letters))
+            letters[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("0123abcz")]
+        damaged.append("".join(letters))
+    left = spark.createDataFrame([("d", n) for n in sorted(set(names))], "directory string, name string")
+    right = spark.createDataFrame([("d", f) for f in sorted(set(damaged))], "directory string, file string")
+    met = {(r.name, r.file) for r in docsets.candidate_pairs(left, right).collect()}
+    want = {(a, b) for a in set(names) for b in set(damaged)
+            if difflib.SequenceMatcher(None, a, b).ratio() >= docsets.SIMILARITY_FLOOR}
+    assert want and want <= met and len(met) < 0.2 * len(set(names)) * len(set(damaged))
+
+
 def test_descendants_with_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "parent string, child string")
     roots = spark.createDataFrame([("a",), ("x",)], "task string")
