@@ -6,8 +6,8 @@ tokens share a character, or a token is a byte of one that the vocabulary lacks,
 far each reaches. Byte offsets where tokens of both end part a text into groups; a token of A and one of B that end together
 are a link.
 
-A never reaches from a character that is no white space to a blank or a line feed, nor does B unless a piece of its
-vocabulary holds such a place (checked when a model is loaded). So texts are cut there, and every different piece is encoded
+A never reaches from a character that is no white space to a blank or a line feed, or from a letter to a mark, nor does B
+unless a piece of its vocabulary holds such a place (checked when a model is loaded). So texts are cut there, and every different piece is encoded
 and aligned once and remembered under its 64-bit hash; the groups of a text are those of its pieces in a row.
 
 Of two tokens that end together the bytes of one are a suffix of the other's. The pairs of ids that can ever be linked are
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.llm import words
-from evalframe.llm.pieces import Memory, cut, may_end_blank, spread
+from evalframe.llm.pieces import BLANKS, MARKS, Memory, cut, may_end_blank, spread
 from evalframe.llm.shared import written
 from evalframe.llm.tokens import tokenizer_file
 
-MEMORY = 250_000  # pieces remembered in each of two generations
+MEMORY = 200_000  # pieces remembered in each of two generations
 LONGEST = 100  # characters of a piece that is remembered
 GROUP = 64  # pieces encoded as one text
 
@@ -75,11 +75,12 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.raw_b[i] else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         inside = "".join(p.replace("▁", " ") + "\0 \0" for i, p in enumerate(pieces)
                          if not self.raw_b[i] and not self.b.is_control(i) and not self.b.is_unknown(i))
-        self.before = tuple(ord(c) for c in " \n" if not re.search(f"[^{_BLANKS}\0]{c}", inside))
+        self.before = bytes(ord(c) for c in BLANKS.decode() if not re.search(f"[^{_BLANKS}\0]{c}", inside)) + bytes(
+            ord(c) for c in MARKS.decode() if not re.search("[A-Za-z]" + re.escape(c), inside))
         self.codes = np.dtype("<u4" if len(self.bytes_a) * len(pieces) < 1 << 32 else "<u8")
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.names_a, self.names_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
-        self.memory = Memory(self._encoded, MEMORY, LONGEST)
+        self.memory = Memory(self._packed, MEMORY, LONGEST)
 
     def pair_bound(self) -> int:
         """How many pairs of ids can be linked at most."""
@@ -136,11 +137,15 @@ class Aligner:
             from_a, from_b, begin = to_a, to_b, end
         return out
 
+    def _packed(self, spans: list[bytes]) -> list[bytes]:
+        """Rows as one value each, which takes less memory: three counts, the links, the groups."""
+        return [np.array(r[:3], "<i4").tobytes() + r[4] + r[3] for r in self._encoded(spans)]
+
     def _encoded(self, spans: list[bytes]) -> list[tuple]:
         """The alignment of each piece. Pieces that end with no white space are put together as one text, behind a word."""
         out: list[tuple] = [_WHOLE] * len(spans)
-        joint = [i for i, s in enumerate(spans) if self.before and not may_end_blank(s)]
-        alone = [i for i, s in enumerate(spans) if not self.before or may_end_blank(s)]
+        free = [bool(self.before) and s[0] in BLANKS and not may_end_blank(s) for s in spans]
+        joint, alone = [i for i, f in enumerate(free) if f], [i for i, f in enumerate(free) if not f]
         for at in range(0, len(joint), GROUP):
             group = joint[at : at + GROUP]
             parts = [b" a", *(spans[i] for i in group)]
@@ -165,9 +170,10 @@ class Aligner:
         offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
         starts, stops, rows = cut(data, offsets, self.before)
         found, which = self.memory.values(data, starts, stops)
-        numbers = np.array([v[:3] for v in found], np.int64).reshape(-1, 3)
-        groups = [v[3] for v in found].__getitem__
-        links, counts = spread([v[4] for v in found], which, self.codes.str)
+        numbers = np.frombuffer(b"".join([v[:12] for v in found]), "<i4").reshape(-1, 3).astype(np.int64)
+        middle = (12 + self.codes.itemsize * numbers[:, 2]).tolist()
+        groups = [v[m:] for v, m in zip(found, middle)].__getitem__
+        links, counts = spread([v[12:m] for v, m in zip(found, middle)], which, self.codes.str)
         ends = np.cumsum(counts)
         heads = np.searchsorted(rows, np.arange(len(offsets)))
         out = []

@@ -1,7 +1,7 @@
 """Token ids of whole texts as packed bytes, by a public tokenizer file that the workers load themselves.
 
 The text splitting of a byte-level vocabulary always starts a new piece at a blank or a line feed after a character that is
-no white space, so ids never reach across these places. Texts are cut there; every different piece is encoded once by the
+no white space, and at a mark after a letter, so ids never reach across these places. Texts are cut there; every different piece is encoded once by the
 tokenizers library and remembered, and the ids of the pieces are put together for many texts at once. That gives the
 library's own ids of the whole text in a fraction of the time. With another kind of vocabulary texts are encoded whole.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 from evalframe.llm import words
-from evalframe.llm.pieces import Memory, cut, may_end_blank, spread
+from evalframe.llm.pieces import BLANKS, MARKS, Memory, cut, may_end_blank, spread
 
 MEMORY = 400_000  # pieces in each of two generations
 GROUP = 64  # pieces encoded as one text
@@ -40,9 +40,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
-        probe = self.tokenizer.encode("a\nb c", add_special_tokens=False).ids
-        parts = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in ("a", "\nb", " c")]
-        self.before = (32, 10) if probe == sum(parts, []) else ()
+        parts = ["a", "\nb", " c", *(p for m in MARKS.decode() for p in (m, " c"))]
+        known = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in parts]
+        same = self.tokenizer.encode("".join(parts), add_special_tokens=False).ids == sum(known, [])
+        self.before = BLANKS + MARKS if same else b""
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a letter of a byte-level token is a byte
         for token, i in vocabulary.items():
@@ -52,8 +53,8 @@ class Encoder:
     def _encoded(self, spans: list[bytes]) -> list[bytes]:
         """The ids of each piece. Pieces that end with no white space are put together as one text and told apart by size."""
         out = [b""] * len(spans)
-        joint = [i for i, s in enumerate(spans) if self.before and not may_end_blank(s)]
-        alone = [i for i, s in enumerate(spans) if not self.before or may_end_blank(s)]
+        free = [bool(self.before) and s[0] in BLANKS and not may_end_blank(s) for s in spans]
+        joint, alone = [i for i, f in enumerate(free) if f], [i for i, f in enumerate(free) if not f]
         for at in range(0, len(joint), TOGETHER * GROUP):
             groups = [joint[a : a + GROUP] for a in range(at, min(at + TOGETHER * GROUP, len(joint)), GROUP)]
             texts = [b"".join([spans[i] for i in group]) for group in groups]
