@@ -6,9 +6,9 @@ intervals than two linked sets can have different members, so at least one inter
 hashed, are a key that only near copies share. (Sets with more empty intervals than the cut allows for also exchange the
 members of their ordered prefix.) Documents that share a key, directly or through others, form a cluster.
 
-In a cluster the sets are stored in a prefix tree with runs of members in its nodes. Every set walks down the tree, a level
-at a time, and carries its overlap along, so a shared prefix is counted once for all sets below it; a subtree is left when
-even its longest rest could not reach the similarity. A large cluster is cut into blocks. The
+In a cluster the sets are stored in a prefix tree with runs of members in its nodes. The sets that are searched go down the
+tree together and carry their overlaps along, so a shared prefix is counted once for all sets below it; a subtree is left by
+those for which even its longest rest could not reach the similarity. A large cluster is cut into blocks. The
 documents with the most links in their blocks meet all blocks first, which joins most copies of one text; what is then not
 in the largest component of the cluster meets every block that has a key of it in another component, so no link is missed.
 
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evalframe.llm import words
-from evalframe.llm.graph import components
+from evalframe.llm.graph import components, forest
 from evalframe.llm.shared import written
 
-BLOCK = 128  # documents in a block of a cluster
+BLOCK, BLOCK_MEMBERS = 1024, 1 << 20  # documents and members of their sets in a block of a cluster
 PIVOTS = 4  # documents of a large cluster that meet all its blocks first
 RUN = 64  # members in a node of the tree at most
-BUCKET_KEYS = 1_500_000  # keys that one reducing task sorts, on average
+TOGETHER, MARKS = 512, 64 << 20  # sets that go down a tree together; bytes that mark their members
+BUCKET_KEYS = 300_000  # keys that one reducing task sorts, on average
 
 _U = np.uint64
 
@@ -130,27 +131,7 @@ def _least_per_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.n
     first[1:] = keys[1:] != keys[:-1]
     least = docs[np.flatnonzero(first)]
     others = ~first
-    return keys[first], least, *_forest(docs[others], least[np.cumsum(first)[others] - 1])
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document of the pairs with the smallest one that they connect it to, where that is another."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    one, two = ends[: len(a)], ends[len(a) :]
-    low = np.arange(len(nodes))
-    while len(a):
-        least = np.minimum(low[one], low[two])
-        new = low.copy()
-        np.minimum.at(new, one, least)
-        np.minimum.at(new, two, least)
-        np.minimum.at(new, low[one], least)
-        np.minimum.at(new, low[two], least)
-        new = new[new]
-        if np.array_equal(new, low):
-            break
-        low = new
-    moved = low != np.arange(len(nodes))
-    return nodes[moved], nodes[low[moved]]
+    return keys[first], least, *forest(docs[others], least[np.cumsum(first)[others] - 1])
 
 
 def _keyed(width: int, p: int, q: int, buckets: int):
@@ -181,7 +162,7 @@ def _met(group: pa.Table) -> pa.Table:
         return np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
 
     _, _, a, b = _least_per_key(joined("keys", _U), joined("docs", np.int64))
-    a, b = _forest(np.concatenate([joined("a", np.int64), a]), np.concatenate([joined("b", np.int64), b]))
+    a, b = forest(np.concatenate([joined("a", np.int64), a]), np.concatenate([joined("b", np.int64), b]))
     return pa.table({"a": a, "b": b})
 
 
@@ -222,9 +203,9 @@ class PrefixTree:
         for x, y in zip(self.levels[-2:0:-1], self.levels[:0:-1]):  # from the deepest level up
             np.minimum.at(self.shortest, self.parent[x:y], self.shortest[x:y])
             np.maximum.at(self.longest, self.parent[x:y], self.longest[x:y])
-        self.mark = np.zeros(len(self.places), np.int64)
-        self.overlap = np.zeros(len(nodes) + 1, np.int64)  # the last is the root's
-        self.alive = np.zeros(len(nodes) + 1, bool)
+        by_node = np.argsort(self.end_of, kind="stable")
+        cuts = np.searchsorted(self.end_of[by_node], np.arange(len(nodes) + 1))
+        self.ending = {i: by_node[x:y] for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x}
 
     def _nodes(self) -> list[tuple[int, int, int, int, int]]:
         """(level, parent, set, from, to) of each node: members from..to of a set, shared by the sets below."""
@@ -255,66 +236,68 @@ class PrefixTree:
                 self.ends[i] = path[-1]
         return nodes
 
+    def links(self, probes: list[np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a probe and a set of the tree that link. The probes go down the tree together: at a node the members of
+        its run that each probe has are added to the overlap that it brings along, and only those go on whose overlap could
+        still reach the similarity with what is left of them and of the longest set below."""
+        size = np.array([len(s) for s in probes], np.int64)
+        every = np.concatenate(probes) if probes else np.zeros(0, _U)
+        mark = np.zeros((len(self.places) + 1, len(probes)), np.uint8)
+        place = np.minimum(np.searchsorted(self.places, every), max(len(self.places) - 1, 0))
+        if len(self.places):
+            known = self.places[place] == every
+            mark[place[known], np.repeat(np.arange(len(probes)), size)[known]] = 1
+        going: list[tuple[np.ndarray, np.ndarray]] = []
+        whole = (np.flatnonzero(size), np.zeros(int((size > 0).sum()), np.int64))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for node, (parent, begin, length) in enumerate(zip(self.parent.tolist(), self.begin.tolist(), self.length.tolist())):
+            alive, overlap = whole if parent < 0 else going[parent]
+            if len(alive):
+                run = self.codes[begin : begin + length]
+                if 2 * len(alive) > len(probes):
+                    overlap = overlap + mark[run].sum(axis=0, dtype=np.int64)[alive]
+                else:
+                    overlap = overlap + mark[run[:, None], alive].sum(axis=0, dtype=np.int64)
+                own = size[alive]
+                most = overlap + np.minimum(own - overlap, self.longest[node] - self.depth[node])
+                keep = most * (p + q) >= p * (own + self.shortest[node])
+                alive, overlap = alive[keep], overlap[keep]
+                for i in self.ending.get(node, ()) if len(alive) else ():
+                    hit = alive[overlap * (p + q) >= p * (size[alive] + self.sizes[i])]
+                    found.append((hit, np.full(len(hit), i)))
+            going.append((alive, overlap))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def walk(self, i: int, p: int, q: int) -> np.ndarray:
         """The sets that link with set `i`, itself among them."""
-        own, size = self.own[i], self.sizes[i]
-        if not size:
-            return np.zeros(0, np.int64)
-        self.mark[own] = 1
-        self.alive[:] = False
-        self.alive[-1] = True
-        for x, y in zip(self.levels, self.levels[1:]):
-            here = x + np.flatnonzero(self.alive[self.parent[x:y]])
-            if not len(here):
-                break
-            lengths = self.length[here]
-            bounds = np.cumsum(lengths) - lengths
-            spots = np.repeat(self.begin[here] - bounds, lengths) + np.arange(int(lengths.sum()))
-            overlap = self.overlap[self.parent[here]] + np.add.reduceat(self.mark[self.codes[spots]], bounds)
-            self.overlap[here] = overlap
-            used = np.searchsorted(own, self.last[here], side="right")
-            most = overlap + np.minimum(size - used, self.longest[here] - self.depth[here])
-            self.alive[here] = most * (p + q) >= p * (size + self.shortest[here])
-        self.mark[own] = 0
-        ends = self.end_of
-        reached = (ends >= 0) & self.alive[ends]
-        return np.flatnonzero(reached & (self.overlap[ends] * (p + q) >= p * (size + self.sizes)))
-
-
-class _Union:
-    def __init__(self, size: int) -> None:
-        self.up, self.count = list(range(size)), size
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-            self.count -= 1
-
-
-def linked(sets: list[np.ndarray], p: int, q: int, probes: list[int] | None = None) -> tuple[list[int], list[int]]:
-    """For each set the first set of its component, over all links of the probes (all sets) with any set, and how many
-    links it was found to have.
+        return np.sort(self.links([self.places[self.own[i]]], p, q)[1])
+
+    def batches(self, count: int) -> Iterator[tuple[int, int]]:
+        """Runs of probes that go down together, a few first."""
+        most = max(min(TOGETHER, MARKS // (len(self.places) + 1)), 1)
+        at, some = 0, min(16, most)
+        while at < count:
+            yield at, min(at + some, count)
+            at, some = at + some, most
+
+
+def linked(sets: list[np.ndarray], p: int, q: int) -> tuple[list[int], list[int]]:
+    """For each set the first set of its component, and how many links it was found to have.
 
     Two sets link when q times the overlap is at least p times the union.
     """
-    tree, union = PrefixTree(sets), _Union(len(sets))
-    alone = sum(1 for s in sets if not len(s))
-    degree = [0] * len(sets)
-    for i in range(len(sets)) if probes is None else probes:
-        if union.count <= alone + 1:  # all that can be linked is one
+    tree = PrefixTree(sets)
+    home, degree = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    filled = np.flatnonzero(tree.sizes)
+    for at, end in tree.batches(len(sets)):
+        if len(filled) and (home[filled] == home[filled[0]]).all() and at:  # all that can be linked is one
             break
-        found = tree.walk(i, p, q).tolist()
-        degree[i] = len(found)
-        for j in found:
-            union.join(i, j)
-    return [union.find(i) for i in range(len(sets))], degree
+        a, b = tree.links(sets[at:end], p, q)
+        degree += np.bincount(a + at, minlength=len(sets))
+        moved, to = forest(np.concatenate([a + at, np.arange(len(sets))]), np.concatenate([b, home]))
+        home = np.arange(len(sets))
+        home[moved] = to
+    return home.tolist(), degree.tolist()
 
 
 def _members(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -353,11 +336,17 @@ def _own_keys(width: int, p: int, q: int):
 
 def _cross_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        docs, asked = group.column("doc_id").to_pylist(), group.column("asked").to_pylist()
-        home, _ = linked(_members(group.column("text"), width), p, q, [i for i, flag in enumerate(asked) if flag])
-        rows = [(docs[i], docs[h]) for i, h in enumerate(home) if docs[i] != docs[h]]
-        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+        """What the asked documents link with in the block, as pairs that connect it."""
+        asked = np.asarray(group.column("asked").combine_chunks()).astype(bool)
+        docs = np.asarray(group.column("doc_id"), dtype=np.int64)
+        sets = _members(group.column("text"), width)
+        probes, held = np.flatnonzero(asked), np.flatnonzero(~asked)
+        tree = PrefixTree([sets[i] for i in held])
+        one, two = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at, end in tree.batches(len(probes)):
+            a, b = tree.links([sets[i] for i in probes[at:end]], p, q)
+            one, two = forest(np.concatenate([one, docs[probes[at:end][a]]]), np.concatenate([two, docs[held[b]]]))
+        return pa.table({"a": one, "b": two})
 
     return links
 
@@ -388,13 +377,15 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     clusters = components(pairs)
     members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     # a block is a part of the cluster's tree: sets with one first member, many of those by document
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("_heads"))
-    heads = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("head").alias("_head"))
-    placed = members.join(heads, "doc_id").join(sizes, "cluster").select(
-        "doc_id", "cluster", F.pmod(F.xxhash64("_head"), F.col("_heads")).alias("_branch"))
+    heads = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("head").alias("_head"), F.max("n").alias("_n"))
+    members = written(members.join(heads, "doc_id"), "cluster-members")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("_n") / BLOCK_MEMBERS))
+    sizes = members.groupBy("cluster").agg(parts.alias("_heads"))
+    placed = members.join(sizes, "cluster").select(
+        "doc_id", "cluster", "_n", F.pmod(F.xxhash64("_head"), F.col("_heads")).alias("_branch"))
     whole = Window.partitionBy("cluster")
     before = whole.orderBy("_branch").rowsBetween(Window.unboundedPreceding, -1)
-    branches = placed.groupBy("cluster", "_branch").agg(F.ceil(F.count("*") / block).alias("_subs")).select(
+    branches = placed.groupBy("cluster", "_branch").agg(parts.alias("_subs")).select(
         "cluster", "_branch", "_subs", F.coalesce(F.sum("_subs").over(before), F.lit(0)).alias("_from"),
         F.sum("_subs").over(whole).cast("int").alias("blocks"))
     placed = placed.join(branches, ["cluster", "_branch"]).select(
@@ -427,6 +418,11 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     keys = large.join(open_parts, "doc_id").select("text", "cluster", "block", "doc_id", "component", "rest").mapInArrow(
         _own_keys(width, p, q), "key long, cluster long, block int, doc_id long, component long, rest boolean")
     keys = written(keys.repartition("key"), "open-keys")
+    # keys of the same documents say the same: one of them is enough
+    marks = keys.groupBy("key").agg(
+        F.count("*").alias("_count"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("_xor"))
+    keys = written(keys.join(marks.groupBy("_count", "_sum", "_xor").agg(F.min("key").alias("key")).where("_count > 1"), "key", "left_semi"),
+                   "different-keys")
     mine = keys.where("rest").select("key", "cluster", "doc_id", F.col("block").alias("_own"), F.col("component").alias("_mine"))
     there = keys.select("key", "block", "component").distinct()
     asked = mine.join(there, "key").where("component <> _mine AND block <> _own").select("cluster", "block", "doc_id").distinct()
