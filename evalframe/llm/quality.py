@@ -33,6 +33,7 @@ BITS = 20
 BUCKETS = 1 << BITS  # of each of two tables
 PARTS = 64
 REACH = 4
+STEM, OFTEN = 6, 3  # bytes of a word's beginning, and the times that a row has to use it for an n-gram
 SAMPLE = 20_000  # labelled rows that fit the target model and place the threshold, at most, of each kind
 PSEUDO = 1.0
 CHANCE = 3.5  # standard deviations
@@ -47,8 +48,9 @@ _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of each row as buckets of two independent tables, one row for each table, and the rows.
 
-    Tokens are runs of word bytes or of marks. Besides one and two successive tokens there are n-grams of equality alone:
-    how large a share of a row's tokens repeats the one 1 to REACH tokens before, in eighths.
+    Tokens are runs of word bytes or of marks. Besides one and two successive tokens there are the first STEM bytes of words
+    where a row uses them OFTEN times or more, and n-grams of equality alone: how large a share of a row's tokens repeats the
+    one 1 to REACH tokens before, in eighths.
     """
     kind = np.where(words._IS_SPACE[data], 0, np.where(_IS_WORD[data], 1, 2)).astype(np.int8)
     change = np.ones(len(kind) + 1, bool)
@@ -71,9 +73,18 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         share = np.bincount(rows[back:][again], minlength=count)[filled] * 8 // tokens[filled]
         found.append(words.mix(share.astype(np.uint64) + np.uint64(1000 * back)))
         owners.append(filled)
-    # distinct within the row: a document says once what a word in it says
     both = _U(2 * BITS)
-    pairs = np.unique((np.concatenate(owners).astype(_U) << both) | (np.concatenate(found) >> (_U(64) - both)))
+    pack = lambda rows, hashes: np.sort((rows.astype(_U) << both) | (hashes >> (_U(64) - both)))
+    # beginnings of words that a row uses often, whatever the words
+    long = (kind[starts] == 1) & (stops - starts >= STEM)
+    stems = pack(rows[long], words.hash_spans(words.lower(data), starts[long], starts[long] + STEM))
+    heads = np.flatnonzero(np.append(True, stems[1:] != stems[:-1])) if len(stems) else np.zeros(0, np.int64)
+    often = stems[heads[np.diff(np.append(heads, len(stems))) >= OFTEN]]
+    found.append(words.mix((often & ((_U(1) << both) - _U(1))) + _U(7)))
+    owners.append((often >> both).astype(np.int64))
+    # distinct within the row: a document says once what a word in it says
+    pairs = pack(np.concatenate(owners), np.concatenate(found))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     one = pairs & _U(BUCKETS - 1)
     two = (pairs >> _U(BITS)) & _U(BUCKETS - 1)
     return np.stack([one, two + _U(BUCKETS)]).astype(np.int64), (pairs >> both).astype(np.int64)
@@ -129,6 +140,12 @@ class Model:
     cutoff: tuple[float, int] | None  # the last place of the sample; None keeps everything
     places: DataFrame | None = None  # key, log_weight and place of every row that the model was fitted on
 
+    def draw(self, k: int) -> DataFrame:
+        """k of the rows without replacement (all, if fewer), by weight and noise; ties by key. Rows of equal weight, as all
+        that hold nothing against them, are drawn alike, so below that number the noise alone decides."""
+        last = last_place(self.places, k)
+        return self.places if last is None else Model(self.weights, last, self.places).sample()
+
     def sample(self) -> DataFrame:
         """The places that are in the sample."""
         if self.cutoff is None:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evalframe.llm import quality
 from evalframe.llm.queries import GOOD, op9_importance_resampling
@@ -34,7 +40,7 @@ def test_held_out_accuracy(spark, labels):
     toxic = [k for k, v in unseen.items() if v == (1, 1)]
     assert sum(k in kept for k in good) >= 0.97 * len(good)
     assert sum(k in kept for k in junk) <= 0.1 * len(junk)
-    assert sum(k in kept for k in toxic) <= 0.3 * len(toxic)  # some labels are noise
+    assert sum(k in kept for k in toxic) <= 0.15 * len(toxic)
 
 
 def test_sample_and_stage_agree(spark, sf):
@@ -76,3 +82,56 @@ def test_last_place(spark):
     order = sorted(((-v, i) for i, v in enumerate(values)))
     for k in range(1, len(values) + 1):
         assert quality.last_place(places, k) == (-order[k - 1][0], order[k - 1][1])
+
+
+def plain_features(text):
+    """The n-grams of a text as text."""
+    kind = lambda c: 0 if c in " \t\n\r\x0b\x0c" else 1 if c.isalnum() else 2
+    tokens, last = [], 0
+    for c in text.lower():
+        if kind(c) and kind(c) == last:
+            tokens[-1] += c
+        elif kind(c):
+            tokens.append(c)
+        last = kind(c)
+    found = set(tokens) | set(zip(tokens, tokens[1:]))
+    stems = Counter(t[:quality.STEM] for t in tokens if kind(t[0]) == 1 and len(t) >= quality.STEM)
+    found |= {("stem", t) for t, n in stems.items() if n >= quality.OFTEN}
+    for back in range(1, quality.REACH + 1) if tokens else ():
+        found.add((back, sum(a == b for a, b in zip(tokens, tokens[back:])) * 8 // len(tokens)))
+    return found
+
+
+def test_model_and_draw_against_plain_ones(spark, docs_of):
+    """Weights are sums over plain n-grams; the draw takes the highest places and the noise decides between equal weights."""
+    pick = random.Random(4)
+    word = lambda: pick.choice(["calm", "garden", "reading", "river", "letter", "stone"]) + pick.choice(["", "s", "ing"])
+    rows = [(i, " ".join(word() for _ in range(pick.randint(5, 30))) + (" spamword buy!!!" if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, 0 if i % 4 == 0 else 1, 0, "x", "y") for i in range(0, 400)]
+    model = quality.fit(docs_of(rows), spark.createDataFrame(labels, LABELS), "doc_id", "text", GOOD)
+    good = spark.createDataFrame(labels, LABELS).select(F.col("doc_id").alias("k"), (F.col("quality") == 1).alias("good"))
+    held = F.pmod(F.xxhash64("k", F.lit(1)), F.lit(5)) == 0
+    target = {r.k for r in good.where("good").where(~held).collect()}
+    raw_n, target_n = Counter(), Counter()
+    for i, t in rows:
+        raw_n.update(plain_features(t))
+        target_n.update(plain_features(t) if i in target else ())
+    share = len(target) / len(rows)
+
+    def weight(f):
+        expected, seen = raw_n[f] * share, target_n[f]
+        fewer = expected - seen > quality.CHANCE * math.sqrt(expected * (1 - share) + 0.25)
+        return min(math.log((seen + quality.PSEUDO) / (expected + quality.PSEUDO)), 0) if fewer else 0.0
+
+    got = {r.key: (r.log_weight, r.place) for r in model.places.collect()}
+    for i, t in rows:
+        assert got[i][0] == pytest.approx(sum(map(weight, plain_features(t))), abs=1e-3)
+        assert got[i][1] - got[i][0] == pytest.approx(quality.TEMPERATURE * quality._noise(np.array([i]), 0)[0], abs=1e-9)
+    for k in (0, 7, 150, 320, 400, 500):
+        drawn = sorted(r.key for r in model.draw(k).collect())
+        assert drawn == sorted(sorted(got, key=lambda i: (-got[i][1], i))[:k])
+    clean = {i for i, (w, _) in got.items() if w == 0}
+    one = {r.key for r in model.draw(150).collect()}
+    other = {r.key for r in quality.fit(
+        docs_of(rows), spark.createDataFrame(labels, LABELS), "doc_id", "text", GOOD, seed=5).draw(150).collect()}
+    assert len(clean) == 300 and one <= clean and one != other  # noise alone decides between equal weights
