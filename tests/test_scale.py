@@ -155,6 +155,53 @@ def test_selectors(spark):
         ("lone", None, None, ("lone_x",), "no scored"), ("none", None, None, (), "no scored")}
 
 
+def test_substrings_of_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "AUTOMATON", 7)
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcé_") for _ in range(rng.randint(1, n)))
+    texts, patterns = {f"k{i}": word(30) for i in range(60)}, {word(4) for _ in range(40)} | {"", "none"}
+    got = resolve.substrings(
+        spark.createDataFrame(list(texts.items()), "key string, text string"),
+        spark.createDataFrame([(p,) for p in [*patterns, None, "none"]], "pattern string")).collect()
+    assert sorted((r.key, r.pattern) for r in got) == sorted((k, p) for k, t in texts.items() for p in patterns if p in t)
+    none = spark.createDataFrame([], "pattern string")
+    assert resolve.substrings(spark.createDataFrame([("k", "t")], "key string, text string"), none).collect() == []
+
+
+def test_requests_may_be_a_table(spark):
+    rng = random.Random(6)
+    keys = [f"{t}/{m}{f}" for t in ("gsm8k", "mmlu_pro", "mgsm_de", "code") for m in ("acc", "exact_match", "exact_match_mean_repeats", "acc_stderr")
+            for f in ("", ",strict-match", ",none")]
+    rows = [(f"m{i}", k, rng.random(), n) for i in range(8) for n, k in enumerate(rng.sample(keys, 15))]
+    summary = spark.createDataFrame(rows, "model string, key string, score double, ord int")
+    asked = ["gsm8k/exact_match", "GSM8K/acc,none", "mgsm/exact_match", "mmlu_pro/exact_match,strict-match", "code/pass", "code", "/acc"]
+    kind = "model string, task string, repeats int, per_task_repeats map<string,int>, metric_tasks map<string,array<string>>, sampling_enabled boolean"
+    protocols = spark.createDataFrame([("m1", "gsm8k", 3, {}, {}, True), ("m2", "mmlu_pro", 3, {}, {}, True)], kind)
+    listed = resolve.resolve_metrics(summary, asked, protocols)
+    table = resolve.resolve_metrics(summary, spark.createDataFrame([(a,) for a in asked + asked], "request string"), protocols)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, table.collect()))
+    got = {(r.model, r.request): r.key for r in listed.collect()}
+    held = {}
+    for model, key, _, n in rows:
+        held.setdefault(model, []).append((key, n))
+    for model, mine in held.items():
+        for request in asked:
+            task, _, name = request.partition("/")
+            metric, _, filter_name = name.partition(",")
+            if request == "mgsm/exact_match":
+                continue
+            repeated = {"m1": "gsm8k", "m2": "mmlu_pro"}.get(model)
+            mean = f"{task}/{metric}_mean_repeats" + (f",{filter_name}" if filter_name else "")
+            tiers = [
+                [k for k in mine if k[0].split("/")[0] == repeated and "/" in request and k[0] == mean],
+                [k for k in mine if k[0].split("/")[0] == repeated and "/" in request and not filter_name and k[0].startswith(mean + ",")],
+                [k for k in mine if k[0] == request],
+                [k for k in mine if "stderr" not in k[0] and all(p.lower() in k[0].lower() for p in (task, metric, filter_name))]]
+            best = next((t for t in tiers if t), [])
+            order = lambda k: ("gsm8k" in task.lower() and "strict-match" not in k[0], len(k[0]), k[1])
+            assert got.get((model, request)) == (min(best, key=order)[0] if best else None), (model, request)
+
+
 def test_filtered_multilingual_request(spark):
     rows = [("m", "mgsm_de/exact_match", 0.2, 1), ("m", "mgsm_fr/exact_match", 0.4, 2), ("m", "mgsm/exact_match,flex", 0.9, 3)]
     summary = spark.createDataFrame(rows, "model string, key string, score double, ord int")
