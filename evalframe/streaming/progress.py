@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalframe import schemas
+from evalframe.sources.growing import growing_lines
 
 # Fixed value: seconds between two progress reports.
 INTERVAL_SECONDS = 120
@@ -37,33 +38,36 @@ def file_key(path: Column) -> Column:
     return F.regexp_replace(inner, r"\.jsonl.*$", "")
 
 
-def read_review_stream(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    """A stream of the review lines below `root`, of files changed at or after the timestamp `since`.
+def read_review_stream(
+    spark: SparkSession, root: str, since: float | None = None, idle: float = INTERVAL_SECONDS
+) -> DataFrame:
+    """A stream of the review lines below `root`, of files changed at or after `since` (epoch seconds).
 
-    Files count once, so a growing file arrives as closed segments.
+    Files may grow in place or arrive as segments; a last line without a line feed counts when its file is left alone for
+    `idle` seconds.
     """
-    lines = spark.readStream.option("recursiveFileLookup", "true").text(root).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed")
-    )
-    if since is not None:
-        lines = lines.where(F.col("changed") >= F.lit(since).cast("timestamp"))
+    lines = growing_lines(spark, root, pattern=r"reviews/[^/]+/.*\.jsonl", since=since or 0, idle=idle)
     return review_scores(lines, file_key(F.col("path")))
 
 
 def start_progress(
-    spark: SparkSession, root: str, sink: str, checkpoint: str, once: bool = False, since: str | None = None
+    spark: SparkSession, root: str, sink: str, checkpoint: str, once: bool = False, since: float | None = None,
+    idle: float = INTERVAL_SECONDS,
 ):
-    """Keep the current progress below `sink`: every trigger writes the full running counts to a path of its own."""
-    counts = progress(read_review_stream(spark, root, since))
-    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-    )
+    """Follow the reviews below `root`: every trigger adds to `sink` one row for each file that has new lines.
+
+    A trigger writes what came in, never what was known before, to a path of its own that a repeated trigger overwrites. So
+    no counts are kept as state, and there is none to expire.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        progress(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    writer = read_review_stream(spark, root, since, idle).writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     trigger = {"availableNow": True} if once else {"processingTime": f"{INTERVAL_SECONDS} seconds"}
     return writer.trigger(**trigger).start()
 
 
 def latest_progress(spark: SparkSession, sink: str) -> DataFrame:
-    """The counts of the last trigger that was written."""
-    written = spark.read.parquet(sink)
-    last = written.agg(F.max("batch").alias("batch"))  # one row
-    return written.join(F.broadcast(last), "batch").drop("batch")
+    """The counts of all triggers together."""
+    return spark.read.schema("key string, done long, passed long, failed long").parquet(sink).groupBy("key").agg(
+        *(F.sum(c).alias(c) for c in ("done", "passed", "failed")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from evalframe.sources import dimensions, files, records, sinks
+from evalframe.sources import dimensions, files, growing, records, sinks
 from evalframe.streaming import progress
 
 
@@ -80,7 +82,7 @@ def test_progress_follows_new_segments(spark, tmp_path):
     root, sink, state = tmp_path / "in", tmp_path / "progress", tmp_path / "state"
 
     def run():
-        progress.start_progress(spark, str(root), str(sink), str(state), once=True).awaitTermination()
+        progress.start_progress(spark, str(root), str(sink), str(state), once=True, idle=0).awaitTermination()
         return {r.key: (r.done, r.passed, r.failed) for r in progress.latest_progress(spark, str(sink)).collect()}
 
     write(root / "reviews/m/d_all.jsonl/0001", "\n".join([line(1.0), line(0.0), line(0.0, "error"), '{"sample_sc']))
@@ -88,3 +90,41 @@ def test_progress_follows_new_segments(spark, tmp_path):
     write(root / "reviews/m/d_all.jsonl/0002", line(1.0))
     write(root / "reviews/m/e_all.jsonl/0001", line(0.5))
     assert run() == {"m/d_all": (4, 2, 1), "m/e_all": (1, 0, 0)}
+
+
+def test_progress_of_a_file_that_grows_in_place(spark, tmp_path):
+    line = lambda acc: json.dumps({"sample_score": {"score": {"value": {"acc": acc}, "status": "success"}}})
+    root, sink, state = tmp_path / "in", tmp_path / "progress", tmp_path / "state"
+    path = root / "reviews/m/d_all.jsonl"
+
+    def run(more, idle=1000):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with path.open("a") as file:
+            file.write(more)
+        progress.start_progress(spark, str(root), str(sink), str(state), once=True, idle=idle).awaitTermination()
+        return {r.key: (r.done, r.passed) for r in progress.latest_progress(spark, str(sink)).collect()}
+
+    assert run(line(1.0) + "\n" + line(0.0) + "\n" + line(1.0)[:20]) == {"m/d_all": (2, 1)}
+    assert run(line(1.0)[20:] + "\n") == {"m/d_all": (3, 2)}  # the half line of before, once
+    assert run(line(1.0)) == {"m/d_all": (3, 2)}  # not finished yet
+    assert run("", idle=0) == {"m/d_all": (4, 3)}  # left alone, so it is
+    batches = [spark.read.parquet(str(p)).count() for p in sorted(sink.glob("batch=*"))]
+    assert sum(batches) <= 4 and max(batches) == 1  # what came in, not what was known
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_ranges_give_every_line_once(monkeypatch, block):
+    monkeypatch.setattr(growing, "BLOCK", block)
+    for data in (b"", b"\n", b"a", b"a\nbb\n\nccc", b"\n\nx\n", b"long line without end" * 3):
+        want, at = [], 0
+        for part in data.split(b"\n"):
+            want.append((at, part))
+            at += len(part) + 1
+        if want[-1][1] == b"":
+            want.pop()
+        for cuts in itertools.combinations(range(1, len(data)), 2) if len(data) < 14 else [(5, 9), (1, 40)]:
+            edges = [0, *cuts, len(data)]
+            got = []
+            for a, b in zip(edges, edges[1:]):
+                got += growing.range_lines(io.BytesIO(data), growing.Range("p", a, b, b == len(data)))
+            assert got == want, (data, cuts)
