@@ -33,7 +33,7 @@ BLOCK, BLOCK_MEMBERS = 1024, 1 << 20  # documents and members of their sets in a
 PIVOTS = 4  # documents of a large cluster that meet all its blocks first
 RUN = 64  # members in a node of the tree at most
 TOGETHER, MARKS = 512, 64 << 20  # sets that go down a tree together; bytes that mark their members
-BUCKET_KEYS = 300_000  # keys that one reducing task sorts, on average
+BUCKET_KEYS = 100_000  # keys that one reducing task sorts, on average
 
 _U = np.uint64
 
@@ -390,7 +390,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         F.sum("_subs").over(whole).cast("int").alias("blocks"))
     placed = placed.join(branches, ["cluster", "_branch"]).select(
         "doc_id", "cluster", "blocks", (F.col("_from") + F.pmod(F.xxhash64("doc_id"), F.col("_subs"))).cast("int").alias("block"))
-    found = written(known.join(placed, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(
+    # by shuffle at every size: a broadcast would only last while few documents are in clusters
+    found = written(known.join(placed.hint("shuffle_merge"), "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(
         ["doc_id", "_text"]).drop("_text"), "cluster-texts")
     first = written(found.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").applyInArrow(
         _block_links(width, p, q), "cluster long, a long, b long, degree long"), "block-links")
