@@ -29,10 +29,10 @@ from evalframe.llm import words
 from evalframe.llm.graph import components, forest
 from evalframe.llm.shared import written
 
-BLOCK, BLOCK_MEMBERS = 1024, 1 << 20  # documents and members of their sets in a block of a cluster
+BLOCK, BLOCK_MEMBERS = 1024, 1 << 18  # documents and members of their sets in a block of a cluster
 PIVOTS = 4  # documents of a large cluster that meet all its blocks first
 RUN = 64  # members in a node of the tree at most
-TOGETHER, MARKS = 512, 64 << 20  # sets that go down a tree together; bytes that mark their members
+TOGETHER, MARKS = 256, 32 << 20  # sets that go down a tree together; bytes that mark their members
 BUCKET_KEYS = 100_000  # keys that one reducing task sorts, on average
 
 _U = np.uint64
@@ -203,6 +203,9 @@ class PrefixTree:
         for x, y in zip(self.levels[-2:0:-1], self.levels[:0:-1]):  # from the deepest level up
             np.minimum.at(self.shortest, self.parent[x:y], self.shortest[x:y])
             np.maximum.at(self.longest, self.parent[x:y], self.longest[x:y])
+        children = np.full(len(nodes) + 1, -1)
+        np.maximum.at(children, self.parent, np.arange(len(nodes)))
+        self.last_child = children[: len(nodes)].tolist()
         by_node = np.argsort(self.end_of, kind="stable")
         cuts = np.searchsorted(self.end_of[by_node], np.arange(len(nodes) + 1))
         self.ending = {i: by_node[x:y] for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x}
@@ -247,25 +250,27 @@ class PrefixTree:
         if len(self.places):
             known = self.places[place] == every
             mark[place[known], np.repeat(np.arange(len(probes)), size)[known]] = 1
-        going: list[tuple[np.ndarray, np.ndarray]] = []
-        whole = (np.flatnonzero(size), np.zeros(int((size > 0).sum()), np.int64))
+        # by node, as long as children are to come
+        going: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        whole = (np.flatnonzero(size), np.zeros(int((size > 0).sum()), np.int32))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for node, (parent, begin, length) in enumerate(zip(self.parent.tolist(), self.begin.tolist(), self.length.tolist())):
-            alive, overlap = whole if parent < 0 else going[parent]
+            alive, overlap = whole if parent < 0 else going[parent] if self.last_child[parent] > node else going.pop(parent)
             if len(alive):
                 run = self.codes[begin : begin + length]
                 if 2 * len(alive) > len(probes):
-                    overlap = overlap + mark[run].sum(axis=0, dtype=np.int64)[alive]
+                    overlap = overlap + mark[run].sum(axis=0, dtype=np.int32)[alive]
                 else:
-                    overlap = overlap + mark[run[:, None], alive].sum(axis=0, dtype=np.int64)
+                    overlap = overlap + mark[run[:, None], alive].sum(axis=0, dtype=np.int32)
                 own = size[alive]
-                most = overlap + np.minimum(own - overlap, self.longest[node] - self.depth[node])
+                most = overlap.astype(np.int64) + np.minimum(own - overlap, self.longest[node] - self.depth[node])
                 keep = most * (p + q) >= p * (own + self.shortest[node])
                 alive, overlap = alive[keep], overlap[keep]
                 for i in self.ending.get(node, ()) if len(alive) else ():
-                    hit = alive[overlap * (p + q) >= p * (size[alive] + self.sizes[i])]
+                    hit = alive[overlap.astype(np.int64) * (p + q) >= p * (size[alive] + self.sizes[i])]
                     found.append((hit, np.full(len(hit), i)))
-            going.append((alive, overlap))
+            if self.last_child[node] >= 0:
+                going[node] = (alive, overlap)
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def walk(self, i: int, p: int, q: int) -> np.ndarray:
