@@ -172,13 +172,19 @@ def short_name(request: str) -> str:
     return name
 
 
-def pivot_grouped_table(cells: DataFrame, requests: DataFrame, models: Sequence[str], thinking: bool = False) -> DataFrame:
-    """One row per requested metric, one column per model. Thinking tables drop rows without any score."""
-    wide = cells.groupBy("request").pivot("model", list(models)).agg(F.first("score"))
-    table = requests.join(wide, "request", "left")
+def pivot_grouped_table(
+    cells: DataFrame, requests: DataFrame, models: Sequence[str] | None = None, thinking: bool = False
+) -> DataFrame:
+    """One row per requested metric, one column per model, by default of every model that has a cell, in order.
+
+    Thinking tables drop rows without any score. The names of the models are columns of the result, so they are read first.
+    """
+    if models is None:
+        models = [r.model for r in cells.select("model").distinct().orderBy("model").collect()]
     if thinking:
-        table = table.where(F.coalesce(*[F.col(f"`{m}`") for m in models]).isNotNull())
-    return table
+        cells = cells.where("score IS NOT NULL")
+    wide = cells.groupBy("request").pivot("model", list(models)).agg(F.first("score"))
+    return requests.join(wide, "request", "inner" if thinking else "left")
 
 
 def split_metrics(requests: DataFrame, held_out: Sequence[str] = tuple(HELD_OUT)) -> DataFrame:

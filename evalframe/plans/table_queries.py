@@ -74,18 +74,15 @@ def best_badge(spark, sf):
     return leaderboard.best_badge(cells).select("model", "request", "percent", "best")
 
 
-_MODELS = ["src0", "src1", "src2", "none"]
-
-
 @query("k17_pivot_grouped_table", """
-SELECT r.ord, r.grp AS "group", r.request, r.display, max(score) FILTER (model = 'src0') AS src0, max(score) FILTER (model = 'src1') AS src1,
-  max(score) FILTER (model = 'src2') AS src2, NULL::DOUBLE AS "none"
+SELECT r.ord, r.grp AS "group", r.request, r.display, c.* EXCLUDE (request)
 FROM (VALUES """ + ", ".join(str(r) for r in REQUESTS) + """, (90, 'Empty', 'xx/acc', 'xx')) r(ord, grp, request, display)
-LEFT JOIN (SELECT model, request, round(score, 6) AS score FROM v_cells) c ON c.request = r.request GROUP BY ALL""", _GROUPED)
+LEFT JOIN (PIVOT (SELECT model, request, round(score, 6) AS score FROM v_cells) ON model USING max(score) GROUP BY request) c
+  ON c.request = r.request""", _GROUPED)
 def pivot_grouped_table(spark, sf):
     cells = sample_cells(spark, sf).withColumn("score", F.round("score", 6))
     requests = leaderboard.request_table(spark, [*REQUESTS, (90, "Empty", "xx/acc", "xx")])
-    return leaderboard.pivot_grouped_table(cells, requests, _MODELS)
+    return leaderboard.pivot_grouped_table(cells, requests)
 
 
 @query("k18_train_test_split", """
@@ -107,21 +104,20 @@ def thinking_groups(spark, sf):
 
 
 @query("k17_thinking_table", """
-SELECT request, max(score) FILTER (model = 'acme/model-2') AS "acme/model-2", max(score) FILTER (model = 'acme/model-3') AS "acme/model-3"
-FROM (SELECT model, key AS request, round(CASE WHEN key LIKE '%length%' OR score BETWEEN 0 AND 1 THEN score ELSE score / 100 END, 6) AS score FROM v_summary
+SELECT * FROM (PIVOT (
+  SELECT model, key AS request, round(CASE WHEN key LIKE '%length%' OR score BETWEEN 0 AND 1 THEN score ELSE score / 100 END, 6) AS score FROM v_summary
   WHERE regexp_matches(key, '^(gsm8k|code_gen|agieval)/(thinking_format_correct|thinking_length_tokens|response_length_tokens|generation_truncated)$'))
-WHERE model IN ('acme/model-2', 'acme/model-3') GROUP BY ALL""", views.SUMMARY)
+  ON model USING max(score) GROUP BY request)""", views.SUMMARY)
 def thinking_table(spark, sf):
-    summary = views.summary(spark, sf).where("model IN ('acme/model-2', 'acme/model-3')")
+    summary = views.summary(spark, sf)
     tasks = ["gsm8k", "code_gen", "agieval"]
     requests = [
         (i, label, f"{task}/{suffix}", task)
         for i, (label, suffix) in enumerate(leaderboard.thinking_specs("tokens")) for task in tasks
     ]
     cells = leaderboard.table_cells(summary, [r[2] for r in requests], thinking=True).withColumn("score", F.round("score", 6))
-    wide = leaderboard.pivot_grouped_table(
-        cells, leaderboard.request_table(spark, requests), ["acme/model-2", "acme/model-3"], thinking=True)
-    return wide.select("request", "`acme/model-2`", "`acme/model-3`")
+    wide = leaderboard.pivot_grouped_table(cells, leaderboard.request_table(spark, requests), thinking=True)
+    return wide.drop("ord", "group", "display")
 
 
 @query("k20_format_cells", """

@@ -37,10 +37,13 @@ def read_harness_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sample_lines(lines: DataFrame) -> DataFrame:
-    """Typed harness samples. `values` holds each listed metric as one number per attempt; blank lines are skipped."""
+    """Typed harness samples; blank lines are skipped. `scores` holds each listed metric as its JSON text, so that text is
+    told from numbers; `doc_id` is NULL for an id that is no number, `doc_key` is the id as text."""
     parsed = lines.select("path", "value", keep(F.try_parse_json("value")).alias("v"))  # blank lines are no JSON either
     typed = parsed.select("path", F.from_json("value", schemas.SAMPLE).alias("s"), "v")
-    return typed.select("path", "s.*", _metric_fields(F.col("s.metrics"), F.col("v")).alias("scores"))
+    return typed.select(
+        "path", "s.*", F.try_variant_get("v", "$.doc_id", "string").alias("doc_key"),
+        _metric_fields(F.col("s.metrics"), F.col("v")).alias("scores"))
 
 
 def bad_sample_lines(lines: DataFrame) -> DataFrame:
@@ -197,10 +200,15 @@ def json_keys(documents: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def flatten_json(documents: pd.Series) -> pd.Series:
-    """A JSON object as one level of `a/b/c` keys; lists become text."""
+    """A JSON object as one level of `a/b/c` keys; lists become text. NULL for what is no JSON object."""
 
-    def flatten(text: str) -> dict[str, str | None]:
-        flat, pending = {}, [("", json.loads(text))]
+    def flatten(text: str | None) -> dict[str, str | None] | None:
+        try:
+            flat, pending = {}, [("", json.loads(text))]
+        except (TypeError, ValueError):
+            return None
+        if not isinstance(pending[0][1], dict):
+            return None
         while pending:
             prefix, value = pending.pop()
             for key, child in value.items():
@@ -222,4 +230,4 @@ def _metric_fields(metrics: Column, line: Column) -> Column:
     """The line's own value of each metric it lists, as JSON text."""
     named = F.array_distinct(F.coalesce(metrics, F.array().cast("array<string>")))
     return let(F.try_variant_get(line, "$", "map<string,variant>"), lambda fields: F.map_from_entries(F.transform(
-        named, lambda m: F.struct(m.alias("key"), F.try_element_at(fields, m).cast("string").alias("value")))))
+        named, lambda m: F.struct(m.alias("key"), F.to_json(F.try_element_at(fields, m)).alias("value")))))

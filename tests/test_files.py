@@ -9,6 +9,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evalframe.functions import samples
 from evalframe.sources import dimensions, files, growing, records, sinks
 from evalframe.streaming import progress
 
@@ -40,6 +41,24 @@ def test_sample_lines(spark, tmp_path):
     assert [r.value for r in records.bad_sample_lines(raw).collect()] == ['{"doc_id"']
 
 
+def test_sample_values_keep_their_type(spark, tmp_path):
+    lines = ['{"doc_id": "q-7", "metrics": ["acc", "em", "f"], "acc": "1.0", "em": 0.5, "f": null}',
+             '{"doc_id": 8, "metrics": ["acc"], "acc": [1, "1"]}']
+    write(tmp_path / "samples_t_2025-01-01T00.jsonl", "\n".join(lines))
+    rows = records.sample_lines(files.text_files(spark, str(tmp_path), "samples_*.jsonl", whole=False))
+    keys = F.array(F.lit("acc,none"), F.lit("em,none"))
+    got = {r.doc_key: (r.doc_id, r.v, r.s and r.s.score) for r in rows.select(
+        "doc_id", "doc_key", records.attempt_values(F.col("scores")).alias("v"),
+        samples.sample_score(F.col("scores"), F.lit("none"), keys).alias("s")).collect()}
+    assert got["q-7"] == (None, {"em": [0.5]}, 0.5)  # text is no score
+    assert got["8"][0] == 8 and got["8"][2] is None
+
+
+def test_flattening_keeps_bad_lines(spark):
+    rows = spark.createDataFrame([("{\"a\": {\"b\": [1, \"x\"]}}",), ("[1]",), ("{",), (None,)], "line string")
+    assert [r.m for r in rows.select(records.flatten_json("line").alias("m")).collect()] == [{"a/b": "[1, 'x']"}, None, None, None]
+
+
 def test_latest_sample_file(spark):
     names = ["samples_a_2025-01-01T00.jsonl", "samples_a_2025-02-01T00.jsonl", "samples_a_b_2025-03-01T00.jsonl", "samples_a_old.jsonl"]
     rows = spark.createDataFrame([("/x/" + n,) for n in names], "path string")
