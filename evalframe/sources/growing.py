@@ -9,7 +9,6 @@ until it is longer than before.
 
 from __future__ import annotations
 
-import json
 import re
 import time
 from collections.abc import Iterator
