@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # Task-level fields that sit beside the metrics of a task but are not scores.
 METADATA_KEYS = ["alias", "samples", "name", "sample_len", "sample_count"]
@@ -148,12 +149,18 @@ def parse_run_name(
     )
 
 
+@F.pandas_udf(T.StringType())
+def _four_digits(values: pd.Series, signed: pd.Series) -> pd.Series:
+    """Text of the double itself, as `%.4f` gives it: its shortest decimal text may be a half where the double is none."""
+    return pd.Series([format(v, "+.4f" if s else ".4f") for v, s in zip(values, signed)], dtype="object")
+
+
 def delta_cell(delta: Column) -> Column:
-    return F.format_string("%+.4f", F.bround(delta, 4))
+    return _four_digits(delta, F.lit(True))
 
 
 def plain_cell(score: Column) -> Column:
-    return F.format_string("%.4f", F.bround(score, 4))
+    return _four_digits(score, F.lit(False))
 
 
 def percent(score: Column) -> Column:

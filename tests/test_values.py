@@ -300,6 +300,18 @@ def test_tables(spark):
     assert {r.text for r in leaderboard.display_cells(count).collect()} == {"413", "6.2"}
 
 
+def test_cells_round_the_double_itself(spark):
+    """0.00015 is just below the half its text shows, 0.12345 just above it; a small loss keeps its sign."""
+    values = [0.00015, 0.12345, 0.10625, 0.28125, 0.5] + [k / 4000 for k in range(0, 4000, 7)]
+    rows = spark.createDataFrame([("m", f"t{i}/x", v) for i, v in enumerate(values)] + [
+        ("base", f"t{i}/x", 0.3) for i in range(len(values))] + [("m", "u/x", 0.29999), ("base", "u/x", 0.3)],
+        "model string, request string, score double")
+    texts = {(r.model, r.request): r.text for r in leaderboard.format_cells(rows, "base").collect()}
+    assert all(texts["m", f"t{i}/x"] == f"{v - 0.3:+.4f}" for i, v in enumerate(values)) and texts["m", "u/x"] == "-0.0000"
+    plain = {r.request: r.text for r in leaderboard.format_cells(rows.where("model = 'm'")).collect()}
+    assert all(plain[f"t{i}/x"] == f"{v:.4f}" for i, v in enumerate(values))
+
+
 def test_documents(spark):
     questions = spark.createDataFrame([(1, "d", "b.txt;a.txt", "q")], "question_id int, directory string, data_source_filenames string, question string")
     documents = spark.createDataFrame([("d", "a.txt", "A"), ("d", "b.txt", "B"), ("d", "c.txt", "C")], "directory string, name string, text string")
