@@ -116,8 +116,7 @@ def thinking_table(spark, sf):
         for i, (label, suffix) in enumerate(leaderboard.thinking_specs("tokens")) for task in tasks
     ]
     cells = leaderboard.table_cells(summary, [r[2] for r in requests], thinking=True).withColumn("score", F.round("score", 6))
-    wide = leaderboard.pivot_grouped_table(cells, leaderboard.request_table(spark, requests), thinking=True)
-    return wide.drop("ord", "group", "display")
+    return leaderboard.pivot_grouped_table(cells, leaderboard.request_table(spark, requests).select("request"), thinking=True)
 
 
 @query("k20_format_cells", """

@@ -312,6 +312,16 @@ def test_cells_round_the_double_itself(spark):
     assert all(plain[f"t{i}/x"] == f"{v:.4f}" for i, v in enumerate(values))
 
 
+def test_wide_tables_have_no_expression_per_model(spark):
+    cells = spark.createDataFrame([("m1", "a/x", 0.5), ("m2", "a/x", None), ("m2", "b/x", 0.25)], "model string, request string, score double")
+    requests = leaderboard.request_table(spark, [(1, "G", "a/x", "a"), (2, "G", "b/x", "b"), (3, "G", "c/x", "c")])
+    wide = leaderboard.pivot_grouped_table(cells, requests)
+    assert wide.columns == ["request", "ord", "group", "display", "m1", "m2"]
+    assert {r.request: (r.ord, r.m1, r.m2) for r in wide.collect()} == {"a/x": (1, 0.5, None), "b/x": (2, None, 0.25), "c/x": (3, None, None)}
+    assert [r.request for r in leaderboard.pivot_grouped_table(cells.where("model = 'm1'"), requests, thinking=True).collect()] == ["a/x"]
+    assert "pivotfirst" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents(spark):
     questions = spark.createDataFrame([(1, "d", "b.txt;a.txt", "q")], "question_id int, directory string, data_source_filenames string, question string")
     documents = spark.createDataFrame([("d", "a.txt", "A"), ("d", "b.txt", "B"), ("d", "c.txt", "C")], "directory string, name string, text string")
