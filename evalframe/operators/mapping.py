@@ -97,57 +97,47 @@ def safe_task_name(task: Column) -> Column:
 def group_descendants(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(root, task): everything below each root in edges(parent, child), within `by`; cycles are tolerated.
 
-    Paths are doubled: step k holds pairs that are 2^k edges apart and not known from a smaller step, until there are none.
-    Any shortest path is a sum of such steps, so one sweep from the largest step down reaches all that is below a root: the
-    number of rounds grows with the logarithm of the depth. Where nodes with many parents have many children, doubling would
-    make far more pairs than there are edges; it stops there and the sweep is repeated until nothing is new. Every step is
-    a table in the shared folder, and a parent that holds many of the pairs is split.
+    A round takes the pairs of a root and a task that the round before found one step further, so each pair goes on once.
+    Hierarchies are rarely deep: only what is not done after FIRST_ROUNDS gets steps of 2, 4, 8 and more edges, one more each
+    round, and the number of rounds grows with the logarithm of the depth. Steps go through a task only if it joins few
+    pairs (MOST_PAIRS for each edge of it): a task of many parents and many children would make pairs without end, and
+    is passed by the edges. Every round is a table in the shared folder, and a task that many roots reach is split.
     """
     by = list(by)
     edges = cut_lineage(edges.select(*by, "parent", "child").distinct(), "edges")
+    last, steps, doubling = edges, edges, True
     starts = roots.select(*by, F.col("task").alias("root")).distinct()
-    steps, known, complete = [edges], edges, False
-    while not complete:
-        last = steps[-1]
-        heads = last.groupBy(*by, F.col("parent").alias("_node")).agg(F.count("*").alias("_out"))
-        tails = last.groupBy(*by, F.col("child").alias("_node")).agg(F.count("*").alias("_in"))
-        size = heads.join(tails, [*by, "_node"]).agg(F.sum(F.col("_in") * F.col("_out")).alias("n"), F.lit(0).alias("z")).crossJoin(
-            last.agg(F.count("*").alias("m"))).first()
-        if not size.n:
-            break
-        if size.n > MOST_PAIRS * size.m + 1000:  # a node of many parents and children
-            break
-        pairs = heavy_join(
-            last.select(*by, "parent", F.col("child").alias("_node")), last.select(*by, F.col("parent").alias("_node"), "child"),
-            [*by, "_node"]).where("parent <> child").select(*by, "parent", "child").distinct()
-        new = cut_lineage(pairs.join(known, [*by, "parent", "child"], "left_anti"), "steps")
-        complete = new.isEmpty()
-        if not complete:
-            steps.append(new)
-            known = known.unionByName(new)
-    complete = complete or not size.n
-    # pairs of a root and a node on the way, the root itself among them
-    way = starts.withColumn("task", F.col("root"))
-    count = -1
+    new, below, rounds, size = starts.withColumn("task", F.col("root")), None, 0, None
     while True:
-        for step in reversed(steps):
-            further = heavy_join(
-                way.withColumnRenamed("task", "parent"), step, [*by, "parent"]).select(*by, "root", F.col("child").alias("task"))
-            way = cut_lineage(way.unionByName(further).distinct(), "reached")
-        if complete:
-            break
-        before, count = count, way.count()
-        if count == before:
-            break
-    # a root is below itself where a node on the way leads back to it
-    back = way.withColumnRenamed("task", "parent").join(
-        edges.withColumnRenamed("child", "root"), [*by, "parent", "root"], "left_semi").select(*by, "root").distinct()
-    below = way.where("task <> root").unionByName(back.withColumn("task", F.col("root")))
-    return below.select(*by, "root", "task")
-
-
-# Pairs that a doubling may make for each pair of the step before.
-MOST_PAIRS = 64
+        if rounds >= FIRST_ROUNDS and doubling:
+            size = size or edges.count()
+            longer = cut_lineage(_doubled(last, by).join(steps, [*by, "parent", "child"], "left_anti"), "steps")
+            count = longer.count()
+            doubling = 0 < count <= MOST_PAIRS * size
+            if doubling:
+                last, steps = longer, steps.unionByName(longer)
+                new = below  # what is known may take the longer steps too
+        further = heavy_join(
+            new.withColumnRenamed("task", "parent"), steps, [*by, "parent"]).select(*by, "root", F.col("child").alias("task")).distinct()
+        new = cut_lineage(further if below is None else further.join(below, [*by, "root", "task"], "left_anti"), "reached")
+        if new.isEmpty():
+            return below if below is not None else new
+        below, rounds = new if below is None else below.unionByName(new), rounds + 1
+
+
+def _doubled(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that are two steps apart, by the tasks that join few."""
+    heads = steps.groupBy(*by, F.col("parent").alias("_node")).agg(F.count("*").alias("_out"))
+    tails = steps.groupBy(*by, F.col("child").alias("_node")).agg(F.count("*").alias("_in"))
+    few = heads.join(tails, [*by, "_node"]).where(
+        F.col("_in") * F.col("_out") <= MOST_PAIRS * (F.col("_in") + F.col("_out"))).select(*by, "_node")
+    first = steps.withColumnRenamed("child", "_node").join(few, [*by, "_node"], "left_semi")
+    return heavy_join(first, steps.withColumnRenamed("parent", "_node"), [*by, "_node"]).where("parent <> child").select(
+        *by, "parent", "child").distinct()
+
+
+# Rounds by single edges, and pairs that a longer step may make for each edge.
+FIRST_ROUNDS, MOST_PAIRS = 8, 4
 
 
 def select_aggregates(

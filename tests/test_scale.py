@@ -142,6 +142,14 @@ def test_descendants_of_odd_graphs(spark, monkeypatch, most):
     assert {(r.root, r.task) for r in got.collect()} == _closure(edges, roots)
 
 
+def test_no_steps_through_tasks_of_many_parents_and_children(spark):
+    """Of 200 parents and 200 children the step through a hub would be 40,000 pairs for 400 edges."""
+    edges = spark.range(200).selectExpr("concat('p', id) AS parent", "'hub' AS child").unionByName(
+        spark.range(200).selectExpr("'hub' AS parent", "concat('q', id) AS child")).unionByName(
+        spark.createDataFrame([("a", "b"), ("b", "c")], "parent string, child string"))
+    assert {(r.parent, r.child) for r in mapping._doubled(edges, []).collect()} == {("a", "c")}
+
+
 def test_selectors(spark):
     results = spark.createDataFrame([("m", t) for t in (
         "suite_gen_0shot", "suite_de_gen_0shot", "suite_fr_gen_0shot", "mm", "mm_a", "mm_b", "agi", "only", "lone_x")], "model string, task string")
