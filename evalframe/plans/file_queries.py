@@ -417,13 +417,13 @@ def validate_export(spark, sf):
 SELECT model || '/' || file AS key, count(*) AS done, count(*) FILTER (event_type = 'purchase') AS passed, count(*) FILTER (event_type = 'signup') AS failed
 FROM v_reviews WHERE event_id % 20 <> 3 GROUP BY ALL""", _REVIEWS)
 def review_progress(spark, sf):
-    """Writes review lines as closed segments per file, follows them as a stream and reads the progress table."""
+    """Writes review lines as closed, zipped segments per file, follows them as a stream and reads the progress table."""
     root = shared_dir(spark, "reviews")
     key = progress.file_key(F.col("path"))
     lines = _review_files(spark, sf).select(
         F.substring_index(key, "/", 1).alias("m"), F.concat(F.substring_index(key, "/", -1), F.lit(".jsonl")).alias("f"),
         F.when(F.col("event_id") % 20 == 3, F.left("value", F.lit(60))).otherwise(F.col("value")).alias("value"))
-    sinks.write_lines(lines, f"{root}/in/reviews", ["m", "f"])
+    sinks.write_lines(lines, f"{root}/in/reviews", ["m", "f"], compression="gzip")
     stream = progress.start_progress(spark, f"{root}/in", f"{root}/progress", f"{root}/state", once=True)
     stream.awaitTermination()
     return progress.latest_progress(spark, f"{root}/progress").withColumn(

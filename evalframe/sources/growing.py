@@ -5,13 +5,18 @@ trigger reads only the bytes that were added, in ranges that many tasks share. A
 one that it ends within waits for the range with its line feed, whose task looks back for where it began. A last line
 without a line feed counts once its file has not changed for `idle` seconds. A file that became shorter is left alone
 until it is longer than before.
+
+A file whose name ends in `.gz` is unzipped as it is read and may grow, too, by further members or further bytes of one. Its
+sizes and ranges are those of the file, the places of its lines those of the text. One task reads what was added to it,
+and has to unzip what was known before as well, so zipped files suit segments that are closed.
 """
 
 from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +24,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-BLOCK = 1 << 20  # bytes read at a time
+BLOCK = 1 << 20  # bytes read, or unzipped, at a time
+ZIPPED = ".gz"
 _LINES = pa.schema([("path", pa.string()), ("at", pa.int64()), ("value", pa.string())])
 
 
@@ -52,24 +58,49 @@ def _line_start(stream, at: int) -> int:
 
 def range_lines(stream, part: Range) -> Iterator[tuple[int, bytes]]:
     """Where they begin and the bytes of the lines that end from `start` to before `stop`."""
+    if part.path.endswith(ZIPPED):
+        known = sum(len(block) for block in _unzipped(stream, part.start))
+        return _lines(_unzipped(stream, part.stop), 0, known, part.closed)
     begin = _line_start(stream, part.start)
+    return _lines(_blocks(stream, begin, part.stop), begin, part.start, part.closed)
+
+
+def _blocks(stream, begin: int, stop: int) -> Iterator[bytes]:
     stream.seek(begin)
-    held, place = [], begin
-    while place < part.stop:
-        block = stream.read(min(BLOCK, part.stop - place))
-        if not block:
-            break
-        place += len(block)
+    while begin < stop and (block := stream.read(min(BLOCK, stop - begin))):
+        yield block
+        begin += len(block)
+
+
+def _unzipped(stream, stop: int) -> Iterator[bytes]:
+    """The text in the first `stop` bytes of a gzip file of any number of members, as far as these bytes give it."""
+    unzip, fresh = zlib.decompressobj(wbits=31), True
+    for data in _blocks(stream, 0, stop):
+        while data:
+            if fresh:  # members may be padded with zeros
+                data = data.lstrip(b"\0")
+            if data:
+                fresh = False
+                yield unzip.decompress(data, BLOCK)
+                data = unzip.unconsumed_tail
+                if unzip.eof:
+                    data, unzip, fresh = unzip.unused_data, zlib.decompressobj(wbits=31), True
+
+
+def _lines(blocks: Iterable[bytes], begin: int, start: int, closed: bool) -> Iterator[tuple[int, bytes]]:
+    """The lines of a text that is read from `begin` on, those whose line feed stands at `start` or later."""
+    held = []
+    for block in blocks:
         *lines, rest = block.split(b"\n")
         for line in lines:
             whole = b"".join([*held, line])
             held = []
-            if begin + len(whole) >= part.start:  # its line feed lies in the range
+            if begin + len(whole) >= start:
                 yield begin, whole
             begin += len(whole) + 1
         held.append(rest)
     rest = b"".join(held)
-    if part.closed and rest:
+    if closed and rest:
         yield begin, rest
 
 
@@ -101,7 +132,8 @@ class GrowingLinesReader(DataSourceStreamReader):
             begin, was_closed = start.get(path, [0, False])
             if stop < begin or (stop == begin and closed == was_closed) or (stop == begin and was_closed):
                 continue
-            cuts = [*range(begin, stop, self.size), stop] if stop > begin else [begin, stop]
+            size = stop - begin if path.endswith(ZIPPED) else self.size
+            cuts = [*range(begin, stop, size), stop] if stop > begin else [begin, stop]
             for a, b in zip(cuts, cuts[1:]):
                 parts.append(Range(path, a, b, closed and b == stop))
         return parts

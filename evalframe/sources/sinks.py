@@ -41,9 +41,9 @@ def grouped_json(cells: DataFrame, requests: DataFrame) -> DataFrame:
     return metrics.join(averages, "group", "left").select("ord", "group", body.alias("value"))
 
 
-def write_lines(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+def write_lines(rows: DataFrame, path: str, by: Sequence[str] = (), compression: str = "none") -> None:
     """Text lines, in one directory per value of `by`."""
-    _gathered(rows.select(*by, "value"), by).write.mode("overwrite").partitionBy(*by).text(path)
+    _gathered(rows.select(*by, "value"), by).write.mode("overwrite").partitionBy(*by).text(path, compression=compression)
 
 
 def write_export(results: DataFrame, instances: DataFrame, path: str, source_name: str, retrieved: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import itertools
 import json
@@ -147,3 +148,39 @@ def test_ranges_give_every_line_once(monkeypatch, block):
             for a, b in zip(edges, edges[1:]):
                 got += growing.range_lines(io.BytesIO(data), growing.Range("p", a, b, b == len(data)))
             assert got == want, (data, cuts)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_zipped_files_give_every_line_once(monkeypatch, block):
+    monkeypatch.setattr(growing, "BLOCK", block)
+    members = [b"a\nbb\n", b"\nccc", b"dd\n" + b"p" * 5000, b"", b"\nlast"]
+    data = gzip.compress(members[0]) + bytes(3) + b"".join(map(gzip.compress, members[1:]))
+    want, at = [], 0
+    for part in b"".join(members).split(b"\n"):
+        want.append((at, part))
+        at += len(part) + 1
+    for cuts in ([], [1], [30], [len(data) - 1], range(5, len(data), 5)):  # sizes at which the growing file was looked at
+        edges = [0, *cuts, len(data)]
+        got = []
+        for a, b in zip(edges, edges[1:]):
+            got += growing.range_lines(io.BytesIO(data), growing.Range("p.gz", a, b, b == len(data)))
+        assert got == want, cuts
+
+
+def test_progress_of_zipped_segments(spark, tmp_path):
+    line = lambda acc: json.dumps({"sample_score": {"score": {"value": {"acc": acc}}}, "patch": "p" * 10_000})
+    root, sink, state = tmp_path / "in", tmp_path / "progress", tmp_path / "state"
+    rows = spark.createDataFrame(
+        [("a", "d_all.jsonl", line(float(i % 2))) for i in range(300)], "m string, f string, value string")
+
+    def run():
+        progress.start_progress(spark, str(root), str(sink), str(state), once=True).awaitTermination()
+        return {r.key: (r.done, r.passed) for r in progress.latest_progress(spark, str(sink)).collect()}
+
+    sinks.write_lines(rows, str(root / "reviews"), ["m", "f"], compression="gzip")
+    segments = list(root.rglob("*.gz"))
+    assert sum(p.stat().st_size for p in segments) < 100_000  # of 3 MB
+    assert run() == {"m=a/f=d_all": (300, 150)}
+    with segments[0].open("ab") as file:
+        file.write(gzip.compress((line(1.0) + "\n").encode()))
+    assert run() == {"m=a/f=d_all": (301, 151)}
