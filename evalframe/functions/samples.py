@@ -20,16 +20,14 @@ def extract_prompt(arguments: Column, doc: Column, input_: Column) -> Column:
 
 def extract_choices(arguments: Column) -> Column:
     """The answer options in order, up to the first gap; NULL for a sample that is not multiple choice."""
-    size = F.cardinality(arguments)
     key = lambda i: F.concat(F.lit("gen_args_"), i.cast("string"))
-    indices = F.sequence(F.lit(0), size)  # one past the last possible index: the first gap always exists
+    indices = F.sequence(F.lit(0), F.cardinality(arguments))  # one past the last possible index: the first gap always exists
     stop = F.array_min(F.filter(indices, lambda i: ~F.map_contains_key(arguments, key(i))))
-    options = F.transform(
-        F.filter(indices, lambda i: i < stop), lambda i: F.trim(F.try_element_at(arguments, key(i))["arg_1"])
-    )
-    options = F.filter(options, lambda o: o.isNotNull())
+    texts = let(stop, lambda n: F.transform(  # named, or every index would look for the gap again
+        F.slice(indices, F.lit(1), n), lambda i: F.trim(F.try_element_at(arguments, key(i))["arg_1"])))
+    options = F.filter(texts, lambda o: o.isNotNull())
     multiple = F.coalesce(F.map_contains_key(arguments, F.lit("gen_args_1")), F.lit(False))
-    return F.when(multiple & (F.size(options) > 0), options)
+    return F.when(multiple, let(options, lambda found: F.when(F.size(found) > 0, found)))
 
 
 def extract_output(filtered: Column, responses: Column, choices: Column) -> Column:
@@ -51,18 +49,19 @@ def extract_output(filtered: Column, responses: Column, choices: Column) -> Colu
 def score_key(result_key: Column) -> Column:
     """Name of the per-sample field behind an aggregate key: without filter, repeat-mean and pass@k suffix."""
     metric = F.split_part(result_key, F.lit(","), F.lit(1))
-    metric = F.regexp_replace(metric, r"_mean_repeats$", "")
+    repeated = F.contains(metric, F.lit("_mean_repeats"))  # most keys need no expression
+    metric = F.when(repeated, F.regexp_replace(metric, r"_mean_repeats$", "")).otherwise(metric)
     return F.substring_index(metric, "_pass@", 1)
 
 
 def sample_score(scores: Column, sample_filter: Column, result_keys: Column) -> Column:
     """struct(score, is_correct) of the first exported metric with a scalar value under the row's filter."""
     filter_name = F.coalesce(sample_filter, F.lit("none"))
-    applies = lambda k: ~F.contains(k, F.lit(",")) | (F.regexp_replace(k, "^[^,]*,", "") == filter_name)
+    applies = lambda k: ~F.contains(k, F.lit(",")) | (F.substr(k, F.instr(k, ",") + 1) == filter_name)
     number = lambda text: F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(
         text.try_cast("double")
     )
-    values = F.transform(F.filter(result_keys, applies), lambda k: number(F.try_element_at(scores, score_key(k))))
+    values = F.transform(F.filter(result_keys, applies), lambda k: let(F.try_element_at(scores, score_key(k)), number))
     usable = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return let(F.get(usable, F.lit(0)), lambda first: F.when(
         first.isNotNull(), F.struct(first.alias("score"), (first == 1.0).alias("is_correct"))))

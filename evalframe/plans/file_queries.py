@@ -283,7 +283,7 @@ def _export(spark, sf):
 def _written_export(spark, sf):
     path = shared_dir(spark, "export")
     sinks.write_export(*_export(spark, sf), path, "harness run", "1700000001.0")
-    return sinks.read_export_lines(spark, f"{path}/records"), sinks.read_export_lines(spark, f"{path}/instances")
+    return sinks.read_small_files(spark, f"{path}/records"), sinks.read_export_lines(spark, f"{path}/instances")
 
 
 _RECORDS = views.SUMMARY + f""", v_records AS (

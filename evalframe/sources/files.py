@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+
+
 def text_files(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> DataFrame:
     """(path, value) of the files below `root` whose name matches: whole documents or single lines."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)

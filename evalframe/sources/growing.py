@@ -24,15 +24,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from evalframe.sources.files import opened
+
 BLOCK = 1 << 20  # bytes read, or unzipped, at a time
 ZIPPED = ".gz"
 _LINES = pa.schema([("path", pa.string()), ("at", pa.int64()), ("value", pa.string())])
 
 
-def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
-
-
 @dataclass
 class Range(InputPartition):
     path: str
@@ -117,7 +115,7 @@ class GrowingLinesReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """Size and whether it counts as finished, of each file that matches."""
-        system, root = _opened(self.root)
+        system, root = opened(self.root)
         now, out = time.time(), {}
         for info in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
             if info.type == pafs.FileType.File and re.search(self.pattern, info.path):
@@ -139,7 +137,7 @@ class GrowingLinesReader(DataSourceStreamReader):
         return parts
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        system, _ = _opened(self.root)
+        system, _ = opened(self.root)
         with system.open_input_file(partition.path) as stream:
             rows, size = [], 0
             for at, line in range_lines(stream, partition):

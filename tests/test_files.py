@@ -97,6 +97,25 @@ def test_round_trip_of_lines(spark, tmp_path):
     assert {tuple(r) for r in back.select("collection", "model", "value").collect()} == {tuple(r) for r in rows.collect()}
 
 
+def test_round_trip_of_small_files(spark, tmp_path):
+    keys = ["collection", "developer", "model", "uuid"]
+    odd = ["a/b", "50%", "c=d", "é ü", "%41", "q:'\"?*#[]{}\\^", None]
+    rows = [("b", "acme", m, str(i), line) for i, m in enumerate(odd) for line in ('{"x": "é"}', "", '{"x": "é"}')]
+    table = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in [*keys, "value"]))
+    sinks.write_small_files(table.limit(0), str(tmp_path / "none"), keys)
+    assert sinks.read_small_files(spark, str(tmp_path / "none"), keys).count() == 0
+    for _ in range(2):  # the second takes the place of the first
+        sinks.write_small_files(table, f"file:{tmp_path}/out", keys)
+    # the layout is that of Spark's own writer, both ways
+    sinks.write_lines(table, str(tmp_path / "spark"), keys)
+    names = lambda root: {str(p.parent.relative_to(tmp_path / root)) for p in (tmp_path / root).rglob("*.txt")}
+    assert names("out") == names("spark") and len(list((tmp_path / "out").rglob("*.txt"))) == len(odd)
+    for root in ("out", "spark"):
+        for read in (sinks.read_small_files, sinks.read_export_lines):
+            back = read(spark, str(tmp_path / root), keys).select(*keys, "value")
+            assert sorted(map(str, back.collect())) == sorted(map(str, table.collect())), (root, read)
+
+
 def test_progress_follows_new_segments(spark, tmp_path):
     line = lambda acc, status="success": json.dumps({"sample_score": {"score": {"value": {"acc": acc}, "status": status}}})
     root, sink, state = tmp_path / "in", tmp_path / "progress", tmp_path / "state"
