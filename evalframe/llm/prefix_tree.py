@@ -423,7 +423,10 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         "doc_id", "component", (F.col("component") != F.col("_largest")).alias("rest")), "open-components")
     keys = large.join(open_parts, "doc_id").select("text", "cluster", "block", "doc_id", "component", "rest").mapInArrow(
         _own_keys(width, p, q), "key long, cluster long, block int, doc_id long, component long, rest boolean")
-    keys = written(keys.repartition("key"), "open-keys")
+    # a key of one component or of one block asks for nothing: it ends in the exchange that brings it together
+    of_key = Window.partitionBy("key")
+    ends = {f"_{m}_{c}": getattr(F, m)(c).over(of_key) for c in ("component", "block") for m in ("min", "max")}
+    keys = written(keys.withColumns(ends).where("_min_component < _max_component AND _min_block < _max_block").drop(*ends), "open-keys")
     # keys of the same documents say the same: one of them is enough
     marks = keys.groupBy("key").agg(
         F.count("*").alias("_count"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("_xor"))

@@ -56,6 +56,22 @@ def test_clusters_larger_than_a_block(docs_of):
     assert joined(docs_of(rows), 3, 7, 10, block=8) == plain(rows, 3, 7, 10)
 
 
+def test_keys_of_one_component_or_block_are_not_written(docs_of, monkeypatch):
+    pick, rows, seen = random.Random(4), [], {}
+    base = [passage(70 + f, 60).split(" ") for f in range(2)]
+    for i in range(60):
+        words = list(base[i % 2])
+        words[pick.randrange(60)] = f"w{i}"
+        rows.append((i, " ".join(words[:30] + base[(i + 1) % 2][30:] if i % 6 == 0 else words)))
+    write = prefix_tree.written
+    monkeypatch.setattr(prefix_tree, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    assert joined(docs_of(rows), 3, 7, 10, block=8) == plain(rows, 3, 7, 10)
+    keys = {}
+    for r in seen["open-keys"].collect():
+        keys.setdefault(r.key, []).append(r)
+    assert keys and all(len({r.component for r in k}) > 1 and len({r.block for r in k}) > 1 for k in keys.values())
+
+
 def test_walks_find_all_links():
     pick = random.Random(1)
     for _ in range(150):
