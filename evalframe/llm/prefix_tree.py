@@ -9,8 +9,11 @@ members of their ordered prefix.) Documents that share a key, directly or throug
 In a cluster the sets are stored in a prefix tree with runs of members in its nodes. The sets that are searched go down the
 tree together and carry their overlaps along, so a shared prefix is counted once for all sets below it; a subtree is left by
 those for which even its longest rest could not reach the similarity. A large cluster is cut into blocks. The
-documents with the most links in their blocks meet all blocks first, which joins most copies of one text; what is then not
-in the largest component of the cluster meets every block that has a key of it in another component, so no link is missed.
+documents with the most links in their blocks meet all blocks first, which joins most copies of one text. What is then not
+in the largest component of the cluster is compared with the documents of other components and blocks that have one of its
+keys, by sketches first: a set's sketch has a bit for each residue of its members, set where their number is odd, so two
+sets differ in at least as many members as their sketches do in bits. Where these are more than a link allows there is
+none; a document meets the trees of the others in blocks again, so no link is missed.
 
 Documents without words or with a null id link with nothing; the latter have no component. Rows with the same id are one
 node. An empty table gives no rows. Other input columns are not read.
@@ -34,6 +37,9 @@ PIVOTS = 4  # documents of a large cluster that meet all its blocks first
 RUN = 64  # members in a node of the tree at most
 TOGETHER, MARKS = 256, 32 << 20  # sets that go down a tree together; bytes that mark their members
 BUCKET_KEYS = 100_000  # keys that one reducing task sorts, on average
+SKETCH, SKETCH_BITS = 1, 1 << 15  # bits of a sketch for each member at least, and of a sketch at most
+KEY_ROWS, BUCKET_ROWS = 4096, 20_000  # documents of a key, and rows of all keys, that one task compares, on average
+COMPARED = 16 << 20  # bytes of sketches that are compared at once
 
 _U = np.uint64
 
@@ -314,15 +320,33 @@ def _members(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     return out
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """A bit for each residue of the members by a power of two, set where an odd number of them has it."""
+    bits = min(max(1 << (SKETCH * len(members) - 1).bit_length(), 64), SKETCH_BITS) if len(members) else 64
+    odd = np.bincount((members & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of `size` bytes or more as rows of that size: a bit of the shorter one sums up those of the longer."""
+    out = np.zeros((len(sketches), size // 8), _U)
+    for i, one in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(one, _U).reshape(-1, size // 8), axis=0)
+    return out
+
+
 def _block_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
-        """a, b: each document and the first of its component in the block; `degree`: how many it links with there."""
+        """a, b: each document and the first of its component in the block; `degree`: how many it links with there; the
+        size of its set and its sketch."""
         group = group.sort_by("doc_id")
         docs = group.column("doc_id").to_pylist()
-        home, degree = linked(_members(group.column("text"), width), p, q)
+        sets = _members(group.column("text"), width)
+        home, degree = linked(sets, p, q)
         return pa.table({
             "cluster": group.column("cluster"), "a": pa.array(docs, pa.int64()),
-            "b": pa.array([docs[h] for h in home], pa.int64()), "degree": pa.array(degree, pa.int64())})
+            "b": pa.array([docs[h] for h in home], pa.int64()), "degree": pa.array(degree, pa.int64()),
+            "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary())})
 
     return links
 
@@ -339,6 +363,54 @@ def _own_keys(width: int, p: int, q: int):
     return keys
 
 
+def _near(p: int, q: int):
+    def near(group: pa.Table) -> pa.Table:
+        """Pairs with a key in common, in different components and blocks, whose sizes and sketches allow a link: the
+        document that asks, the other one and its block."""
+        group = group.sort_by([("key", "ascending"), ("part", "ascending")])
+        key, part, doc, block, component, n = (
+            np.asarray(group.column(c), dtype=np.int64) for c in ("key", "part", "doc_id", "block", "component", "n"))
+        rest, held = (np.asarray(group.column(c).combine_chunks()).astype(bool) for c in ("rest", "held"))
+        sketches = group.column("sketch").to_pylist()
+        size = np.array([len(x) for x in sketches], np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        others = np.flatnonzero(held)
+        cuts = np.searchsorted(others, np.append(np.flatnonzero(new), len(key)))
+        asks, of = np.flatnonzero(rest), np.cumsum(new)[rest] - 1
+        begin, count = cuts[of], np.diff(cuts)[of]
+        as_rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(size).tolist():
+            fit = np.flatnonzero((size >= width) & (size * p <= 2 * q * width))  # no set of another size can link
+            place = np.zeros(len(size), np.int64)
+            place[fit] = np.arange(len(fit))
+            as_rows[width] = place, folded([sketches[i] for i in fit], width)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ends, at = np.cumsum(count), 0
+        while at < len(asks):
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED // 64, side="right")), at + 1)
+            many = count[at:to]
+            one = np.repeat(asks[at:to], many)
+            two = others[np.arange(len(one)) + np.repeat(begin[at:to] - np.cumsum(many) + many, many)]
+            keep = (component[one] != component[two]) & (block[one] != block[two])
+            keep &= (np.maximum(n[one], n[two]) * p <= np.minimum(n[one], n[two]) * q) & (~rest[two] | (doc[one] < doc[two]))
+            one, two = one[keep], two[keep]
+            least = np.minimum(size[one], size[two])
+            for width, (place, rows) in as_rows.items():
+                a, b = one[least == width], two[least == width]
+                for x in range(0, len(a), COMPARED // width):
+                    c, d = a[x : x + COMPARED // width], b[x : x + COMPARED // width]
+                    differ = np.bitwise_count(rows[place[c]] ^ rows[place[d]]).sum(axis=1, dtype=np.int64)
+                    may = differ * (p + q) <= (n[c] + n[d]) * (q - p)
+                    found.append((c[may], d[may]))
+            at = to
+        one, two = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"cluster": group.column("cluster").take(pa.array(one)), "doc_id": pa.array(doc[one]),
+                         "other": pa.array(doc[two]), "block": pa.array(block[two].astype(np.int32))})
+
+    return near
+
+
 def _cross_links(width: int, p: int, q: int):
     def links(group: pa.Table) -> pa.Table:
         """What the asked documents link with in the block, as pairs that connect it."""
@@ -399,7 +471,7 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     found = written(known.join(placed.hint("shuffle_merge"), "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(
         ["doc_id", "_text"]).drop("_text"), "cluster-texts")
     first = written(found.select("cluster", "block", "doc_id", "text").groupBy("cluster", "block").applyInArrow(
-        _block_links(width, p, q), "cluster long, a long, b long, degree long"), "block-links")
+        _block_links(width, p, q), "cluster long, a long, b long, degree long, n long, sketch binary"), "block-links")
     links = first.where("a <> b").select("a", "b")
     # of a cluster in several blocks, the documents with the most links meet all blocks
     large = found.where("blocks > 1").select("cluster", "blocks", "block", "doc_id", "text")
@@ -412,8 +484,8 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
     held = large.select("cluster", "block", "doc_id", "text", F.lit(False).alias("asked"))
     links = written(links.unionByName(sent.unionByName(held).groupBy("cluster", "block").applyInArrow(
         _cross_links(width, p, q), "a long, b long")), "pivot-links")
-    # what is not in the largest component of its cluster now meets the blocks that hold a document of another component
-    # with one of its keys: nothing else can link with it
+    # what is not in the largest component of its cluster now meets the documents of other components and blocks that have
+    # one of its keys: nothing else can link with it
     parts = large.select("cluster", "doc_id").distinct().join(
         components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
@@ -432,15 +504,21 @@ def near_duplicates(documents: DataFrame, key: str, text: str, width: int, p: in
         F.count("*").alias("_count"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("_xor"))
     keys = written(keys.join(marks.groupBy("_count", "_sum", "_xor").agg(F.min("key").alias("key")).where("_count > 1"), "key", "left_semi"),
                    "different-keys")
-    mine = keys.where("rest").select("key", "cluster", "doc_id", F.col("block").alias("_own"), F.col("component").alias("_mine"))
-    there = keys.select("key", "block", "component").distinct()
-    asked = mine.join(there, "key").where("component <> _mine AND block <> _own").select("cluster", "block", "doc_id").distinct()
-    asked = written(asked, "asked")
+    # documents that share a key meet by their sketches; many of one key in parts, to each of which all that ask are sent
+    spread = keys.join(keys.groupBy("key").agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("_parts")), "key").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn(
+        "held", F.pmod(F.xxhash64("doc_id"), F.col("_parts")) == F.col("part")).where("rest OR held").drop("_parts")
+    buckets = max(partitions, math.ceil(keys.count() / BUCKET_ROWS))
+    near = written(spread.join(first.select(F.col("a").alias("doc_id"), "n", "sketch"), "doc_id").withColumn(
+        "bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets))).groupBy("bucket").applyInArrow(
+        _near(p, q), "cluster long, doc_id long, other long, block int").distinct(), "near")
+    asked = written(near.select("cluster", "block", "doc_id").distinct(), "asked")
+    others = near.select(F.col("other").alias("doc_id")).distinct()
     turns = asked.groupBy("cluster", "block").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("_turns"))
     sent = asked.join(turns, ["cluster", "block"]).join(large.select("doc_id", "text"), "doc_id").select(
         "cluster", "block", F.pmod(F.xxhash64("doc_id"), F.col("_turns")).cast("int").alias("part"), "doc_id", "text",
         F.lit(True).alias("asked"))
-    held = large.join(turns, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).select(
+    held = large.join(others, "doc_id", "left_semi").join(turns, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).select(
         "cluster", "block", "part", "doc_id", "text", F.lit(False).alias("asked"))
     cross = sent.unionByName(held).groupBy("cluster", "block", "part").applyInArrow(
         _cross_links(width, p, q), "a long, b long")

@@ -72,6 +72,38 @@ def test_keys_of_one_component_or_block_are_not_written(docs_of, monkeypatch):
     assert keys and all(len({r.component for r in k}) > 1 and len({r.block for r in k}) > 1 for k in keys.values())
 
 
+def test_only_documents_that_may_link_are_sent_to_blocks(docs_of, monkeypatch):
+    """Copies just below the similarity share keys, but their sketches tell them apart before their texts are sent."""
+    pick, rows, seen = random.Random(5), [], {}
+    base = passage(70, 300).split(" ")
+    for i in range(60):
+        words = list(base)
+        for at in pick.sample(range(300), 18 if i % 10 else 1):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    write = prefix_tree.written
+    monkeypatch.setattr(prefix_tree, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    monkeypatch.setattr(prefix_tree, "KEY_ROWS", 8)  # keys in several parts
+    assert joined(docs_of(rows), 5, 4, 5, block=8) == plain(rows, 5, 4, 5)
+    blocks = seen["cluster-texts"].select("block").distinct().count()
+    keyed = {(r.doc_id, r.block) for r in seen["different-keys"].where("rest").collect()}
+    assert blocks > 4 and len(keyed) > 30  # all of these asked nearly all blocks
+    assert seen["asked"].count() < len(keyed)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_members():
+    pick = np.random.default_rng(6)
+    for size in [1, 3, 60, 65, 130, 1000, 3 * prefix_tree.SKETCH_BITS]:
+        for drop in [0, 1, size // 5, size - 1]:
+            a = np.unique(pick.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[drop:], pick.integers(0, 1 << 63, size // 7).astype(np.uint64)]))
+            one, two = prefix_tree.sketch(a), prefix_tree.sketch(b)
+            least = min(len(one), len(two))
+            rows = prefix_tree.folded([one, two], least)
+            bits = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (drop or len(b) > len(a) or bits == 0)
+
+
 def test_walks_find_all_links():
     pick = random.Random(1)
     for _ in range(150):
