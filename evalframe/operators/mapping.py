@@ -149,37 +149,44 @@ def select_aggregates(
     the stem of one with the generated suffix. Below it is what the metadata lists under the selector or the aggregate, at
     any depth; without such metadata, the scored tasks that continue the aggregate's stem. A selector that names nothing
     (`similar` then has the scored tasks that continue it) or has nothing below gives one row with `error` instead of a task.
+
+    Every selector of a group has a row for each task below, so the result can grow with the square of a group. These rows
+    are made by the last join, and neither shuffled nor written here: what is below a group is found once, and a group
+    whose only child is `c` shares what is below `c`.
     """
     by = list(by)
-    scored = results.select(*by, "task").distinct()
+    scored = cut_lineage(results.select(*by, "task").distinct(), "scored")
     wanted = selectors.select(*by, "selector").distinct()
-    exact = wanted.join(scored.withColumnRenamed("task", "selector"), [*by, "selector"], "left_semi").withColumn(
-        "aggregate", F.col("selector"))
-    generated = wanted.join(exact, [*by, "selector"], "left_anti").withColumn(
-        "aggregate", F.concat("selector", F.lit(GENERATED_SUFFIX))).join(
-        scored.withColumnRenamed("task", "aggregate"), [*by, "aggregate"], "left_semi")
-    found = cut_lineage(exact.unionByName(generated), "aggregates")
-    owned = groups.select(*by, F.col("parent").alias("_group")).distinct()
-    mark = lambda name, column: owned.select(*by, F.col("_group").alias(column), F.lit(True).alias(name))
-    grouped = found.join(mark("_own", "selector"), [*by, "selector"], "left").join(
-        mark("_of", "aggregate"), [*by, "aggregate"], "left").withColumn(
-        "_group", F.when(F.col("_own"), F.col("selector")).when(F.col("_of"), F.col("aggregate")))
-    listed = grouped.where("_group IS NOT NULL")
-    closure = group_descendants(groups, listed.select(*by, F.col("_group").alias("task")), by)
-    by_group = listed.join(closure.withColumnRenamed("root", "_group"), [*by, "_group"]).select(*by, "selector", "aggregate", "task")
+    names = F.array("selector", F.concat("selector", F.lit(GENERATED_SUFFIX)))  # the exact name counts first
+    found = wanted.select(*by, "selector", F.posexplode(names).alias("_rank", "aggregate")).join(
+        scored.withColumnRenamed("task", "aggregate"), [*by, "aggregate"], "left_semi").groupBy(*by, "selector").agg(
+        F.min_by("aggregate", "_rank").alias("aggregate"))
+    single = (F.count("child") == F.count("*")) & (F.min("child") == F.max("child"))
+    owned = groups.groupBy(*by, F.col("parent").alias("_name")).agg(F.when(single, F.min("child")).alias("_only"))
+    mark = lambda name, column: owned.select(*by, F.col("_name").alias(column), F.struct("_name", "_only").alias(name))
+    grouped = cut_lineage(
+        found.join(mark("_own", "selector"), [*by, "selector"], "left").join(mark("_of", "aggregate"), [*by, "aggregate"], "left")
+        .select(*by, "selector", "aggregate", F.coalesce("_own", "_of").alias("_group")), "aggregates")
+    listed = grouped.where("_group IS NOT NULL").select(
+        *by, "selector", "aggregate", F.coalesce("_group._only", "_group._name").alias("root"), "_group._only")
+    closure = group_descendants(groups, listed.select(*by, F.col("root").alias("task")), by)
+    closure = closure.where("task IS NOT NULL").unionByName(closure.where("task IS NULL").distinct())
+    by_group = heavy_join(closure, listed.drop("_only"), [*by, "root"], spread=["task"]).select(*by, "selector", "aggregate", "task")
+    only = listed.where("_only IS NOT NULL").join(closure.where("root = task").select(*by, "root"), [*by, "root"], "left_anti").select(
+        *by, "selector", "aggregate", F.col("_only").alias("task"))
     stems = scored.select(*by, "task", F.explode(F.filter(
         task_prefixes(F.col("task"), "_"), lambda p: p != F.col("task"))).alias("_stem"))
-    stem = F.regexp_replace("aggregate", GENERATED_SUFFIX + "$", "")
-    by_name = grouped.where("_group IS NULL").withColumn("_stem", stem).join(stems, [*by, "_stem"]).where(
-        "task <> aggregate").select(*by, "selector", "aggregate", "task")
-    below = cut_lineage(by_group.unionByName(by_name).distinct(), "selected")
-    empty = found.join(below, [*by, "selector"], "left_anti").select(
+    named = grouped.where("_group IS NULL").select(
+        *by, "selector", "aggregate", F.regexp_replace("aggregate", GENERATED_SUFFIX + "$", "").alias("_stem"))
+    below = named.join(stems, [*by, "_stem"]).where("task <> aggregate").select(*by, "selector", "aggregate", "task")
+    empty = named.join(below, [*by, "selector"], "left_anti").select(
         *by, "selector", "aggregate", F.lit("no task below the aggregate").alias("error"))
-    similar = stems.groupBy(*by, F.col("_stem").alias("selector")).agg(F.array_sort(F.collect_set("task")).alias("similar"))
-    unknown = wanted.join(found, [*by, "selector"], "left_anti").join(similar, [*by, "selector"], "left").withColumn(
-        "error", F.lit("no scored aggregate of that name"))
-    return below.unionByName(empty, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True).select(
-        *by, "selector", "aggregate", "task", "similar", "error")
+    unknown = cut_lineage(wanted.join(grouped, [*by, "selector"], "left_anti"), "unknown")
+    similar = stems.withColumnRenamed("_stem", "selector").join(unknown, [*by, "selector"], "left_semi").groupBy(
+        *by, "selector").agg(F.array_sort(F.collect_set("task")).alias("similar"))
+    unknown = unknown.join(similar, [*by, "selector"], "left").withColumn("error", F.lit("no scored aggregate of that name"))
+    return by_group.unionByName(only).unionByName(below).unionByName(empty, allowMissingColumns=True).unionByName(
+        unknown, allowMissingColumns=True).select(*by, "selector", "aggregate", "task", "similar", "error")
 
 
 def prefix_descendants(tasks: DataFrame, aggregate: str) -> DataFrame:

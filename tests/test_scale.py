@@ -163,6 +163,25 @@ def test_selectors(spark):
         ("lone", None, None, ("lone_x",), "no scored"), ("none", None, None, (), "no scored")}
 
 
+def test_selectors_of_one_group_share_what_is_below(spark, monkeypatch):
+    """60 members that lead back to their group have 61 tasks below each: 3,660 rows, of which no step may be a table."""
+    members = [f"g_{i}" for i in range(60)]
+    edges = [("g", m) for m in members] + [(m, "g") for m in members] + [
+        ("to_leaf", "leaf"), ("self", "self"), ("two", "g"), ("two", "leaf"), ("no_task", None), ("up", "no_task")]
+    names = [*members, "g", "to_leaf", "self", "two", "no_task", "up"]
+    written, write = [], mapping.cut_lineage
+    monkeypatch.setattr(mapping, "cut_lineage", lambda df, name: (written.append(write(df, name)), written[-1])[1])
+    results = spark.createDataFrame([("m", n) for n in names], "model string, task string")
+    groups = spark.createDataFrame([("m", *e) for e in edges], "model string, parent string, child string")
+    found = mapping.select_aggregates(results, groups, results.withColumnRenamed("task", "selector"))
+    got = [(r.selector, r.aggregate, r.task, r.similar, r.error) for r in found.collect()]
+    circle = [*members, "g"]
+    want = [(s, t) for s in circle for t in circle] + [("two", t) for t in [*circle, "leaf"]] + [
+        ("to_leaf", "leaf"), ("self", "self"), ("no_task", None), ("up", "no_task"), ("up", None)]
+    assert sorted(got, key=repr) == sorted([(s, s, t, None, None) for s, t in want], key=repr)
+    assert max(df.count() for df in written) < 400
+
+
 def test_substrings_of_many_patterns(spark, monkeypatch):
     monkeypatch.setattr(resolve, "AUTOMATON", 7)
     rng = random.Random(2)
