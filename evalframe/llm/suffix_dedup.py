@@ -6,10 +6,10 @@ with the same one is a segment, sent once. Three steps decide what is an earlier
 
 - Equal segments are one. In every task, and then in every group, the smallest document of equal segments stays and the
   others are covered at once, so copies of any number shrink to one before they meet.
-- Segments of one group that differ may still share windows. For them the bytes are fetched and the suffixes of all their
-  windows are sorted, by doubling the length of the compared prefix up to WINDOW. Positions that agree that far are a class,
-  and all but those of its smallest document are covered. No array of longest previous factors or of previous and next
-  smaller positions is computed; such an array would reach WINDOW at the same positions.
+- Segments of one group that differ may still share windows. For them the bytes are fetched. A window whose hash occurs in
+  one document only has no equal elsewhere; the suffixes of the other windows are sorted by their next WINDOW bytes.
+  Positions that agree that far are a class, and all but those of its smallest document are covered. No array of longest
+  previous factors or of previous and next smaller positions is computed; such an array would reach WINDOW at the same positions.
 - Groups whose smallest string is very frequent would gather segments without bound. A sketch of fixed size counts the
   strings of all documents; windows of frequent ones are groups of their own, by the hash of all their bytes.
 
@@ -37,13 +37,15 @@ from evalframe.llm.shared import written
 WINDOW = 50
 GRAM = 20
 RUN = 64  # windows of a segment at most
-PART_BYTES = 1 << 19  # bytes worked on together
+PART_BYTES = 1 << 17  # bytes worked on together, whose hashes stay in a processor's cache
 SEND_BYTES = 8 << 20  # bytes of text whose segments are sent together
 SLOTS = 1 << 20
 PARTS = 64
 FREQUENT = 16  # times the mean count of a slot, and at least FEW, make its strings frequent
 FEW = 1000
 GROUP_BYTES = 16 << 20  # bytes of text for each group of segments, on average
+OPEN_BYTES = 8 << 20  # bytes of open segments for each of their buckets, on average
+FETCH_BYTES = 4 << 20  # bytes of open segments fetched together
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -61,14 +63,26 @@ def _power(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def _eights(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The 8 bytes from every position on as a number; zeros follow the end."""
+    n = len(data)
+    turns = -(-n // 8)
+    wide = np.zeros(8 * turns + 8, np.uint8)
+    wide[:n] = data
+    out = np.empty((turns, 8), _U)
+    for i in range(8):
+        out[:, i] = wide[i : i + 8 * turns].view(f"{order}u8")
+    return out.reshape(-1)[:n]
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hashes of the GRAM bytes from every position on (those that run over the end are not used)."""
-    wide = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
-    two = wide[:-1].astype(np.uint16) | (wide[1:].astype(np.uint16) << np.uint16(8))
-    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
-    eight = four[:-4].astype(_U) | (four[4:].astype(_U) << _U(32))
     n = len(data)
-    return words.mix(eight[:n] * _FACTORS[0] + eight[8 : n + 8] * _FACTORS[1] + four[16 : n + 16] * _FACTORS[2])
+    eight = _eights(np.concatenate([data, np.zeros(GRAM, np.uint8)]))
+    out = eight[:n] * _FACTORS[0]
+    out += eight[8 : n + 8] * _FACTORS[1]
+    out += (eight[16 : n + 16] & _U(0xFFFFFFFF)) * _FACTORS[2]
+    return words.mix(out)
 
 
 def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,15 +110,12 @@ def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         first = last
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray | None = None):
-    """group, content, start, windows and row of every segment: runs of windows with one smallest string.
-
-    Windows of `frequent` strings (a bit for each slot) are segments of their own, their group is their content.
-    """
+def _runs(data: np.ndarray, offsets: np.ndarray):
+    """Hashes of all strings, smallest hash of every window, start and end of the runs of windows with one smallest string."""
     n = len(data)
     if n < WINDOW:
         empty = np.zeros(0, np.int64)
-        return empty.astype(_U), empty.astype(_U), empty, empty, empty
+        return empty.astype(_U), empty.astype(_U), empty, empty
     gram = _grams(data)
     span = WINDOW - GRAM + 1
     least, reach = gram, 1
@@ -114,20 +125,29 @@ def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray | None
     if reach < span:
         least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
     least = least[: n - WINDOW + 1]
-    inside = np.zeros(n + 1, np.int64)
+    inside = np.zeros(n + 1, np.int8)
     fits = np.diff(offsets) >= WINDOW
     np.add.at(inside, offsets[:-1][fits], 1)
     np.add.at(inside, offsets[1:][fits] - WINDOW + 1, -1)
-    inside = np.cumsum(inside)[: n - WINDOW + 1] > 0
+    inside = np.cumsum(inside, dtype=np.int8)[: n - WINDOW + 1] > 0
     new = inside.copy()
     new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
-    heads = offsets[:-1][fits]
-    new[heads] = True
+    new[offsets[:-1][fits]] = True
     starts = np.flatnonzero(new)
+    ends = np.flatnonzero(np.concatenate([inside[:-1] & (new[1:] | ~inside[1:]), inside[-1:]])) + 1
+    return gram, least, starts, ends
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray | None = None):
+    """group, content, start, windows and row of every segment: runs of windows with one smallest string.
+
+    Windows of `frequent` strings (a bit for each slot) are segments of their own, their group is their content.
+    """
+    n, span = len(data), WINDOW - GRAM + 1
+    gram, least, starts, ends = _runs(data, offsets)
     if not len(starts):
         empty = np.zeros(0, np.int64)
         return empty.astype(_U), empty.astype(_U), empty, empty, empty
-    ends = np.flatnonzero(np.concatenate([inside[:-1] & (new[1:] | ~inside[1:]), inside[-1:]])) + 1
     count = ends - starts
     limit = np.full(len(starts), RUN)
     alone = np.zeros(len(starts), bool)
@@ -149,12 +169,15 @@ def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray | None
     return group, content, begin - offsets[rows], windows, rows
 
 
-def _merge(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of a row that touch or overlap, made one."""
+def _merge(
+    rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, ordered: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of a row that touch or overlap, made one; `ordered` if those of a row lie side by side, by their starts."""
     if not len(rows):
         return rows, starts, ends
-    order = np.lexsort((starts, rows))
-    rows, starts, ends = rows[order], starts[order], ends[order]
+    if not ordered:
+        order = np.lexsort((starts, rows))
+        rows, starts, ends = rows[order], starts[order], ends[order]
     wide = np.int64(ends.max() + 1)
     base = np.cumsum(np.concatenate([[0], (rows[1:] != rows[:-1]).astype(np.int64)])) * wide
     reach = np.maximum.accumulate(ends + base)
@@ -168,13 +191,17 @@ def _merge(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 # --- frequent strings ---------------------------------------------------------------------------------------------
 
 def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, seen = np.zeros(SLOTS, np.int32), False
+    counts, slots, held, seen = np.zeros(SLOTS, np.int32), [np.zeros(0, np.int64)], 0, False
     for batch in batches:
         for data, offsets, _, _ in parts(batch.column("text")):
-            group = segments(data, offsets)[0]
-            counts += np.bincount((group % _U(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
-            seen = True
+            _, least, starts, ends = _runs(data, offsets)
+            slots.append(np.repeat((least[starts] % _U(SLOTS)).astype(np.int64), -(-(ends - starts) // RUN)))
+            held, seen = held + len(slots[-1]), True
+            if held >= SLOTS:
+                counts += np.bincount(np.concatenate(slots), minlength=SLOTS).astype(np.int32)
+                slots, held = [np.zeros(0, np.int64)], 0
     if seen:
+        counts += np.bincount(np.concatenate(slots), minlength=SLOTS).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(PARTS, -1)], pa.binary())],
             ["part", "counts"])
@@ -196,14 +223,16 @@ def frequent_slots(texts: DataFrame) -> np.ndarray:
 
 # --- equal segments -----------------------------------------------------------------------------------------------
 
-def _first_of_equal(group, content, docs):
-    """Order by group, content and document; which are of the smallest document of their content, in that order."""
-    order = np.lexsort((docs, content, group))
-    group, content, docs = group[order], content[order], docs[order]
+def _first_of_equal(docs, *keys):
+    """An order by the keys; which are of the smallest document of those with equal keys, in that order."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.ones(len(order), bool)
-    new[1:] = (group[1:] != group[:-1]) | (content[1:] != content[:-1])
-    least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return order, docs == least
+    new[1:] = False
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    docs, first = docs[order], np.flatnonzero(new)
+    return order, docs == np.minimum.reduceat(docs, first)[np.cumsum(new) - 1] if len(first) else new
 
 
 # What is sent of the segments of one group of groups, as byte planes: low bytes of all values first, which packs well.
@@ -229,13 +258,14 @@ def _dealing(buckets: int, frequent: np.ndarray):
     def flush(found: list) -> pa.RecordBatch:
         group, content, doc, row, start, windows = (np.concatenate(x) for x in zip(*found))
         one = words.mix(group + content * _FACTORS[1])
-        order, least = _first_of_equal(np.zeros(1, _U).repeat(len(one)), one, doc)
-        gone = order[~least]
-        covered = _merge(row[gone], start[gone], start[gone] + windows[gone] + WINDOW - 1)
-        stays = np.sort(order[least])  # in the order of the rows again
-        home = ((group[stays] >> _U(40)) % _U(buckets)).astype(np.int64)
+        order, least = _first_of_equal(doc, one)
+        first = np.zeros(len(one), bool)
+        first[order[least]] = True
+        gone, stays = np.flatnonzero(~first), np.flatnonzero(first)  # in the order of the rows again
+        covered = _merge(row[gone], start[gone], start[gone] + windows[gone] + WINDOW - 1, ordered=True)
+        home = ((group[stays] >> _U(40)) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         by_home = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[by_home], np.arange(buckets + 1))
+        cuts = np.searchsorted(home[by_home].astype(np.int64), np.arange(buckets + 1))
         stays = stays[by_home]
         group, content, doc, row, start, windows = (x[stays] for x in (group, content, doc, row, start, windows))
         share = np.linspace(0, len(covered[0]), buckets + 1).astype(np.int64)
@@ -286,7 +316,7 @@ def _decided(table: pa.Table) -> pa.Table:
     sent = {c: np.concatenate([_values(x, w) for x in table.column(c).to_pylist()]) for c, w in _SENT.items()}
     doc, row = (np.repeat(sent[c], sent["count"]) for c in ("doc", "row"))
     group, content, start, windows = (sent[c] for c in ("group", "content", "start", "windows"))
-    order, least = _first_of_equal(group, content, doc)
+    order, least = _first_of_equal(doc, group, content)
     gone = order[~least]
     merged = _merge(np.concatenate([passed[0], row[gone]]), np.concatenate([passed[1], start[gone]]),
                     np.concatenate([passed[2], start[gone] + windows[gone] + WINDOW - 1]))
@@ -309,68 +339,113 @@ def _decided(table: pa.Table) -> pa.Table:
 
 # --- longest previous factors -------------------------------------------------------------------------------------
 
-def suffix_ranks(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Ranks of all positions by their next `depth` bytes, by doubling; only positions with so many bytes mean something."""
-    wide = np.concatenate([data, np.zeros(2 * depth, np.uint8)]).astype(_U)
-    n = len(data)
-    key = np.zeros(n + depth, _U)
-    for i in range(8):
-        key = (key << _U(8)) | wide[i : i + n + depth]
-    rank = np.unique(key, return_inverse=True)[1].astype(_U)
-    length = 8
-    while length < depth:
-        step = min(length, depth - length)
-        far = np.concatenate([rank[step:], np.zeros(step, _U)])
-        rank = np.unique(rank * _U(len(rank) + 1) + far, return_inverse=True)[1].astype(_U)
-        length += step
-    return rank[:n]
+def suffix_ranks(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Ranks of the positions `at` (all) by their next WINDOW bytes; only positions with so many bytes mean something."""
+    at = np.arange(len(data)) if at is None else at
+    words_of = _eights(np.concatenate([data, np.zeros(WINDOW, np.uint8)]), ">")
+    keys = [words_of[at + i] for i in [*range(0, WINDOW - 8, 8), WINDOW - 8]]  # the last two may overlap
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(at), bool)
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    ranks = np.empty(len(at), np.int64)
+    ranks[order] = np.cumsum(new)
+    return ranks
+
+
+def _elsewhere(data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The windows whose hash is also that of a window of another document, by number; all others have no equal there."""
+    eight = _eights(data)
+    value = np.zeros(len(at), _U)
+    for i, k in enumerate([*range(0, WINDOW - 8, 8), WINDOW - 8]):
+        value += eight[at + k] * (_FACTORS[i % 3] + _U(2 * i))
+    value = words.mix(value)
+    order = np.argsort(value)
+    value = value[order]
+    same = value[1:] == value[:-1]
+    often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    order, value = order[often], value[often]
+    if not len(order):
+        return order
+    new = np.ones(len(order), bool)
+    new[1:] = value[1:] != value[:-1]
+    own, first = docs[order], np.flatnonzero(new)
+    mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    return order[mixed[np.cumsum(new) - 1]]
 
 
 def covered_windows(data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which windows, at positions `at` of `data`, have a longest previous factor of WINDOW bytes or more.
 
-    Previous is what belongs to a smaller document. In suffix order, ties by document, the nearest smaller document before
-    a suffix that agrees for WINDOW bytes exists exactly if its run of agreeing suffixes begins with a smaller one.
+    Previous is what belongs to a smaller document. In suffix order the nearest smaller document before a suffix that
+    agrees for WINDOW bytes exists exactly if its run of agreeing suffixes has a smaller one.
     """
-    if not len(at):
-        return np.zeros(0, bool)
-    ranks = suffix_ranks(data)[at]
-    order = np.lexsort((docs, ranks))
-    new = np.ones(len(order), bool)
-    new[1:] = ranks[order][1:] != ranks[order][:-1]
-    begins = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.zeros(len(at), bool)
-    out[order] = begins < docs[order]
+    some = _elsewhere(data, at, docs) if len(at) else np.zeros(0, np.int64)
+    if len(some):
+        ranks, own = suffix_ranks(data, at[some]), docs[some]
+        least = np.full(int(ranks.max()) + 1, _LAST)
+        np.minimum.at(least, ranks, own)
+        out[some] = least[ranks] < own
     return out
 
 
+# Open segments on the way to their bucket: one row for those of a bucket that are fetched together.
+_FETCHED = {"row": np.int64, "start": np.int64, "doc": np.int64, "size": np.int32, "bytes": np.uint8}
+_FETCH = "bucket long, " + ", ".join(f"{c} binary" for c in _FETCHED)
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Spans of `data`, one after the other."""
+    return data[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
 def _fetching(buckets: int):
+    def packed(data, begin, size, row, start, doc) -> pa.RecordBatch:
+        piece = _gathered(data, begin, size)
+        bounds = np.cumsum(size) - size
+        gram = _grams(piece)
+        inside = np.ones(len(piece), bool)
+        inside[(bounds + size)[:, None] - np.arange(1, GRAM)] = False  # strings that run over the end of their segment
+        gram[~inside] = _U((1 << 64) - 1)
+        bucket = (np.minimum.reduceat(gram, bounds) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        piece = _gathered(piece, bounds[order], size[order])
+        ends = np.concatenate([[0], np.cumsum(size[order])])
+        bucket = bucket[order]
+        values = [x[order].astype(t) for x, t in zip((row, start, doc, size), _FETCHED.values())]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        last = np.concatenate([first[1:], [len(bucket)]])
+        columns = [[x[s:e].tobytes() for s, e in zip(first, last)] for x in values]
+        columns.append([piece[ends[s] : ends[e]].tobytes() for s, e in zip(first, last)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", *_FETCHED])
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of open segments, with the group that they belong to."""
+        """The bytes of open segments, dealt by the group that they belong to."""
         for batch in batches:
             data, offsets = words.binary(batch.column("text"))
-            rows, opened = batch.column("row").to_pylist(), batch.column("opened")
-            out = []
-            for i, (row, spans) in enumerate(zip(rows, opened.to_pylist())):
-                for span in spans:
-                    piece = data[offsets[i] + span["start"] : offsets[i] + span["end"]]
-                    least = int(_grams(piece)[: len(piece) - GRAM + 1].min())
-                    out.append((least % buckets, row, span["start"], span["doc"], piece.tobytes()))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], ["bucket", "row", "start", "doc", "piece"])
+            opened = batch.column("opened")
+            which = np.repeat(np.arange(len(opened)), np.asarray(opened.value_lengths(), dtype=np.int64))
+            start, end, doc = (np.asarray(opened.flatten().field(i), dtype=np.int64) for i in range(3))
+            row, size = np.asarray(batch.column("row"), dtype=np.int64)[which], end - start
+            begin, total, first = offsets[which] + start, np.concatenate([[0], np.cumsum(size)]), 0
+            while first < len(which):
+                last = max(int(np.searchsorted(total, total[first] + FETCH_BYTES, side="right")) - 1, first + 1)
+                yield packed(data, *(x[first:last] for x in (begin, size, row, start, doc)))
+                first = last
 
     return fetch
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    pieces = table.column("piece").to_pylist()
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
+    rows, starts, docs, sizes, data = (
+        np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in _FETCHED.items())
+    sizes = sizes.astype(np.int64)
     counts = sizes - WINDOW + 1
-    which = np.repeat(np.arange(len(pieces)), counts)
+    which = np.repeat(np.arange(len(sizes)), counts)
     turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    docs, rows, starts = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("doc", "row", "start"))
     found = covered_windows(data, (np.cumsum(sizes) - sizes)[which] + turn, docs[which])
     begin = starts[which[found]] + turn[found]
     return _spans(*_merge(rows[which[found]], begin, begin + WINDOW))
@@ -382,18 +457,18 @@ def _removing(keep_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = words.binary(batch.column("text"))
-            out = []
-            starts, ends = (batch.column(c).to_pylist() for c in ("starts", "ends"))
-            for i, (begin, end) in enumerate(zip(starts, ends)):
-                own = data[offsets[i] : offsets[i + 1]]
-                if not begin:
-                    out.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest(), own.tobytes() if keep_text else None))
-                    continue
-                a, b = np.array(begin), np.array(end)
-                _, a, b = _merge(np.zeros(len(a), np.int64), a, b)
-                edges = np.concatenate([[0], np.stack([a, b], axis=1).reshape(-1), [len(own)]]).tolist()
-                left = b"".join(own[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2]))
-                out.append((len(own), len(own) - len(left), len(a), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+            lists = batch.column("starts")
+            count = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+            which, a, b = _merge(np.repeat(np.arange(len(lists)), count), *(
+                np.asarray(batch.column(c).flatten(), dtype=np.int64) for c in ("starts", "ends")))
+            cuts = np.searchsorted(which, np.arange(len(lists) + 1)).tolist()
+            inner = np.stack([offsets[which] + a, offsets[which] + b], axis=1).reshape(-1).tolist()
+            raw, sizes, out = memoryview(data), np.diff(offsets).tolist(), []
+            for i, (own, own_end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                edges = [own, *inner[2 * cuts[i] : 2 * cuts[i + 1]], own_end]
+                left = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                out.append((sizes[i], sizes[i] - len(left), cuts[i + 1] - cuts[i], hashlib.sha256(left).hexdigest(),
+                            left if keep_text else None))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)]
             yield pa.RecordBatch.from_arrays(
@@ -410,14 +485,17 @@ def deduplicated(documents: DataFrame, key: str, text: str, keep_text: bool = Tr
         F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"),
         F.xxhash64(F.col(key), content).alias("row"), content.alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / GROUP_BYTES))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(size / GROUP_BYTES))
     sent = texts.select("doc", "row", "text").mapInArrow(_dealing(buckets, frequent_slots(texts)), _SEND)
     decided = written(sent.groupBy("bucket").applyInArrow(_decided, _SPANS), "segments")
     opened = decided.where("open").groupBy("row").agg(F.collect_list(F.struct("start", "end", "doc")).alias("opened"))
+    size = decided.where("open").agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    buckets = max(partitions, math.ceil(size / OPEN_BYTES))
     # the texts are dealt by row once, for this join and the last one
     texts = texts.select("key", "row", "text")
     fetched = texts.join(opened, "row").select("key", "row", "text", "opened").mapInArrow(
-        _fetching(buckets), "bucket long, row long, start long, doc long, piece binary")
+        _fetching(buckets), _FETCH)
     compared = fetched.groupBy("bucket").applyInArrow(_compared, _SPANS)
     spans = decided.where("NOT open").unionByName(compared).groupBy("row").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))

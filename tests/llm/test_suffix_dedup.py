@@ -63,6 +63,30 @@ def test_suffix_order_of_windows():
     assert len(set(ranks.tolist())) == len(plain_order)
 
 
+def test_only_windows_of_several_documents_are_sorted(monkeypatch):
+    """Segments around one string are compared though most share no window: 40 of 70 bytes, two with one window in common."""
+    pick = random.Random(5)
+    noise = lambda n: bytes(pick.randrange(97, 123) for _ in range(n))
+    pieces = [noise(25) + b"twenty bytes of text" + noise(25) for _ in range(40)]
+    pieces[30] = noise(10) + pieces[3][10:60] + noise(10)
+    at = np.concatenate([np.arange(70 * i, 70 * i + 21) for i in range(40)])
+    docs, sorted_at, ranks = np.repeat(np.arange(40), 21), [], suffix_dedup.suffix_ranks
+    monkeypatch.setattr(suffix_dedup, "suffix_ranks", lambda *a: (sorted_at.append(len(ranks(*a))), ranks(*a))[1])
+    found = suffix_dedup.covered_windows(np.frombuffer(b"".join(pieces), np.uint8), at, docs)
+    assert at[found].tolist() == [30 * 70 + 10]
+    assert sum(sorted_at) == 2
+
+
+@pytest.mark.parametrize("limit", [60, 1000])
+def test_open_segments_fetched_in_parts(docs_of, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "FETCH_BYTES", limit)
+    pick = random.Random(11)
+    lines = ["".join(pick.choice("abcdé ") for _ in range(n)) for n in (40, 55, 90)]
+    rows = [(i // 2, "".join(pick.choice(lines) + pick.choice(["", "-", "=="]) for _ in range(pick.randint(0, 9)))) for i in range(60)]
+    rows += [(None, lines[2]), (3, None), *rows[:5]]
+    assert result(suffix_dedup.deduplicated(docs_of(rows), "doc_id", "text")) == plain(rows)
+
+
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op1_suffix_dedup(spark, sf).collect()), key=repr) == [r[:5] for r in plain(rows)]
